@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe
-from pairloom.runtime import table
+from pairloom.llm import bpe, secrets
+from pairloom.runtime import cut, table
 
 #: Rows that Spark hands to Python at once; texts can be long, so few.
 BATCH_ROWS = 256
@@ -36,8 +36,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: a fresh ledger is filled and joined back to all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.findings(docs, cut(secrets.scan(docs)), "doc_id")
+    number = [secrets.number_of("spans", r.kind).alias(f"n_{r.kind}") for r in secrets.RULES]
+    spans = secrets.joined(F.col("spans"))
+    return found.select("doc_id", *number, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 SQL: dict[str, str] = {}
