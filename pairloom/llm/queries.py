@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat, secrets, urls
+from pairloom.llm import bpe, chat, langid, secrets, urls
 from pairloom.runtime import cut, table
 
 #: Rows that Spark hands to Python at once; texts can be long, so few.
@@ -50,6 +50,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learnt from the rows not held out."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"))
+    judged = langid.identify(docs.select("doc_id", "text"), docs.where(~out))
+    return judged.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text, as digests."""
     small_batches(spark)
@@ -76,6 +85,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op5_chat_format": op5_chat_format,
+    "op6_language_id": op6_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
 }
