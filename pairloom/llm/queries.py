@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat, langid, secrets, urls
-from pairloom.runtime import cut, table
+from pairloom.llm import bpe, chat, langid, secrets, urls, warc
+from pairloom.runtime import cut, shared_dir, table
 
 #: Rows that Spark hands to Python at once; texts can be long, so few.
 BATCH_ROWS = 256
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keeps an Arrow batch of long texts within a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +83,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *number, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives in the shared folder, then read back."""
+    small_batches(spark, 16)
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder, "page_id", "url", "html")
+    found = warc.read(spark, folder).where("gap IS NULL")
+    return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
+    "op10_warc": op10_warc,
 }
 
 #: What the driver's DuckDB runs beside the queries that SQL can express.
