@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat, langid, secrets, urls, warc
+from pairloom.llm import bpe, chat, langid, packing, secrets, urls, warc
 from pairloom.runtime import cut, shared_dir, table
 
 #: Rows that Spark hands to Python at once; texts can be long, so few.
@@ -28,6 +28,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
 
 
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 2048 tokens, packed into sequences.
+
+    The vocabulary is that of byte_bpe_50k.json, read from its ranks.
+    """
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed_documents(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -94,6 +104,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_pattern_packing": op3_pattern_packing,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
     "op8_byte_bpe": op8_byte_bpe,
