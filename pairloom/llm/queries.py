@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat, langid, packing, secrets, urls, warc
+from pairloom.llm import bpe, chat, langid, minhash, packing, secrets, urls, warc
 from pairloom.runtime import cut, shared_dir, table
 
 #: Rows that Spark hands to Python at once; texts can be long, so few.
@@ -70,6 +70,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at Jaccard similarity 0.85 of their five-word shingles."""
+    small_batches(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text, as digests."""
     small_batches(spark)
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pattern_packing": op3_pattern_packing,
     "op5_chat_format": op5_chat_format,
     "op6_language_id": op6_language_id,
+    "op7_minhash": op7_minhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
