@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat, langid, minhash, packing, secrets, urls, warc
+from pairloom.llm import bpe, chat, langid, minhash, packing, polytope, secrets, topk, urls, warc
 from pairloom.runtime import cut, shared_dir, table
 
 #: Rows that Spark hands to Python at once; texts can be long, so few.
@@ -23,6 +23,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at cosine 0.98."""
+    small_batches(spark, 4096)
+    return polytope.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op4_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector, against all rows."""
+    small_batches(spark, 4096)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.whole_numbers(F.col("embedding")).alias("ints"))
+    return topk.top_k(rows, rows.where(F.col("id") % 50 == 0), 5)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, longest rule and verdict."""
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
@@ -109,6 +122,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cross_polytope": op1_cross_polytope,
+    "op4_nra_search": op4_nra_search,
     "op2_url_filter": op2_url_filter,
     "op3_pattern_packing": op3_pattern_packing,
     "op5_chat_format": op5_chat_format,
@@ -121,6 +136,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: What the driver's DuckDB runs beside the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op4_nra_search": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.ints, c.ints), lambda x: x[1] * x[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op1_cross_polytope": r"""
+WITH RECURSIVE g AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x
+), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1), n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT c.x AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN n ON n.x = c.x
+""",
     "op5_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
