@@ -105,9 +105,14 @@ def scan(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
 def findings(versions: DataFrame, ledger: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per version: path, ``spans`` of all rules by start, then rule order."""
     paths = versions.select(F.col(f"`{path}`").alias(path), blob_id(F.col(f"`{text}`")).alias("blob"))
+    return joined_back(paths, ledger, rules).select(path, "spans")
+
+
+def joined_back(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``paths`` (with their ``blob``) and the ``spans`` that the ledger has for them."""
     found = ledger.select("blob", all_spans("results", rules).alias("spans")).where(F.size("spans") > 0)
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
-    return paths.join(found, "blob", "left").select(path, F.coalesce("spans", none).alias("spans"))
+    return paths.drop("spans").join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def all_spans(results: str, rules: tuple[Rule, ...] = RULES) -> Column:
