@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.plans import pairs
+from pairloom.plans import incidents, pairs, trends
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-for plan in (pairs,):
+for plan in (pairs, incidents, trends):
     QUERIES |= plan.QUERIES
     SQL |= plan.SQL
