@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.plans import incidents, pairs, texts, trends
+from pairloom.plans import incidents, pairs, similarity, texts, trends
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-for plan in (pairs, incidents, trends, texts):
+for plan in (pairs, incidents, trends, texts, similarity):
     QUERIES |= plan.QUERIES
     SQL |= plan.SQL
