@@ -29,8 +29,9 @@ from pairloom.runtime import cut
 
 #: Candidates and queries of a task, and candidates whose lists are read together, about.
 BLOCK, QUERY_BLOCK, STRETCH = 8192, 256, 2048
-#: Steps in which a list is read, and survivors that are resolved at once.
-STEPS, RESOLVE = 24, 24
+#: Depths at which bounds may be looked at, the first without a floor, how many are passed at a time,
+#: and the survivors whose scores are resolved at once.
+STEPS, FIRST, STRIDE, RESOLVE = 48, 20, 8, 512
 
 
 def whole_numbers(embedding: Column, scale: int = 256) -> Column:
@@ -45,47 +46,53 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(vectors, self.order.T, axis=0).T.copy()
+        n = len(ids)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.order = order.T.copy()
+        self.cells = self.order * vectors.shape[1] + np.arange(vectors.shape[1])[:, None]
+        self.values = np.take_along_axis(vectors, order, axis=0).T.astype(np.float64)
+        self.depths = np.unique(np.linspace(0, n, STEPS + 1).astype(np.int64)[1:])
+        # what stands at each depth, from the high and from the low end
+        self.high, self.low = self.values[:, n - self.depths], self.values[:, self.depths - 1]
 
     def best(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of all that may be among the k best and reach ``floor``."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        if not len(used):
-            rows = np.flatnonzero(self.ids != own)
-            return rows, np.zeros(len(rows), np.int64)
-        q = query[used].astype(np.float64)
-        down = q > 0
-        order, values = self.order[used], self.values[used]
-        far = q * np.where(down, values[:, 0], values[:, -1])  # the least that each list can add
-        seen = np.zeros((n, len(used)), np.float32)
+        n, width = self.vectors.shape
+        weight = query.astype(np.float64)
+        down, up = np.flatnonzero(weight > 0), np.flatnonzero(weight <= 0)
+        weight = np.concatenate((weight[down], weight[up]))
+        left = np.flatnonzero(self.ids != own)
+        fronts = weight[:, None] * np.concatenate((self.high[down], self.low[up]))
+        far = weight * np.concatenate((self.values[down, 0], self.values[up, -1]))  # the least that each list can add
+        total = fronts.sum(0)
+        # no reading can end before a row not read at all falls below the floor
+        at = int(np.searchsorted(-total, -floor)) if np.isfinite(floor) else FIRST
+        at = min(at, len(self.depths) - 1)
+        seen = np.zeros(n * width, np.float32)
         score = np.zeros(n)
-        mine = self.ids == own
-        step = max(1, -(-n // STEPS))
+        by_list = np.zeros((width, 2), np.float32)
         read = 0
-        column = np.arange(len(used))[:, None]
         while True:
-            until = min(n, read + step)
-            at = np.where(down[:, None], np.arange(n - 1 - read, n - 1 - until, -1), np.arange(read, until))
-            rows = order[column, at]
-            score += np.bincount(rows.ravel(), weights=(values[column, at] * q[:, None]).ravel(), minlength=n)
-            seen[rows, column] = 1
+            until = int(self.depths[at])
+            for lists, a, b, w in ((down, n - until, n - read, weight[: len(down)]), (up, read, until, weight[len(down) :])):
+                seen[self.cells[lists, a:b].ravel()] = 1
+                score += np.bincount(self.order[lists, a:b].ravel(), weights=(self.values[lists, a:b] * w[:, None]).ravel(), minlength=n)
             read = until
             if read == n:
-                lower = upper = score
+                lower = upper = score[left]
             else:
-                front = q * values[column[:, 0], at[:, -1]]
-                parts = seen @ np.stack([front, far], 1).astype(np.float32)
-                slack = 1e-4 * (np.abs(front).sum() + np.abs(far).sum())
-                upper = score + front.sum() - parts[:, 0] + slack
-                lower = score + far.sum() - parts[:, 1] - slack
-            lower = np.where(mine, -np.inf, lower)
-            if n > k:
-                floor = max(floor, np.partition(lower, n - k)[n - k])
-            left = np.flatnonzero((upper >= floor) & ~mine)
+                by_list[down, 0], by_list[up, 0] = fronts[: len(down), at], fronts[len(down) :, at]
+                by_list[down, 1], by_list[up, 1] = far[: len(down)], far[len(down) :]
+                parts = seen.reshape(n, width)[left] @ by_list
+                slack = 1e-4 * np.abs(by_list).sum()
+                upper = score[left] + total[at] - parts[:, 0] + slack
+                lower = score[left] + far.sum() - parts[:, 1] - slack
+            if len(left) > k:
+                floor = max(floor, float(np.partition(lower, len(left) - k)[len(left) - k]))
+            left = left[upper >= floor]
             if len(left) <= max(k, RESOLVE) or read == n:
                 return left, self.vectors[left] @ query
+            at = min(at + STRIDE, len(self.depths) - 1)
 
 
 def search(candidates: tuple[np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[tuple[int, int, int]]:
