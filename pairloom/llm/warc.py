@@ -180,11 +180,17 @@ def unfold(data: bytes, at: int) -> tuple[bytes, int, str]:
 
 
 def starts_well(data: bytes, at: int) -> bool:
-    """Whether a valid member or a version line stands at ``at``."""
+    """Whether a version line, a valid member, or one that begins with a valid record stands at ``at``."""
     if data[at : at + 4] == b"WARC":
         return True
     body, _, broke = unfold(data, at)
-    return not broke and (not body or body.startswith(b"WARC/"))
+    if not broke:
+        return not body or body.startswith(b"WARC/")
+    try:
+        parse(body, 0)
+    except BrokenError:
+        return False
+    return True
 
 
 def salvage(data: bytes) -> Found:
