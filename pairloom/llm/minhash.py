@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.shingles import shingle_set
-from pairloom.llm.streams import Forest, groups
+from pairloom.llm.streams import Forest, groups, tasks
 from pairloom.operators.components import connected_components
 from pairloom.runtime import cut
 
@@ -84,15 +84,16 @@ def least_estimate(threshold: float, either: np.ndarray) -> np.ndarray:
     return threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / np.maximum(either, 1))
 
 
-def candidates(sketch: np.ndarray, size: np.ndarray, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
-    """Those of rows ``others`` that are candidates of row ``i``."""
-    equal = ((sketch[others] == sketch[i]) & (sketch[i] > 0)).sum(1)
-    either = ((sketch[others] > 0) | (sketch[i] > 0)).sum(1)
-    n, m = size[i], size[others]
+def candidates(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows ``i`` and ``j`` are candidates, pair by pair."""
+    x, y, n, m = sketch[i], sketch[j], size[i], size[j]
+    there = (x > 0) | (y > 0)
+    equal, either = ((x == y) & there).sum(1), there.sum(1)
     likely = (equal / np.maximum(either, 1) >= least_estimate(threshold, either)) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
     kept = np.flatnonzero(likely)
-    good = estimate(equal[kept], either[kept], np.full(len(kept), float(n)), m[kept].astype(float)) >= least_estimate(threshold, either[kept])
-    return others[kept[good]]
+    good = estimate(equal[kept], either[kept], n[kept].astype(float), m[kept].astype(float)) >= least_estimate(threshold, either[kept])
+    likely[kept] = good
+    return likely
 
 
 def bucket_forests(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -100,8 +101,12 @@ def bucket_forests(batches: Iterator[pd.DataFrame], threshold: float) -> Iterato
     for frame, starts in groups(batches, ["bucket"]):
         rep, size = frame["rep"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
         sketch = np.frombuffer(b"".join(frame["sketch"]), "<u2").reshape(len(frame), REGISTERS)
-        found = []
+        twos = starts[:-1][np.diff(starts) == 2]
+        twos = twos[candidates(sketch, size, twos, twos + 1, threshold)]
+        found = list(zip(rep[twos].tolist(), rep[twos + 1].tolist(), strict=True))
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a < 3:
+                continue
             forest = Forest(b - a)
             for i in range(a, b - 1):
                 roots = forest.roots()
@@ -109,7 +114,7 @@ def bucket_forests(batches: Iterator[pd.DataFrame], threshold: float) -> Iterato
                 others = others[roots[others - a] != roots[i - a]]
                 if not len(others):
                     continue
-                for j in candidates(sketch, size, i, others, threshold).tolist():
+                for j in others[candidates(sketch, size, np.full(len(others), i), others, threshold)].tolist():
                     if forest.join(i - a, j - a):
                         found.append((rep[i], rep[j]))
         yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
@@ -210,7 +215,7 @@ def _clusters(classes: DataFrame, threshold: float) -> DataFrame:
     met = cut(keyed.join(full, "bucket"))
     trees = met.where((F.col("members") > BUCKET) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     few = met.where(F.col("members") <= BUCKET).select("bucket", "rep").join(classes.select("rep", "n", "sketch"), "rep")
-    few = few.repartition("bucket").sortWithinPartitions("bucket", "rep").select("bucket", "rep", "n", "sketch")
+    few = few.repartition(tasks(few), "bucket").sortWithinPartitions("bucket", "rep").select("bucket", "rep", "n", "sketch")
     forests = few.mapInPandas(lambda batches: bucket_forests(batches, threshold), "a long, b long")
     return cut(connected_components(forests.unionByName(trees)))
 
@@ -228,7 +233,7 @@ def _links(body: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     as_row = [F.col("cluster"), F.col("block"), F.col("rep"), F.col("hashes"), F.lit(True).alias("active"), F.col("rep").alias("part")]
     first = one.unionByName(many).withColumn("block", F.col("own")).select(*as_row)
     spread = pivots.withColumn("block", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b != own)"))).select(*as_row)
-    run = lambda rows: rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "rep").mapInPandas(lambda b: set_forests(b, percent), "a long, b long")
+    run = lambda rows: rows.repartition(tasks(rows), "cluster", "block").sortWithinPartitions("cluster", "block", "rep").mapInPandas(lambda b: set_forests(b, percent), "a long, b long")
     links = cut(run(first.unionByName(spread)))
     large = cut(blocks.where("blocks > 1"))
     if large.isEmpty():

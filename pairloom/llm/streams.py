@@ -6,6 +6,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def tasks(rows: DataFrame) -> int:
+    """Tasks for work that is large for the size of its rows, which Spark would merge."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
