@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.streams import Forest, groups
+from pairloom.llm.streams import Forest, groups, tasks
 from pairloom.operators.components import connected_components
 from pairloom.runtime import cut
 
@@ -92,29 +92,42 @@ def _meets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table, code
 
 
-def _verify(frame: pd.DataFrame, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each row of one block pair (weighted by class size), and a forest."""
-    rep, weight, half = (frame[c].to_numpy(np.int64) for c in ("rep", "weight", "half"))
-    table, code = int(frame["tab"].iloc[0]), int(frame["code"].iloc[0])
-    vectors = np.frombuffer(b"".join(frame["vector"]), "<f8").reshape(len(frame), -1)
-    codes = np.frombuffer(b"".join(frame["codes"]), "<i4").reshape(len(frame), -1, PROBES + 1).astype(np.int64)
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    between = bool(half.any())  # two blocks meet: only pairs across
-    links = np.zeros(len(frame), np.int64)
-    forest, found = Forest(len(frame)), []
-    for i in range(len(frame)):
-        near = i + 1 + np.flatnonzero(unit[i + 1 :] @ unit[i] >= least)
-        if between:
-            near = near[half[near] != half[i]]
-        if not len(near):
-            continue
-        t, c = _meets(np.broadcast_to(codes[i], (len(near), *codes.shape[1:])), codes[near])
-        near = near[(t == table) & (c == code)]
-        links[i] += weight[near].sum()
-        links[near] += weight[i]
-        for j in near.tolist():
-            if forest.join(i, j):
-                found.append((int(rep[i]), int(rep[j])))
+class Rows:
+    """Columns of a frame of whole block pairs as arrays."""
+
+    def __init__(self, frame: pd.DataFrame) -> None:
+        self.rep, self.weight, self.half, self.table, self.code = (frame[c].to_numpy(np.int64) for c in ("rep", "weight", "half", "tab", "code"))
+        self.across = (frame["lo"] != frame["hi"]).to_numpy()
+        vectors = np.frombuffer(b"".join(frame["vector"]), "<f8").reshape(len(frame), -1)
+        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.codes = np.frombuffer(b"".join(frame["codes"]), "<i4").reshape(len(frame), -1, PROBES + 1)
+
+    def linked(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of near rows count here: across blocks if two meet, and in no earlier bucket."""
+        kept = np.flatnonzero(~self.across[i] | (self.half[i] != self.half[j]))
+        table, code = _meets(self.codes[i[kept]], self.codes[j[kept]])
+        return kept[(table == self.table[i[kept]]) & (code == self.code[i[kept]])]
+
+
+def _verify(rows: Rows, starts: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each row within its block pair (weighted by class size), and forests of them."""
+    links = np.zeros(len(rows.rep), np.int64)
+    size = np.diff(starts)
+    i = starts[:-1][size == 2]  # most buckets hold two classes
+    i = i[np.einsum("ij,ij->i", rows.unit[i], rows.unit[i + 1]) >= least]
+    i = i[rows.linked(i, i + 1)]
+    links[i] += rows.weight[i + 1]
+    links[i + 1] += rows.weight[i]
+    found = list(zip(rows.rep[i].tolist(), rows.rep[i + 1].tolist(), strict=True))
+    for a, b in zip(starts[:-1][size > 2].tolist(), starts[1:][size > 2].tolist(), strict=True):
+        forest = Forest(b - a)
+        for i in range(a, b - 1):
+            near = i + 1 + np.flatnonzero(rows.unit[i + 1 : b] @ rows.unit[i] >= least)
+            if len(near):
+                near = near[rows.linked(np.full(len(near), i), near)]
+                links[i] += rows.weight[near].sum()
+                links[near] += rows.weight[i]
+                found += [(int(rows.rep[i]), int(rows.rep[j])) for j in near.tolist() if forest.join(i - a, j - a)]
     return links, found
 
 
@@ -152,17 +165,19 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     dealt = dealt.select("class", "bucket", "tab", "code", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("half"))
     whole = dealt.join(coded.select("class", "rep", "weight", "vector", "codes"), "class").drop("class")
     key_of = ["bucket", "lo", "hi"]
-    whole = whole.repartition(*key_of).sortWithinPartitions(*key_of, "rep")
+    whole = whole.repartition(tasks(whole), *key_of).sortWithinPartitions(*key_of, "rep")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, starts in groups(batches, key_of):
-            out = []
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                part = frame.iloc[a:b]
-                links, forest = _verify(part, least)
+        for frame, _ in groups(batches, key_of):
+            for _, part in frame.groupby(frame["vector"].map(len), sort=False):  # a bucket holds one width
+                keys = part[key_of]
+                starts = np.append(np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy()), len(part))
+                rows = Rows(part)
+                links, forest = _verify(rows, starts, least)
                 some = np.flatnonzero(links)
-                out += [(int(part["rep"].iloc[i]), None, int(links[i])) for i in some] + [(x, y, 0) for x, y in forest]
-            yield pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
+                out = pd.DataFrame({"a": rows.rep[some], "b": pd.array([None] * len(some), "Int64"), "links": links[some]})
+                tree = pd.DataFrame(forest, columns=["a", "b"], dtype=np.int64).astype({"b": "Int64"}).assign(links=0)
+                yield pd.concat([out, tree])
 
     found = cut(whole.mapInPandas(verified, "a long, b long, links long"))
     number = found.groupBy("a").agg(F.sum("links").alias("links"))
