@@ -134,6 +134,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+BASE32 = warc.BASE32
+FOUR = ", ".join(f"substr('{BASE32}', ((x >> {5 * (3 - i)}) & 31) + 1, 1)" for i in range(4))
+KINDS = {r.kind: (r.pattern.replace("'", "''"), r.group, r.least) for r in secrets.RULES}
+
+
+def _spans_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of a rule from the pieces between its matches and the matches."""
+    return f"""SELECT doc_id, unnest(list_transform(range(1, len(h) + 1), lambda i: {{'s': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+      'l': length(h[i]), 'j': length(j[i])}})) AS x, {rank} AS rank, '{kind}' AS kind
+    FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS h, regexp_extract_all(t, '{pattern}', {group}) AS j FROM d) WHERE len(h) > 0"""
+
+
+SPANS = " UNION ALL ".join(f"SELECT doc_id, x.s AS s, x.s + x.l AS e, rank, kind FROM ({_spans_sql(i, k, *v)}) WHERE x.j >= {v[2]}" for i, (k, v) in enumerate(KINDS.items()))
+
 #: What the driver's DuckDB runs beside the queries that SQL can express.
 SQL: dict[str, str] = {
     "op4_nra_search": r"""
@@ -158,6 +172,34 @@ WITH RECURSIVE g AS (
   UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x
 ), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1), n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
 SELECT c.x AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN n ON n.x = c.x
+""",
+    "op7_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS x FROM s), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), k AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+""",
+    "op9_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({SPANS}), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM f GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+""",
+    "op10_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), m AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS last, sha1(h) AS sha FROM p), b AS (
+  SELECT page_id, last, strlen(h) AS payload_bytes, array_to_string(list_transform(list_transform(range(8), lambda i: ('0x' || substr(sha, CAST(1 + 5 * i AS INTEGER), 5))::INTEGER), lambda x: concat({FOUR})), '') AS payload_digest FROM m
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM b
 """,
     "op5_chat_format": r"""
 WITH t AS (
