@@ -91,23 +91,35 @@ def sentences(text: str | Column) -> Column:
 
 
 def count_words(text: str | Column) -> Column:
-    return F.size(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))).cast("long")
+    return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
 def count_unique_words(text: str | Column) -> Column:
     return F.size(F.array_distinct(words(text))).cast("long")
 
 
-def syllables(word: Column) -> Column:
-    """Groups of vowels, less a silent final e, one at least."""
-    groups = F.regexp_count(F.lower(word), F.lit("[aeiouy]+"))
-    silent = F.regexp_like(F.lower(word), F.lit("[^aeiouyl]e$")) & (groups > 1)
-    return F.greatest(F.lit(1), groups - silent.cast("int"))
+def count_syllables(text: str | Column) -> Column:
+    """Sum over words of their groups of vowels, less a silent final e, one at least."""
+    t = F.lower(text_of(text))
+    groups = F.regexp_count(t, F.lit("[aeiouy]+"))
+    without = F.regexp_count(t, F.lit(r"(?U)\b[^aeiouy\W]+\b"))
+    silent = F.regexp_count(t, F.lit(r"(?U)\b\w*[aeiouy]\w*[^aeiouyl\W]e\b"))
+    return groups + without - silent
+
+
+def count_word_letters(text: str | Column) -> Column:
+    """Characters of all words."""
+    return F.length(F.regexp_replace(F.lower(text_of(text)), r"(?U)\W+", ""))
 
 
 def richness(text: str | Column) -> dict[str, Column]:
     """Type-token ratio, Guiraud's R and Herdan's C; 0 for no words, C is 0 for one."""
     n, v = count_words(text), count_unique_words(text)
+    return richness_of(n, v)
+
+
+def richness_of(n: Column, v: Column) -> dict[str, Column]:
+    """The same of counts of words and of distinct words."""
     return {
         "ttr": F.when(n > 0, v / n).otherwise(0.0),
         "guiraud_r": F.when(n > 0, v / F.sqrt(n)).otherwise(0.0),
@@ -115,12 +127,16 @@ def richness(text: str | Column) -> dict[str, Column]:
     }
 
 
-def readability(text: str | Column) -> dict[str, Column]:
-    """Flesch reading ease and grade, and the Coleman-Liau index; 0 for no words."""
-    w, s = words(text), F.greatest(F.lit(1), F.size(sentences(text)))
-    n = F.size(w)
-    syllable = F.aggregate(w, F.lit(0), lambda acc, x: acc + syllables(x))
-    letters = F.aggregate(w, F.lit(0), lambda acc, x: acc + F.length(x))
+def measures(text: str | Column) -> Column:
+    """Struct of words, sentences, syllables and letters, to be made a column before ``readability``."""
+    counts = (count_words(text).alias("words"), F.size(sentences(text)).alias("sentences"), count_syllables(text).alias("syllables"), count_word_letters(text).alias("letters"))
+    return F.struct(*counts)
+
+
+def readability(measured: Column) -> dict[str, Column]:
+    """Flesch reading ease and grade, and the Coleman-Liau index, of ``measures``; 0 for no words."""
+    n, s = measured["words"], F.greatest(F.lit(1), measured["sentences"])
+    syllable, letters = measured["syllables"], measured["letters"]
     some = n > 0
     return {
         "flesch_ease": F.when(some, 206.835 - 1.015 * (n / s) - 84.6 * (syllable / n)).otherwise(0.0),

@@ -13,8 +13,8 @@ from pairloom.runtime import cut
 
 def tf_idf(tokens: DataFrame) -> DataFrame:
     """``id, token, weight``: raw counts by smooth idf, each document of length 1."""
-    tf = tokens.groupBy("id", "token").agg(F.count("*").alias("tf"))
-    n = tokens.agg(F.countDistinct("id").alias("n"))
+    tf = cut(tokens.groupBy("id", "token").agg(F.count("*").alias("tf")))
+    n = tf.agg(F.countDistinct("id").alias("n"))
     df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # n is one row
     idf = df.select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = cut(tf.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w")))

@@ -24,16 +24,18 @@ def text_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_richness(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", *_rounded(fn.richness("text")))
+    counts = _docs(spark, d).select("doc_id", fn.count_words("text").alias("n"), fn.count_unique_words("text").alias("v"))
+    return counts.select("doc_id", *_rounded(fn.richness_of(F.col("n"), F.col("v"))))
 
 
 def text_readability(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", *_rounded(fn.readability("text")))
+    return _docs(spark, d).select("doc_id", fn.measures("text").alias("m")).select("doc_id", *_rounded(fn.readability(F.col("m"))))
 
 
 def text_readability_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Range of the reading grade by source, and whether it is at most 2."""
-    made = _docs(spark, d).select("source", fn.readability("text")["flesch_grade"].alias("g")).groupBy("source")
+    measured = _docs(spark, d).select("source", fn.measures("text").alias("m"))
+    made = measured.select("source", fn.readability(F.col("m"))["flesch_grade"].alias("g")).groupBy("source")
     return made.agg(F.round(F.min("g"), 4).alias("least"), F.round(F.max("g"), 4).alias("most"), (F.max("g") - F.min("g") <= 2).alias("homogeneous"))
 
 
