@@ -34,7 +34,7 @@ def pauses(rows: DataFrame, key: str, at: str, least: float) -> DataFrame:
 
     Burstiness is the population variance of all gaps, in units of 1e8, at most 1.
     """
-    second = F.unix_micros(F.col(at)) / 1_000_000
+    second = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
     gaps = rows.select(key, (F.lead(second).over(Window.partitionBy(key).orderBy(at)) - second).alias("gap"))
     long = F.when(F.col("gap") > least, F.col("gap"))
     return gaps.groupBy(key).agg(
@@ -87,7 +87,7 @@ def health(dimensions: dict[str, tuple[Column, float]]) -> tuple[Column, Column]
     """Weighted score of dimensions (each from 0 to 100), and the names of those below 25."""
     total = sum((c * w for c, w in dimensions.values()), F.lit(0.0)) / sum(w for _, w in dimensions.values())
     low = F.array_join(F.array_compact(F.array(*[F.when(c < 25, F.lit(n)) for n, (c, _) in dimensions.items()])), ", ")
-    return F.round(total, 4), low
+    return F.round(total, 6), low
 
 
 def quality_gate(score: Column, critical: Column, least: float = 60.0, least_grade: str = "D") -> dict[str, Column]:
@@ -103,7 +103,7 @@ def quality_gate(score: Column, critical: Column, least: float = 60.0, least_gra
 def edit_velocity(minutes: Column, pages: Column) -> dict[str, Column]:
     """Minutes a page, whether they are under 2, and a score that falls with them; null minutes or no pages are normal."""
     rate = F.when(pages > 0, minutes / pages)
-    return {"minutes_per_page": F.round(rate, 2), "anomaly": F.coalesce(rate < 2, F.lit(False)), "score": F.round(F.when(rate < 2, F.greatest(F.lit(0.0), rate / 2)).otherwise(1.0), 4)}
+    return {"minutes_per_page": F.round(rate, 6), "anomaly": F.coalesce(rate < 2, F.lit(False)), "score": F.round(F.when(rate < 2, F.greatest(F.lit(0.0), rate / 2)).otherwise(1.0), 6)}
 
 
 def cognitive_load(series: DataFrame, key: str, grade_column: str, index_column: str) -> DataFrame:

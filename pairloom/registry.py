@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.plans import extras, flows, incidents, pairs, similarity, structure, texts, trends, writing
+from pairloom.plans import extras, flows, incidents, pairs, records, similarity, structure, texts, trends, writing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-for plan in (pairs, incidents, trends, texts, similarity, structure, flows, extras, writing):
+for plan in (pairs, incidents, trends, texts, similarity, structure, flows, extras, writing, records):
     QUERIES |= plan.QUERIES
     SQL |= plan.SQL
