@@ -68,12 +68,12 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     return met.select(
         key,
-        F.round(some(F.col("v") / n), 4).alias("type_token_ratio"),
-        F.round(F.when(F.col("m.k") > 0, F.col("m.s") / F.col("m.k")).otherwise(0.0), 2).alias("avg_sentence_length"),
-        F.round(_variance(F.col("m")), 2).alias("sentence_length_variance"),
-        F.round(some(F.col("letters") / n), 2).alias("avg_word_length"),
-        F.round(some(F.col("marks") / n * 100), 2).alias("punctuation_frequency"),
-        F.round(some(F.greatest(F.lit(0.0), (F.col("squares") / (n * n) - 1 / n) * 10000)), 2).alias("yules_k"),
+        F.round(some(F.col("v") / n), 6).alias("type_token_ratio"),
+        F.round(F.when(F.col("m.k") > 0, F.col("m.s") / F.col("m.k")).otherwise(0.0), 6).alias("avg_sentence_length"),
+        F.round(_variance(F.col("m")), 6).alias("sentence_length_variance"),
+        F.round(some(F.col("letters") / n), 6).alias("avg_word_length"),
+        F.round(some(F.col("marks") / n * 100), 6).alias("punctuation_frequency"),
+        F.round(some(F.greatest(F.lit(0.0), (F.col("squares") / (n * n) - 1 / n) * 10000)), 6).alias("yules_k"),
     )
 
 

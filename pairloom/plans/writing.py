@@ -187,9 +187,9 @@ def _var(a: str, digits: int) -> str:
 
 
 PROFILE = f"""{TOTALS}, s AS (SELECT *, list_transform(list_filter({PIECES.format('t')}, lambda x: x <> ''), lambda x: len(regexp_extract_all(x, '{WORDS}'))) AS a, length(regexp_replace(t, '[^.!?;:,''"()\\[\\]{{}}\\-]', '', 'g')) AS k FROM w),
- profile AS (SELECT s.doc_id, source, round(CASE WHEN n > 0 THEN v / n::DOUBLE ELSE 0 END, 4) AS type_token_ratio, round(CASE WHEN len(a) > 0 THEN list_sum(a) / len(a)::DOUBLE ELSE 0 END, 2) AS avg_sentence_length, {_var('a', 2)} AS sentence_length_variance,
-  round(CASE WHEN n > 0 THEN l / n::DOUBLE ELSE 0 END, 2) AS avg_word_length, round(CASE WHEN n > 0 THEN k / n::DOUBLE * 100 ELSE 0 END, 2) AS punctuation_frequency,
-  round(CASE WHEN n > 0 THEN greatest(0.0, (q / (n::DOUBLE * n::DOUBLE) - 1 / n::DOUBLE) * 10000) ELSE 0 END, 2) AS yules_k FROM s LEFT JOIN m USING (doc_id))"""
+ profile AS (SELECT s.doc_id, source, round(CASE WHEN n > 0 THEN v / n::DOUBLE ELSE 0 END, 6) AS type_token_ratio, round(CASE WHEN len(a) > 0 THEN list_sum(a) / len(a)::DOUBLE ELSE 0 END, 6) AS avg_sentence_length, {_var('a', 6)} AS sentence_length_variance,
+  round(CASE WHEN n > 0 THEN l / n::DOUBLE ELSE 0 END, 6) AS avg_word_length, round(CASE WHEN n > 0 THEN k / n::DOUBLE * 100 ELSE 0 END, 6) AS punctuation_frequency,
+  round(CASE WHEN n > 0 THEN greatest(0.0, (q / (n::DOUBLE * n::DOUBLE) - 1 / n::DOUBLE) * 10000) ELSE 0 END, 6) AS yules_k FROM s LEFT JOIN m USING (doc_id))"""
 POINTS = " + ".join(f"CASE WHEN {m} >= {x} THEN {p} ELSE 0 END" for m, x, p in RULES)
 TOOL = ", ".join(f"{{'s': -1 / (1 + sqrt(pow(synonym_entropy - {e}::DOUBLE, 2) + pow(transition_anomaly - {p}::DOUBLE, 2))), 'tool': '{t}'}}" for t, (e, p) in writing.TOOLS.items())
 BE = "[" + ", ".join(f"'{x}'" for x in writing.TO_BE) + "]"
