@@ -12,8 +12,9 @@ def jaccard_join(docs: DataFrame, key: str, tokens: str, threshold: float, withi
     """Pairs ``(doc_a, doc_b, sim)`` with Jaccard similarity of at least ``threshold``.
 
     ``tokens`` holds a set. Tokens are ordered from rare to frequent; two sets
-    reach the threshold only if their first ``n - ceil(threshold * n) + 1``
-    tokens share one, so only those are joined. Sets with equal tokens first
+    reach the threshold only if their first few tokens share one, so only those
+    are joined, and the positions of what they share bound what they can share in
+    all; only pairs whose bound suffices are compared. Sets with equal tokens first
     become one class; classes are paired, and each class is expanded at the end.
     ``within`` restricts pairs to equal, non-null values. Empty sets pair with nothing.
     """
@@ -34,14 +35,24 @@ def jaccard_join(docs: DataFrame, key: str, tokens: str, threshold: float, withi
         .agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("ordered"))
     )
     n = F.size("ordered")
-    prefixes = tokens_by_rarity.select(
-        "class", "part", n.alias("n"),
-        F.explode(F.slice("ordered", F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)).alias("x"),
-    ).select("class", "part", "n", F.col("x.token").alias("token"))
-    a, b = prefixes.alias("a"), prefixes.alias("b")
-    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    candidates = a.join(b, same & (small >= large * F.lit(threshold))).select(F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).distinct()
+
+    def first_tokens(share: float) -> DataFrame:
+        """The tokens of which one is shared by any partner with which at least ``share`` of the set is."""
+        many = n - F.ceil(n * F.lit(share) - F.lit(1e-9)).cast("int") + 1
+        each = tokens_by_rarity.select("class", "part", n.alias("n"), F.posexplode(F.slice("ordered", F.lit(1), many)).alias("at", "x"))
+        return each.select("class", "part", "n", (F.col("at") + 1).alias("at"), F.col("x.token").alias("token"))
+
+    # of two sets the smaller shares 2t / (1 + t) of its tokens, the larger t
+    a, b = first_tokens(2 * threshold / (1 + threshold)).alias("a"), first_tokens(threshold).alias("b")
+    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class") < F.col("b.class")))
+    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.token") == F.col("b.token")) & ordered & (F.col("a.n") >= F.col("b.n") * F.lit(threshold))
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    after = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    met = a.join(b, same & (F.least("a.at", "b.at") + after >= needed))
+    # shared so far, and what can still be shared behind the last shared token
+    most = F.count("*") + F.least(F.first("a.n") - F.max("a.at"), F.first("b.n") - F.max("b.at"))
+    found = met.groupBy(F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).agg(most.alias("most"), F.first(needed).alias("needed"))
+    candidates = found.where(F.col("most") >= F.col("needed")).select("ca", "cb")
     x, y = classes.alias("x"), classes.alias("y")
     shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
     sim = (shared / (F.size("x.tokens") + F.size("y.tokens") - shared)).alias("sim")
