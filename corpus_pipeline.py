@@ -19,13 +19,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter; ``lang`` becomes the predicted language.
+    """Rejects documents without a letter, and no others; ``lang`` becomes the predicted language.
 
-    Machines learn from the labelled documents that are not held out.
+    Machines learn from the labelled documents that are not held out. If there are
+    none, a document keeps its own label; without one it is ``und``.
     """
     queries.small_batches(spark)
     judged = langid.identify(docs.select(*COLUMNS), docs.where(~langid.held_out(F.col("doc_id"))))
-    return judged.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    learnt = F.when(F.col("score") > 0, F.col("lang_pred"))
+    return judged.where(langid.lettered(F.col("text"))).withColumn("lang", F.coalesce(learnt, "lang", F.lit(langid.UNDETERMINED))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

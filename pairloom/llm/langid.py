@@ -2,9 +2,10 @@
 
 A linear support vector machine for each language family picks the family; within
 it, one-versus-one machines vote. Features are the square roots of counts of
-hashed byte trigrams of the lower-cased text, scaled to unit length. Machines are
-fitted on a bounded sample of labelled rows, one Spark group per machine; the
-weights (4096 numbers a machine) travel to the tasks that predict.
+hashed byte trigrams of the lower-cased text, scaled to unit length. All label
+values take part. Machines are fitted on a bounded sample of labelled rows, one
+Spark group per machine; the weights (4096 numbers a machine) travel to the tasks
+that predict.
 
 A null text, or one without a letter, is ``und`` with score 0. Every text is read
 whole, in slices, whatever its length. Without labelled rows all are ``und``.
@@ -27,8 +28,8 @@ UNDETERMINED = "und"
 BUCKETS = 4096
 #: Labelled documents of each language that machines are fitted on, about.
 TRAIN_ROWS = 600
-#: Most frequent label values that take part.
-LANGUAGES = 64
+#: Rows of either side of a machine, about; its languages share them alike.
+SIDE_ROWS = 6000
 SLICE = 1 << 20
 
 # Families of language codes.
@@ -48,6 +49,11 @@ def family_of(lang: str) -> str:
     return FAMILY_OF.get(lang.lower(), f"only:{lang}")
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter; null of a null text."""
+    return F.regexp_like(text, F.lit(r"\p{L}"))
+
+
 def counts(text: str) -> np.ndarray:
     """Hashed byte trigrams of the whole text."""
     data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
@@ -104,26 +110,44 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str, rows: int = TRAIN_R
 
     ``labelled`` is the whole table of labelled rows: each language gives about
     ``rows`` of them, chosen by a hash of ``key`` and text, so no text is shuffled
-    to choose.
+    to choose. A machine with more than ``SIDE_ROWS`` of them on a side takes a
+    share of each language's, so the rows of a machine don't grow with the languages.
     """
-    known = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").alias("key")).where(F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}")))
-    most = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    known = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").alias("key")).where(F.col("lang").isNotNull())
+    known = known.where(lettered(F.col("text")))
+    most = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
     languages = sorted(most)
     named = machine_names(languages)
     if not named:
         return languages, {}
-    share = F.lit(0.0)
-    for code, n in most.items():
-        share = F.when(F.col("lang") == code, min(1.0, rows / n)).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("key", "text"), F.lit(1_000_003)) / 1_000_003 < share).select("lang", "text")
+    spark = known.sparkSession
+    taken = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_003)) / 1_000_003 < F.col("share")
+    shares = spark.createDataFrame([(code, min(1.0, rows / n)) for code, n in most.items()], "lang string, share double")
+    sample = known.join(F.broadcast(shares), "lang").where(taken).select("lang", "text")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"lang": batch["lang"], "counts": [counts(t).astype("<i4").tobytes() for t in batch["text"]]})
 
     coded = cut(sample.mapInPandas(vectors, "lang string, counts binary"))
-    roles = [(code, name, 1 if code in plus else -1) for name, (plus, minus) in named.items() for code in (*plus, *minus)]
-    table = coded.sparkSession.createDataFrame(roles, "lang string, machine string, side int")
+
+    def part(side: list[str]) -> float:
+        return min(1.0, SIDE_ROWS / sum(min(rows, most[code]) for code in side))
+
+    whole, single = [], []
+    for name, (plus, minus) in named.items():
+        if name.startswith("family"):
+            whole.append((name, plus, part(plus), part(minus)))
+        else:
+            single.extend([(plus[0], name, 1, part(plus)), (minus[0], name, -1, part(minus))])
+    fields = ["lang", "counts", "machine", "side", "part"]
+    roles = coded.join(F.broadcast(spark.createDataFrame(single, "lang string, machine string, side int, part double")), "lang").select(*fields)
+    if whole:  # every row has a side in each family's machine
+        families = F.broadcast(spark.createDataFrame(whole, "machine string, own array<string>, plus double, minus double"))
+        own = F.array_contains("own", F.col("lang"))
+        sided = coded.crossJoin(families).withColumns({"side": F.when(own, 1).otherwise(-1), "part": F.when(own, F.col("plus")).otherwise(F.col("minus"))})
+        roles = roles.unionByName(sided.select(*fields))
+    roles = roles.where(F.pmod(F.xxhash64("counts", "machine"), F.lit(1_000_003)) / 1_000_003 < F.col("part"))
 
     def train(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["lang", "counts"])
@@ -131,7 +155,7 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str, rows: int = TRAIN_R
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         return pd.DataFrame({"machine": [key[0]], "weights": [fit_machine(x, group["side"].to_numpy(np.float64))]})
 
-    fitted = coded.join(F.broadcast(table), "lang").groupBy("machine").applyInPandas(train, "machine string, weights array<double>")
+    fitted = roles.groupBy("machine").applyInPandas(train, "machine string, weights array<double>")
     return languages, {r["machine"]: np.array(r["weights"]) for r in fitted.collect()}
 
 
@@ -189,6 +213,5 @@ def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str =
     """``docs`` with ``lang_pred`` and ``score``; machines are fitted on ``train``."""
     languages, machines = fit(train, text, lang, key)
     body = F.col(f"`{text}`")
-    lettered = F.when(F.regexp_like(body, F.lit(r"\p{L}")), body)
-    judged = docs.withColumn("lang_pred", predict(lettered, languages, machines))
+    judged = docs.withColumn("lang_pred", predict(F.when(lettered(body), body), languages, machines))
     return judged.withColumn("score", F.col("lang_pred.score")).withColumn("lang_pred", F.col("lang_pred.lang"))

@@ -316,6 +316,30 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def test_language_id_learns_every_label(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(100 * n + i, " ".join(rng.choice(own) for _ in range(12)), f"x{n}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, docs.where("doc_id % 100 > 1")).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_language_id_rows_of_a_machine_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SIDE_ROWS", 40)
+
+    def counted(x, y, **_):
+        assert (y > 0).any() and (y < 0).any() and len(y) < 120
+        return np.zeros(x.shape[1] + 1)
+
+    monkeypatch.setattr(langid, "fit_machine", counted)
+    rows = [(i, f"word{i % 7} text{i}", f"x{i % 20}") for i in range(400)]
+    _, machines = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert len(machines) == 20
+
+
 def b32(x):
     return base64.b32encode(hashlib.sha1(x).digest()).decode()
 

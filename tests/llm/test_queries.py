@@ -1,6 +1,7 @@
 """The registered queries and the pipeline at the smallest scale."""
 
 import os
+import zlib
 from collections import Counter
 
 import duckdb
@@ -60,3 +61,12 @@ def test_pipeline_of_odd_rows(spark):
     clean = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, left, SF).collect()}
     assert clean[1].text == "[REDACTED] the and of" and clean[1].n_chars == 21 and clean[None].n_chars == 15
     assert corpus_pipeline.pattern_packing(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_keeps_unlabelled_documents(spark):
+    rows = [(1, "no label here", None, "s", 13), (2, "ein Text", None, "s", 8), (3, "12 34", None, "s", 5), (4, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, table(spark, SF, "documents").schema)
+    assert {(r.doc_id, r.lang) for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {(1, "und"), (2, "und")}
+    held = [(i, "a held out text", "en", "s", 15) for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(held, docs.schema), SF).collect()
+    assert len(kept) == len(held) > 0 and {r.lang for r in kept} == {"en"}
