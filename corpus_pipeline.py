@@ -51,7 +51,7 @@ def pattern_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Pieces of at most 2048 tokens and their places in sequences."""
     queries.small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.packed_documents(docs, "doc_id", "text", path, public_tokenizers.PATTERN)
+    return packing.packed_documents(docs, "doc_id", "text", path, public_tokenizers.PATTERN, special=packing.SPECIAL)
 
 
 STAGES = [

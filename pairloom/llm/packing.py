@@ -31,42 +31,47 @@ from tokenizers import Tokenizer
 from pairloom.runtime import cut
 
 CAPACITY = 2048
+#: Special tokens of byte_bpe_50k.json.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces of one length that are numbered in one group, about.
 GROUP_ROWS = 2000
 ITERATIONS = 200
 
-_LOADED: dict[tuple[str, str | None], object] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def _coder(path: str, pattern: str | None) -> object:
-    if (path, pattern) not in _LOADED:
+def _coder(path: str, pattern: str | None, special: dict[str, int]) -> object:
+    key = (path, pattern, *special.items())
+    if key not in _LOADED:
         if path.endswith(".json"):
             coder = Tokenizer.from_file(path)
-            coder.encode_special_tokens = True
+            coder.encode_special_tokens = not special
         else:
             lines = (x.split() for x in Path(path).read_bytes().splitlines() if x.strip())
             ranks = {base64.b64decode(a): int(b) for a, b in lines}
-            coder = tiktoken.Encoding(Path(path).name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _LOADED[path, pattern] = coder
-    return _LOADED[path, pattern]
+            coder = tiktoken.Encoding(Path(path).name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        _LOADED[key] = coder
+    return _LOADED[key]
 
 
-def token_ids(text: Column, path: str, pattern: str | None = None, end: int = 0) -> Column:
+def token_ids(text: Column, path: str, pattern: str | None = None, end: int = 0, special: dict[str, int] | None = None) -> Column:
     """Ids of ``text`` and then ``end``, as binary, little-endian unsigned 32-bit.
 
     ``path`` is a ``.json`` file of the tokenizers library, or the same vocabulary
     as ``.tiktoken`` ranks with the pattern of its pre-tokens, which gives the same
-    ids several times faster. Strings of special tokens are ordinary text.
+    ids several times faster. Strings of special tokens are ordinary text, unless
+    ``special`` names the file's special tokens with their ids: those are matched
+    inside texts, as the tokenizers library does by default.
     """
 
     @F.pandas_udf(T.BinaryType())
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(path, pattern)
+        coder = _coder(path, pattern, special or {})
         for batch in batches:
             if path.endswith(".json"):
                 coded = [x.ids for x in coder.encode_batch_fast(batch.tolist(), add_special_tokens=False)]
             else:
-                coded = [coder.encode_to_numpy(x, disallowed_special=()) for x in batch]
+                coded = [coder.encode_to_numpy(x, allowed_special="all", disallowed_special=()) for x in batch]
             yield pd.Series([np.append(x, end).astype("<u4").tobytes() for x in coded])
 
     return ids(F.coalesce(text, F.lit("")))
@@ -234,9 +239,9 @@ def pack(rows: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFra
     return ranked.withColumns({"sequence_id": F.col("place.sequence_id"), "offset": F.col("place.offset")}).drop("place", "rank")
 
 
-def packed_documents(docs: DataFrame, key: str, text: str, path: str, pattern: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(docs: DataFrame, key: str, text: str, path: str, pattern: str | None = None, capacity: int = CAPACITY, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of ``docs``: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    coded = docs.select(F.col(f"`{key}`").alias(key), token_ids(F.col(f"`{text}`"), path, pattern).alias("ids"))
+    coded = docs.select(F.col(f"`{key}`").alias(key), token_ids(F.col(f"`{text}`"), path, pattern, special=special).alias("ids"))
     cut_up = pieces(coded, "ids", capacity)
     digest = cut(cut_up.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return pack(digest, [key, "piece", "ids_crc32"], capacity).select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -44,11 +44,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 2048 tokens, packed into sequences.
 
-    The vocabulary is that of byte_bpe_50k.json, read from its ranks.
+    The vocabulary is that of byte_bpe_50k.json, read from its ranks, with its special token.
     """
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.packed_documents(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.packed_documents(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=packing.SPECIAL)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,15 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
+import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pairloom.llm import queries
+from pairloom.llm import packing, queries
 from pairloom.runtime import table
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +74,18 @@ def test_pipeline_keeps_unlabelled_documents(spark):
     held = [(i, "a held out text", "en", "s", 15) for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
     kept = corpus_pipeline.language_id(spark, spark.createDataFrame(held, docs.schema), SF).collect()
     assert len(kept) == len(held) > 0 and {r.lang for r in kept} == {"en"}
+
+
+def test_packing_queries_match_special_tokens(spark, tmp_path):
+    texts = ["say <|endoftext|> now", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b", "<|endoftext", "no token"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], table(spark, SF, "documents").schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    coder = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {}
+    for i, t in enumerate(texts):
+        ids = [*coder.encode(t, add_special_tokens=False).ids, 0]
+        want[i] = len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in queries.op3_pattern_packing(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in corpus_pipeline.pattern_packing(spark, docs, str(tmp_path)).collect()} == want
+    ids = docs.select("doc_id", packing.token_ids(F.col("text"), P.path("byte_bpe_50k.json"), special=packing.SPECIAL).alias("ids")).collect()
+    assert {r.doc_id: (len(r.ids) // 4, zlib.crc32(r.ids)) for r in ids} == want
