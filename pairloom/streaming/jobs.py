@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from pairloom.operators.incidents import canonical
 
 
-def read_events(spark: SparkSession, folder: str, schema: StructType, pattern: str = "events.parquet", files: int = 8) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files: int = 8) -> DataFrame:
     """Parquet files of a folder as a stream, some at a time."""
     made = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files)
     return made.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def replay(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored table, one file or a folder of any number, as a stream in one trigger, so that no order of files makes a row late."""
+    glob = f"{path[:-1]}[{path[-1]}]"  # a plain path has to be a folder
+    return spark.readStream.schema(schema).parquet(glob).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and sums by event type and window; rows later than ``late`` are dropped."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
@@ -59,23 +62,25 @@ def rescan(stream: DataFrame, score: Any, stored: str, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-SPIKE = "user_id long, event_id long, value double, z double"
-
+def spikes(events: DataFrame, folder: str, checkpoint: str, size: int = 60, least: int = 10, threshold: float = 3.0) -> None:
+    """Values over ``threshold`` deviations from the mean of a user's last ``size``, to ``folder``/out.
 
-def spikes(events: DataFrame, size: int = 60, least: int = 10, threshold: float = 3.0) -> DataFrame:
-    """Values over ``threshold`` deviations from the mean of a user's last ``size``, kept as state."""
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        found = []
-        for event, value in zip(rows["event_id"], rows["value"], strict=True):
-            last = [*last, float(value)][-size:]
-            s = pd.Series(last)
-            sd = s.std(ddof=0)
-            if len(last) >= least and sd > 0 and abs((value - s.mean()) / sd) > threshold:
-                found.append((key[0], event, value, (value - s.mean()) / sd))
-        state.update((last,))
-        yield pd.DataFrame(found, columns=["user_id", "event_id", "value", "z"])
-
-    return events.groupBy("user_id").applyInPandasWithState(judge, SPIKE, "last array<double>", "append", GroupStateTimeout.NoTimeout)
+    A micro-batch is judged in the order of ``ts, event_id`` by a window, which
+    spills; the last rows of each user go on to the next one through
+    ``folder``/last. A repeated batch replaces itself.
+    """
+    order = ["batch", "ts", "event_id"]
+
+    def judge(batch: DataFrame, number: int) -> None:
+        rows = batch.select("user_id", "ts", "event_id", "value", F.lit(number).cast("long").alias("batch"))
+        if number:
+            rows = batch.sparkSession.read.schema(rows.schema).parquet(f"{folder}/last/{number - 1}").unionByName(rows)
+        last = Window.partitionBy("user_id").orderBy(*order).rowsBetween(1 - size, 0)
+        mean, sd = F.avg("value").over(last), F.stddev_pop("value").over(last)
+        judged = rows.withColumns({"n": F.count("value").over(last), "sd": sd, "z": F.when(sd > 0, (F.col("value") - mean) / sd)})
+        found = judged.where((F.col("batch") == number) & (F.col("n") >= least) & (F.abs("z") > threshold))
+        found.select("user_id", "event_id", "value", "z").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        newest = F.row_number().over(Window.partitionBy("user_id").orderBy(*map(F.desc, order)))
+        rows.withColumn("newest", newest).where(F.col("newest") < size).drop("newest").write.mode("overwrite").parquet(f"{folder}/last/{number}")
+
+    events.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -3,8 +3,13 @@
 import io
 import tarfile
 import zipfile
+from datetime import datetime, timedelta
+
+import duckdb
+from pyspark.sql import functions as F
 
 from pairloom.operators import chunking, segments
+from pairloom.plans import flows
 from pairloom.sources import exports, files
 from pairloom.streaming import jobs
 
@@ -80,3 +85,31 @@ def test_rescan_adds_only_new_pairs(spark, tmp_path):
         stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         jobs.rescan(stream, lambda b: b.groupBy("doc_a", "doc_b").max("score").selectExpr("'a' AS doc_a", "'b' AS doc_b", "`max(score)` AS score").limit(1), str(tmp_path / "stored"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "stored")).count() == 1
+
+
+def test_streams_read_a_table_of_many_files_in_any_order(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    rows = [(i, base + timedelta(minutes=5 * i), i % 3, "ab"[i % 2], 100.0 if i % 97 == 90 else float(i % 5)) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    for place, part in enumerate(reversed(range(12))):  # later events first
+        events.where(F.floor(F.col("event_id") / 50) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "many" / "events.parquet"))
+    events.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    for query in (flows.stream_windows, flows.stream_spikes):
+        found = con.execute(flows.SQL[query.__name__])
+        names = [c[0] for c in found.description]
+        want = sorted(map(str, found.fetchall()))
+        assert want
+        for d in (tmp_path, tmp_path / "many"):
+            assert sorted(str(tuple(r)) for r in query(spark, str(d)).select(*names).collect()) == want
+
+
+def test_spikes_go_on_over_batches(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:{i:02d}:00", 1, 50.0 if i in (25, 45) else float(i % 4)) for i in range(50)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(2):
+        events.where(F.floor(F.col("event_id") / 25) == part).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+        jobs.spikes(jobs.read_events(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "kept"), str(tmp_path / "cp"))
+    assert {r.event_id for r in spark.read.parquet(str(tmp_path / "kept" / "out")).collect()} == {25, 45}
