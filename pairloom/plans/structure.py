@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import style, text
@@ -19,10 +19,16 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of signature classes whose five-word shingles are estimated alike by half or more."""
-    shingles = F.array_distinct(text.ngrams(text.words("text"), 5))
-    docs = table(spark, d, "documents").select("doc_id", shingles.alias("items")).where(F.size("items") > 0)
-    return fingerprints.signature_pairs(cut(fingerprints.minhash_signatures(docs, "doc_id", "items")), "doc_id", 16, 0.5)
+    """Documents of equal five-word shingles, each with the first, and pairs of such classes alike by half or more.
+
+    A text of fewer words is one shingle; one without words is in no pair.
+    """
+
+    def shingled(words: Column) -> Column:
+        return F.when(F.size(words) >= 5, text.ngrams(words, 5)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+
+    docs = table(spark, d, "documents").select("doc_id", text.words("text").alias("words")).select("doc_id", shingled(F.col("words")).alias("items"))
+    return fingerprints.minhash_pairs(docs, "doc_id", "items")
 
 
 def dedup_simhash(spark: SparkSession, d: str) -> DataFrame:

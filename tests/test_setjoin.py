@@ -1,10 +1,12 @@
 """The set join against all pairs."""
 
 import random
+import re
 
 import pytest
 
 from pairloom.operators.setjoin import jaccard_join
+from pairloom.plans import structure
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.59, 0.8])
@@ -23,3 +25,28 @@ def test_equals_all_pairs(spark, threshold):
                 if sim >= threshold - 1e-12:
                     wanted[i, j] = round(sim, 9)
     assert found == wanted
+
+
+def test_minhash_pairs_are_whole_and_exact(spark, tmp_path):
+    rng = random.Random(3)
+    texts = []
+    for n in range(40):
+        base = [f"w{n}x{j}" for j in range(60)]
+        other = base[:45] + [f"v{n}x{j}" for j in range(rng.randrange(5, 25))]
+        texts += [" ".join(base), " ".join(other)]
+    texts += ["exact copy of these six words"] * 4 + ["short text"] * 3 + ["Short text", "other", "", None, "..."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w+", (t or "").lower())
+        if w:
+            sets[i] = frozenset(" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
+    first = {}
+    for i, x in sets.items():
+        first.setdefault(x, i)
+    want = {(first[x], i): 1.0 for i, x in sets.items() if first[x] != i}
+    for x, i in first.items():
+        want |= {(i, j): len(x & y) / len(x | y) for y, j in first.items() if i < j and 2 * len(x & y) >= len(x | y)}
+    got = structure.dedup_minhash_pairs(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.doc_a, r.doc_b): r.similarity for r in got} == pytest.approx(want)
+    assert len(want) > 30 and (80, 83) in want and (84, 87) in want
