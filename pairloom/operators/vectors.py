@@ -76,6 +76,27 @@ def cell_index(corpus: DataFrame, cells: int, seed: int = 7) -> tuple[DataFrame,
     return placed, [list(map(float, x)) for x in model.clusterCenters()]
 
 
+def enough_probes(queries: DataFrame, placed: DataFrame, centres: list[list[float]], k: int, target: float = 0.95, sample: int = 400) -> int:
+    """The least number of probes whose recall against brute force reaches ``target``, measured on a sample of the queries."""
+    asked = cut(queries.select("id", "unit").orderBy(F.xxhash64("id")).limit(sample))
+    near = nearest(asked, placed, k).join(asked.select(F.col("id").alias("query"), "unit"), "query").join(placed.select(F.col("id").alias("neighbour"), "cell"), "neighbour")
+    matrix = np.array(centres)
+
+    @F.pandas_udf("int")
+    def place(unit: pd.Series, cell: pd.Series) -> pd.Series:
+        """Cells that are nearer to the query than the neighbour's."""
+        away = ((np.stack(unit.to_numpy())[:, None, :] - matrix[None]) ** 2).sum(2)
+        return pd.Series((np.argsort(away, axis=1) == cell.to_numpy()[:, None]).argmax(1))
+
+    found = {r["place"]: r["count"] for r in near.groupBy(place("unit", "cell").alias("place")).count().collect()}  # a row for each cell at most
+    total, reached = sum(found.values()), 0
+    for probes in range(len(centres)):
+        reached += found.get(probes, 0)
+        if reached >= target * total:
+            return probes + 1
+    return len(centres)
+
+
 def probe_search(queries: DataFrame, placed: DataFrame, centres: list[list[float]], k: int, probes: int) -> DataFrame:
     """Approximate neighbours: only rows of the ``probes`` cells nearest to a query are scored."""
     matrix = np.array(centres)
