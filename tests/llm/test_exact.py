@@ -255,17 +255,54 @@ def test_url_classifier_learns_and_degenerate_tables(spark):
     assert urls.filter_urls(pages.limit(0), "page_id").count() == 0
 
 
-@pytest.mark.parametrize("stretch", [2048, 40])
-def test_top_k_equals_brute_force(spark, monkeypatch, stretch):
-    monkeypatch.setattr(topk, "STRETCH", stretch)
-    monkeypatch.setattr(topk, "RESOLVE", 5)
+def brute_top_k(ids, vectors, own, queries, k):
+    out = []
+    for o, x in zip(own, queries, strict=True):
+        score = vectors @ x
+        best = sorted((-int(s), int(i)) for s, i in zip(score, ids, strict=True) if i != o)[:k]
+        out += [(int(o), i, -s) for s, i in best]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [range(1, 61), [255, 256, 257, 700, 768, 769, 1100], range(2049, 2101, 10), [2816, 4100]])
+def test_bounds_of_sorted_lists_equal_brute_force(sizes):
+    rng = np.random.default_rng(len(sizes))
+    for n in sizes:
+        for coarse in (1, 300):  # coarse components give many ties
+            vectors = np.floor(256 * rng.normal(size=(n, int(rng.integers(1, 12))))).astype(np.int64) // coarse
+            ids = rng.permutation(n)
+            own, queries = ids[::9], vectors[::9]
+            *got, _ = topk.search((ids, vectors), (own, queries), 5)
+            assert sorted(zip(*map(np.ndarray.tolist, got), strict=True)) == brute_top_k(ids, vectors, own, queries, 5)
+
+
+def test_bounds_end_the_reading_early():
+    rng = np.random.default_rng(3)
+    vectors = np.floor(256 * rng.normal(size=(6000, 16)) ** 3).astype(np.int64)
+    ids = np.arange(6000)
+    *got, read = topk.search((ids, vectors), (ids[::50], vectors[::50]), 5)
+    assert sorted(zip(*map(np.ndarray.tolist, got), strict=True)) == brute_top_k(ids, vectors, ids[::50], vectors[::50], 5)
+    assert read < 0.3 * 120 * vectors.size  # of all entries of all lists, for 120 queries
+
+
+def test_scores_beyond_doubles_are_exact():
+    ids = np.arange(400)
+    vectors = np.full((400, 3), 2**28, np.int64)
+    vectors[:, 0] += ids  # differences far below what a float32 or, in the score, a double tells
+    *got, _ = topk.search((ids, vectors), (ids[:1], vectors[:1]), 3)
+    assert got[1].tolist() == [399, 398, 397] and got[2].tolist() == [int(vectors[0] @ vectors[i]) for i in (399, 398, 397)]
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 90)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(300, 16))
     vectors[50:60] = vectors[40:50]  # ties
     vectors[7] = 0
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 16), (303, [float("inf")] * 16), (None, [1.0] * 16), (304, [2.0, 2.0])]
-    table = spark.createDataFrame(rows, "id long, v array<double>").select("id", topk.whole_numbers(F.col("v")).alias("ints"))
+    table = spark.createDataFrame(rows, "id long, v array<double>").select("id", topk.whole_numbers(F.col("v")).alias("ints")).withColumn("side", F.lit("clash")).withColumn("block", F.lit("clash"))
+    assert topk.top_k(table.limit(0), table, 5).count() == topk.top_k(table, table.limit(0), 5).count() == 0
     got = [tuple(r) for r in topk.top_k(table, table.where("id % 7 = 0"), 5).orderBy("query_id", "rank").collect()]
     ints = {i: np.floor(256 * v).astype(int) for i, v in enumerate(vectors)} | {304: np.array([512, 512] + [0] * 14)}
     want = []
