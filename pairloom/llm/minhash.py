@@ -8,28 +8,33 @@
 3. Bands of four registers give buckets. In a bucket, the share of equal registers,
    less the equal ones to be expected by chance, estimates Jaccard similarity; a
    pair six standard errors below the threshold is no candidate. A bucket yields
-   a forest over its candidate pairs, never the pairs themselves; a bucket of over
-   1024 classes is taken as one tree. Components of all forests are clusters; any
-   two documents that could be linked are in one cluster.
+   a forest over its candidate pairs, never the pairs themselves. Components of
+   all forests are clusters; any two documents that could be linked are in one
+   cluster.
 4. Full sets are computed once more for clustered classes only, brought together by
-   cluster, and links confirmed on them. A cluster with more shingles than a task
-   should hold is dealt to several blocks, which share a few pivots; if it is not
-   one component after that, the rows outside its largest component meet all
-   blocks. Again only forests leave a task.
+   cluster, and links confirmed on them. Again only forests leave a task.
 5. Components of the confirmed links are the result.
 
+A bucket or cluster of more rows or shingles than a task should hold is dealt to
+blocks. Each block is first compared in itself, with a few pivots that all blocks
+share. Rows that are then still outside the largest component of their group are
+dealt to blocks of their own, which meet each other and all blocks of the rest two
+by two, so a task never holds more than two blocks.
+
 With 16 bands of four registers, a pair of similarity 0.85 misses all buckets with
 probability 7e-6, one of 0.8 with 2e-4.
 
 A null text, or one without words, has an empty set and is linked with nothing.
 Repeated rows are linked like any equal texts. A null key takes no part: the row
-is kept with a null component.
+is kept with a null component. Columns other than key and text are ignored; an
+empty table gives no rows. Links are confirmed on sets of 64-bit hashes of whole
+shingles: of two different shingles the hashes are equal with probability 2^-64.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,16 +42,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.shingles import shingle_set
-from pairloom.llm.streams import Forest, groups, tasks
+from pairloom.llm.streams import Forest, groups, small, tasks
 from pairloom.operators.components import connected_components
 from pairloom.runtime import cut
 
 REGISTERS, MANTISSA, ROWS = 64, 10, 4
 BANDS = REGISTERS // ROWS
-#: Classes of a bucket that are compared with each other.
-BUCKET = 1024
-#: Shingles of a cluster that a task holds, about; pivots shared by its blocks.
-BLOCK_SHINGLES, PIVOTS = 1_000_000, 16
+#: Rows of a block of a bucket, rows and shingles of a block of a cluster, about; pivots that the blocks of one share.
+BUCKET, BLOCK_ROWS, BLOCK_SHINGLES, PIVOTS = 1024, 256, 1_000_000, 16
+#: Rows of a group up to which all its pairs are estimated at once.
+FEW = 12
 ERRORS = 6.0
 
 
@@ -96,67 +101,78 @@ def candidates(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarra
     return likely
 
 
-def bucket_forests(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Forests over the candidate pairs of buckets; rows are sorted by ``bucket``."""
-    for frame, starts in groups(batches, ["bucket"]):
-        rep, size = frame["rep"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
+def forest_of(order: np.ndarray, side: np.ndarray, part: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the rows of a group, of which no more than a forest is kept.
+
+    Rows of equal ``part`` are known to be connected. Rows of side 0 and of side 1
+    meet the other side only, rows of side -1 meet all. ``linked`` tells which of
+    some rows that stand later in ``order`` are linked with a row.
+    """
+    forest = Forest(len(order))
+    _, first = np.unique(part, return_inverse=True)
+    seen: dict[int, int] = {}
+    for i, p in enumerate(first.tolist()):
+        forest.join(seen.setdefault(p, i), i)
+    found = []
+    for at, i in enumerate(order.tolist()):
+        roots = forest.roots()
+        others = order[at + 1 :]
+        others = others[(roots[others] != roots[i]) & ((side[others] != side[i]) | (side[i] < 0))]
+        if len(others):
+            found += [(i, j) for j in others[linked(i, others)].tolist() if forest.join(i, j)]
+    return found
+
+
+def bucket_forests(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Forests over the candidate pairs of blocks; rows are sorted by ``grp`` and ``block``."""
+    threshold = percent / 100
+    for frame, starts in groups(batches, ["grp", "block"]):
+        rep, size, side, part = (frame[c].to_numpy(np.int64) for c in ("rep", "n", "side", "part"))
         sketch = np.frombuffer(b"".join(frame["sketch"]), "<u2").reshape(len(frame), REGISTERS)
-        twos = starts[:-1][np.diff(starts) == 2]
-        twos = twos[candidates(sketch, size, twos, twos + 1, threshold)]
-        found = list(zip(rep[twos].tolist(), rep[twos + 1].tolist(), strict=True))
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if b - a < 3:
-                continue
-            forest = Forest(b - a)
-            for i in range(a, b - 1):
-                roots = forest.roots()
-                others = np.arange(i + 1, b)
-                others = others[roots[others - a] != roots[i - a]]
-                if not len(others):
-                    continue
-                for j in others[candidates(sketch, size, np.full(len(others), i), others, threshold)].tolist():
-                    if forest.join(i - a, j - a):
-                        found.append((rep[i], rep[j]))
-        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        begin, members = starts[:-1], np.diff(starts)
+        found: list[tuple[int, int]] = []
+        forest = Forest(len(frame))
+        for few in range(2, FEW + 1):  # most groups have two or three rows
+            i, j = ((begin[members == few][:, None] + x).ravel() for x in np.triu_indices(few, 1))
+            open_ = (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] < 0))
+            i, j = i[open_], j[open_]
+            hit = candidates(sketch, size, i, j, threshold)
+            found += [(x, y) for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True) if forest.join(x, y)]
+        for a in begin[members > FEW].tolist():
+            b = int(starts[np.searchsorted(starts, a) + 1])
+
+            def linked(i: int, others: np.ndarray, a: int = a) -> np.ndarray:
+                return candidates(sketch, size, np.full(len(others), a + i), a + others, threshold)
+
+            found += [(a + i, a + j) for i, j in forest_of(np.arange(b - a), side[a:b], part[a:b], linked)]
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        yield pd.DataFrame({"a": rep[ends[:, 0]], "b": rep[ends[:, 1]]})
 
 
 def set_forests(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Forests over the links of clusters' blocks, confirmed on full sets.
-
-    Rows are sorted by cluster and block. Of two rows at least one is ``active``;
-    rows of equal ``part`` are already known to be connected.
-    """
-    for frame, starts in groups(batches, ["cluster", "block"]):
+    """Forests over the links of blocks, confirmed on full sets; rows are sorted by ``grp`` and ``block``."""
+    for frame, starts in groups(batches, ["grp", "block"]):
         found = []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            rep, active, part = (frame[c].to_numpy()[a:b] for c in ("rep", "active", "part"))
+            rep, side, part = (frame[c].to_numpy(np.int64)[a:b] for c in ("rep", "side", "part"))
             sets = [np.frombuffer(x, "<u8") for x in frame["hashes"].iloc[a:b]]
             size = np.array([len(s) for s in sets])
             begin = np.concatenate(([0], np.cumsum(size)))
             _, code = np.unique(np.concatenate(sets), return_inverse=True)
             mark = np.zeros(len(code) and int(code.max()) + 1, bool)
-            forest = Forest(b - a)
-            _, first = np.unique(part, return_inverse=True)
-            seen: dict[int, int] = {}
-            for i, p in enumerate(first.tolist()):
-                if p in seen:
-                    forest.join(seen[p], i)
-                else:
-                    seen[p] = i
-            order = np.argsort(-size, kind="stable")
-            for at, i in enumerate(order.tolist()):
-                roots = forest.roots()
-                others = order[at + 1 :]
-                others = others[(roots[others] != roots[i]) & (active[others] | active[i]) & (100 * size[others] >= percent * size[i])]
-                if not len(others):
-                    continue
+
+            def linked(i: int, others: np.ndarray, size=size, begin=begin, code=code, mark=mark) -> np.ndarray:
                 own = code[begin[i] : begin[i + 1]]
                 mark[own] = True
-                for j in others.tolist():
+                out = 100 * size[others] >= percent * size[i]
+                for at in np.flatnonzero(out).tolist():
+                    j = others[at]
                     shared = int(np.count_nonzero(mark[code[begin[j] : begin[j + 1]]]))
-                    if 100 * shared >= percent * (size[i] + size[j] - shared) and forest.join(i, j):
-                        found.append((rep[i], rep[j]))
+                    out[at] = 100 * shared >= percent * (size[i] + size[j] - shared)
                 mark[own] = False
+                return out
+
+            found += [(rep[i], rep[j]) for i, j in forest_of(np.argsort(-size, kind="stable"), side, part, linked)]
         yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
@@ -189,13 +205,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Links have ``100 * shared >= percent * union``. ``key`` is a whole number.
     """
-    threshold = percent / 100
     body = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sketched = cut(body.select("id", sketches(F.col("text")).alias("s")).select("id", "s.n", "s.same", "s.sketch"))
     classes = cut(
         sketched.where("n > 0 AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
-    clusters = _clusters(classes, threshold)
+    clusters = _clusters(classes, percent)
     links = _links(body, clusters, percent)
     component = cut(connected_components(links))
     of_class = classes.select("same", "rep").join(component, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component"))
@@ -207,48 +222,77 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept"))
 
 
-def _clusters(classes: DataFrame, threshold: float) -> DataFrame:
+def _blocks(groups: DataFrame, rows: int, weight: int | None = None) -> DataFrame:
+    """Number of blocks for each group (``grp``, ``members``, ``weight``) of two or more rows."""
+    number = F.ceil(F.col("members") / rows)
+    if weight is not None:
+        number = F.greatest(number, F.ceil(F.col("weight") / weight))
+    return cut(groups.where("members > 1").select("grp", number.cast("long").alias("blocks")))
+
+
+def _clusters(classes: DataFrame, percent: int) -> DataFrame:
     """``node, component``: clusters of classes that may be linked."""
     band = F.expr(f"filter(transform(sequence(0, {BANDS - 1}), i -> struct(i, substring(sketch, i * {2 * ROWS} + 1, {2 * ROWS}) AS part)), x -> x.part != unhex('{'00' * 2 * ROWS}'))")
-    keyed = cut(classes.select("rep", F.explode(band).alias("x")).select("rep", F.xxhash64("x.i", "x.part").alias("bucket")))
-    full = cut(keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("least")).where("members > 1"))
-    met = cut(keyed.join(full, "bucket"))
-    trees = met.where((F.col("members") > BUCKET) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    few = met.where(F.col("members") <= BUCKET).select("bucket", "rep").join(classes.select("rep", "n", "sketch"), "rep")
-    few = few.repartition(tasks(few), "bucket").sortWithinPartitions("bucket", "rep").select("bucket", "rep", "n", "sketch")
-    forests = few.mapInPandas(lambda batches: bucket_forests(batches, threshold), "a long, b long")
-    return cut(connected_components(forests.unionByName(trees)))
+    keyed = cut(classes.select("rep", F.explode(band).alias("x")).select("rep", F.xxhash64("x.i", "x.part").alias("grp")))
+    blocks = _blocks(keyed.groupBy("grp").agg(F.count("*").alias("members")), BUCKET)
+    rows = keyed.join(blocks, "grp").join(classes.select("rep", "n", "sketch"), "rep")
+    return cut(connected_components(_block_links(rows, ["n", "sketch"], lambda b: bucket_forests(b, percent), blocks, BUCKET)))
 
 
 def _links(body: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Confirmed links within clusters, as a forest."""
     # a class is read from any one row with its key; equal keys may have several texts, so the set tells
-    sets = body.join(clusters, F.col("id") == F.col("node")).select(F.col("id").alias("rep"), F.col("component").alias("cluster"), full_sets(F.col("text")).alias("hashes"))
-    sets = cut(sets.where(F.octet_length("hashes") > 0))
-    total = sets.groupBy("cluster").agg(F.sum(F.octet_length("hashes") / 8).alias("shingles"))
-    blocks = cut(total.select("cluster", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")))
-    placed = sets.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("rep", "hashes"), F.col("blocks")).cast("int"))
-    one, many = placed.where("blocks = 1"), placed.where("blocks > 1")
-    pivots = _pivots(many)
-    as_row = [F.col("cluster"), F.col("block"), F.col("rep"), F.col("hashes"), F.lit(True).alias("active"), F.col("rep").alias("part")]
-    first = one.unionByName(many).withColumn("block", F.col("own")).select(*as_row)
-    spread = pivots.withColumn("block", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b != own)"))).select(*as_row)
-    run = lambda rows: rows.repartition(tasks(rows), "cluster", "block").sortWithinPartitions("cluster", "block", "rep").mapInPandas(lambda b: set_forests(b, percent), "a long, b long")
-    links = cut(run(first.unionByName(spread)))
-    large = cut(blocks.where("blocks > 1"))
-    if large.isEmpty():
+    found = body.join(small(clusters), F.col("id") == F.col("node")).select(F.col("id").alias("rep"), F.col("component").alias("grp"), full_sets(F.col("text")).alias("hashes"))
+    # cut before the filter, which Spark would else push below the join, with the sets of all texts
+    sets = cut(found.distinct()).where(F.octet_length("hashes") > 0).withColumn("weight", F.octet_length("hashes") / 8)
+    blocks = _blocks(sets.groupBy("grp").agg(F.count("*").alias("members"), F.sum("weight").alias("weight")), BLOCK_ROWS, BLOCK_SHINGLES)
+    return _block_links(sets.join(blocks, "grp"), ["hashes", "weight"], lambda b: set_forests(b, percent), blocks, BLOCK_ROWS, BLOCK_SHINGLES)
+
+
+def _block_links(rows: DataFrame, payload: list[str], forests: Callable, blocks: DataFrame, most_rows: int, most_weight: int | None = None) -> DataFrame:
+    """Forests of links within the groups of ``rows`` (``grp, blocks, rep`` and the payload)."""
+
+    def run(placed: DataFrame) -> DataFrame:
+        placed = placed.select("grp", "block", "rep", "side", "part", *payload)
+        placed = placed.repartition(tasks(placed), "grp", "block").sortWithinPartitions("grp", "block", "rep")
+        return cut(placed.mapInPandas(forests, "a long, b long"))
+
+    def alone(placed: DataFrame) -> DataFrame:
+        return placed.withColumns({"side": F.lit(-1), "part": F.col("rep")})
+
+    own = F.pmod(F.xxhash64("rep", payload[0]), F.col("blocks"))
+    if blocks.where("blocks > 1").isEmpty():
+        return run(alone(rows.withColumn("block", F.lit(0).cast("long"))))
+    many = cut(rows.where("blocks > 1").withColumn("own", own))
+    few = rows.where("blocks = 1").withColumn("own", F.lit(0).cast("long"))
+    # the row of the least key of each share of a group is a pivot
+    pivot = many.groupBy("grp", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("share")).agg(F.min("rep").alias("rep")).select("grp", "rep")
+    spread = many.join(cut(pivot), ["grp", "rep"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block != own")
+    links = run(alone(few.unionByName(many).withColumn("block", F.col("own")).unionByName(spread)))
+    component = cut(connected_components(links))
+    parts = cut(many.join(component, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component"))
+    weight = F.sum("weight") if most_weight is not None else F.lit(0)
+    size = parts.groupBy("grp", "part").agg(F.count("*").alias("members"), weight.alias("weight"))
+    main = size.groupBy("grp").agg(
+        F.max_by("part", F.struct("members", "part")).alias("main"), F.count("*").alias("number"),
+        (F.sum("members") - F.max("members")).alias("members"), F.sum("weight").alias("weight"),
+    )
+    apart = main.where("number > 1")
+    number = F.ceil(F.col("members") / most_rows)
+    if most_weight is not None:
+        number = F.greatest(number, F.ceil(F.col("weight") / most_weight))
+    apart = cut(apart.select("grp", "main", number.cast("long").alias("others")))
+    if apart.isEmpty():
         return links
-    part = cut(connected_components(links))
-    parts = cut(many.join(part, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component"))
-    sizes = parts.groupBy("cluster", "part").count()
-    main = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("n"))
-    split = cut(parts.join(cut(main.where("n > 1")), "cluster").select("cluster", "blocks", "own", "rep", "hashes", "part", "main"))
-    base = split.select("cluster", F.col("own").alias("block"), "rep", "hashes", (F.col("part") != F.col("main")).alias("active"), "part")
-    minor = split.where(F.col("part") != F.col("main")).withColumn("block", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b != own)")))
-    return links.unionByName(cut(run(base.unionByName(minor.select("cluster", "block", "rep", "hashes", F.lit(True).alias("active"), "part")))))
-
-
-def _pivots(many: DataFrame) -> DataFrame:
-    """A few rows of each cluster that has several blocks, the same for all its blocks."""
-    few = many.groupBy("cluster").agg(F.expr(f"slice(array_sort(collect_set(rep % 65536)), 1, {PIVOTS})").alias("few"))
-    return many.join(few, "cluster").where(F.array_contains("few", F.col("rep") % 65536)).drop("few")
+    split = parts.join(apart, "grp").withColumn("other", F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("rep", F.lit("other")), F.col("others"))))
+    each = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
+    block = lambda lo, hi: lo * F.lit(1 << 31) + F.col("blocks") + hi
+    minor, major = split.where("other IS NOT NULL"), split.where("other IS NULL").drop("other")
+    wide = major.withColumn("meets", each("others")).withColumns({"block": block(F.col("own"), F.col("meets")), "side": F.lit(0)})
+    across = minor.withColumn("meets", each("blocks")).withColumns({"block": block(F.col("meets"), F.col("other")), "side": F.lit(1)})
+    between = minor.withColumn("meets", each("others")).withColumns({
+        "block": block(F.col("blocks") + F.least("meets", "other"), F.greatest("meets", "other")),
+        "side": F.when(F.col("meets") == F.col("other"), -1).when(F.col("other") < F.col("meets"), 0).otherwise(1),
+    })
+    more = [x.select("grp", "block", "rep", "side", "part", *payload) for x in (wide, across, between)]
+    return links.unionByName(run(more[0].unionByName(more[1]).unionByName(more[2])))

@@ -33,19 +33,25 @@ def _table() -> tuple[np.ndarray, np.ndarray]:
 
 
 VALUE, BLANK = _table()
-#: Bytes whose powers are held at a time.
+#: Bytes that are summed at a time, and places in a word whose factors are held.
 SPAN = 1 << 16
 
 
-def _powers(base: int) -> np.ndarray:
-    return np.concatenate(([np.uint64(1)], np.cumprod(np.full(SPAN - 1, base, np.uint64))))
+def _factors(begin: int, end: int) -> np.ndarray:
+    """Unrelated 64-bit numbers for the places of a word's bytes."""
+    return mix(~np.arange(begin + 1, end + 1, dtype=np.uint64) * ODD)
 
 
-POWERS, INVERSE = _powers(int(ODD)), _powers(pow(int(ODD), -1, 1 << 64))
+FACTORS = _factors(0, SPAN)
 
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of the bytes ``data``: a polynomial in its bytes, mixed."""
+    """A 64-bit hash of each word of the bytes ``data``.
+
+    Every byte's value is multiplied by the factor of its place in the word; the
+    sum is mixed. The factors are unrelated to each other, unlike the powers of a
+    polynomial, whose structure some long words share.
+    """
     blank = BLANK[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if len(data) and not blank[0]:
@@ -64,21 +70,22 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
             continue
         at = starts[done:until] - begin
         part = VALUE[data[begin : int(ends[until - 1])]]
-        part *= POWERS[: len(part)]
-        sums[done:until] = np.add.reduceat(part, at) * INVERSE[at]
+        place = np.arange(len(part))
+        place -= np.repeat(at, np.diff(at, append=len(part)))
+        part *= FACTORS[place]  # blanks have the value 0
+        sums[done:until] = np.add.reduceat(part, at)
         done = until
     sums += (ends - starts).astype(np.uint64) * ODD
     return mix(sums)
 
 
 def _long(word: np.ndarray) -> np.uint64:
-    """As ``word_hashes`` sums one word, in spans of the powers at hand."""
-    total, factor = 0, 1
+    """As ``word_hashes`` sums one word, a span at a time."""
+    total = np.zeros(1, np.uint64)
     for at in range(0, len(word), SPAN):
-        part = VALUE[word[at : at + SPAN]] * POWERS[: len(word) - at]
-        total += factor * int(part.sum(dtype=np.uint64))
-        factor = factor * pow(int(ODD), SPAN, 1 << 64) & 0xFFFFFFFFFFFFFFFF
-    return np.uint64(total & 0xFFFFFFFFFFFFFFFF)
+        part = VALUE[word[at : at + SPAN]]
+        total += (part * (_factors(at, at + len(part)) if at else FACTORS[: len(part)])).sum(dtype=np.uint64)
+    return total[0]
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:

@@ -6,7 +6,27 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Bytes of an Arrow batch, about; rows that are broadcast at most, of a few numbers each.
+BATCH_BYTES, SMALL_ROWS = 4 << 20, 500_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps an Arrow batch of long texts within a worker's memory, by its bytes.
+
+    The bound stays set in the session; how many rows a batch may have is not changed.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, which are cut, to be broadcast if they are few; else joined as Spark sees fit."""
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
 
 
 def tasks(rows: DataFrame) -> int:

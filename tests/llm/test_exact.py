@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairloom.llm import bpe, chat, langid, minhash, packing, polytope, secrets, shingles, topk, urls, warc
+from pairloom.llm import bpe, chat, langid, minhash, packing, polytope, secrets, shingles, streams, topk, urls, warc
 from pairloom.runtime import cut
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -62,10 +63,11 @@ def near_texts(seed=1, groups=12):
     return [*rows, (key, None), (key + 1, ""), (key + 2, "  \n"), (key + 3, "One two"), (key + 4, "one TWO"), (None, "x y z"), (key + 5, rows[0][1]), (key + 5, rows[0][1])]
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("block", [10**6, 300])
-def test_minhash_equals_brute_force(spark, monkeypatch, percent, block):
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+@pytest.mark.parametrize(("percent", "shingles", "rows", "bucket", "few"), [(85, 10**6, 256, 1024, 10**6), (80, 300, 3, 3, 0)])
+def test_minhash_equals_brute_force(spark, monkeypatch, percent, shingles, rows, bucket, few):
+    for name, value in (("BLOCK_SHINGLES", shingles), ("BLOCK_ROWS", rows), ("BUCKET", bucket)):
+        monkeypatch.setattr(minhash, name, value)
+    monkeypatch.setattr(streams, "SMALL_ROWS", few)
     rows = near_texts(percent)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
     sets = {i: shingles_of(t) for i, t in rows if i is not None}
@@ -80,11 +82,48 @@ def test_minhash_equals_brute_force(spark, monkeypatch, percent, block):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
-def test_minhash_large_bucket_is_one_tree(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BUCKET", 3)
-    rows = [(i, " ".join([f"w{j}" for j in range(100)] + [f"own{i}"])) for i in range(12)]
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
-    assert {r.component_id for r in got} == {0}
+def test_minhash_large_groups_of_unlike_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET", 5)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(minhash, "ERRORS", 60.0)  # so that buckets give large clusters
+    rng = random.Random(8)
+    phrase = "the same five words here"
+    rows = [(i, f"{phrase} " + " ".join(rng.choice("abcdefgh") * 3 + str(i // 3) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows += [(100 + i, " ".join([f"w{j}" for j in range(100)] + [f"own{i}"])) for i in range(12)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    sets = {i: shingles_of(t) for i, t in rows}
+    assert got == components(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+
+
+def test_blocks_meet_two_by_two(spark, monkeypatch):
+    """Every pair of rows of a group meets in some task or is known to be connected."""
+    rows = [(1, i, 4, "x") for i in range(40)] + [(2, 100 + i, 1, "x") for i in range(3)]
+    table = cut(spark.createDataFrame(rows, "grp long, rep long, blocks long, payload string"))
+    odd = {(a, b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 7 == 0 and a % 2 == 0} | {(100, 102)}
+
+    def forests(batches):
+        for frame, starts in streams.groups(batches, ["grp", "block"]):
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                rep, side, part = (frame[c].to_numpy(np.int64)[a:b] for c in ("rep", "side", "part"))
+                assert b - a <= 40
+                linked = lambda i, others, rep=rep: np.array([(min(rep[i], rep[j]), max(rep[i], rep[j])) in odd for j in others], bool)
+                found = minhash.forest_of(np.arange(b - a), side, part, linked)
+                yield pd.DataFrame([(rep[i], rep[j]) for i, j in found], columns=["a", "b"], dtype=np.int64)
+
+    blocks = table.select("grp", "blocks").distinct()
+    links = [tuple(r) for r in minhash._block_links(table, ["payload"], forests, blocks, 5).collect()]
+    nodes = [r[1] for r in rows]
+    assert components(nodes, links) == components(nodes, odd)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_of_one_structure_have_unlike_hashes(size):
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for x, y in ((word, other), (word + other + other + word, other + word + word + other), (f"one two {word}", f"one two {other}")):
+        assert not len(np.intersect1d(shingles.shingle_set(x), shingles.shingle_set(y)))
 
 
 def test_minhash_empty_table(spark):
