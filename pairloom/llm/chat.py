@@ -1,9 +1,10 @@
 """Chat formatting of reply trees, in DataFrame functions only.
 
-Self-joins by doubling enumerate root-to-leaf paths: after round k every path
-holds the 2^k nodes nearest its leaf and every node knows its 2^k-th ancestor, so
-a path of n turns takes about log2(n) rounds. Paths are ranked by score within
-their tree and each chosen path becomes one conversation.
+Self-joins by doubling walk from every node to its root: after round k a node
+knows its 2^k-th ancestor and the score of the 2^k nodes up to it, so paths of n
+turns take about log2(n) rounds. The sums rank the leaves of each tree; only the
+paths of the chosen leaves are then enumerated, by the same rounds, and each
+becomes one conversation.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles ``<|``,
 ``<\\|``, ``<\\\\|`` and so on gain one backslash, so no text holds a control
@@ -11,8 +12,11 @@ string and the step can be undone. In roles ``%`` and the newline are written
 ``%25`` and ``%0A``. The loss mask holds the spans (code points, end exclusive)
 of the texts of the roles that are learnt.
 
-Null role or text is empty. A null tree is a tree of its own. A node whose parent
-is null or missing is a root. Nodes on a cycle reach no root and are on no path.
+Null role or text is empty, a null score 0. A null tree is a tree of its own. A
+node whose parent is null or missing is a root. Nodes on a cycle reach no root and
+are on no path; a null node takes no part. Of several rows of one node the least
+parent counts, their scores add up and each is a turn. Other columns are ignored;
+an empty table gives no rows. A conversation of any length is one row at the end.
 """
 
 from __future__ import annotations
@@ -60,29 +64,34 @@ def linear_tree(rows: DataFrame, tree: str, order: str, role: str, text: str) ->
     return node.select("tree", "node", parent.alias("parent"), "role", "text", F.length("text").cast("double").alias("score"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """``tree, leaf, node, up``: the nodes of every root-to-leaf path, ``up`` steps above its leaf."""
-    links = cut(nodes.select("tree", "node", "parent"))
-    a, p = links.alias("a"), links.select(F.col("tree").alias("t"), F.col("node").alias("n")).distinct().alias("p")
-    own = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n"))
-    jump = cut(a.join(p, own, "left_semi").select("tree", "node", F.col("parent").alias("above")))
-    parents = jump.select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
-    leaf = links.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select("tree", "node").distinct()
-    held = cut(leaf.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    roots = cut(links.join(jump.select(F.col("tree").alias("t"), F.col("node").alias("n")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select("tree", "node").distinct())
-    most = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    step = 1
-    while step <= most and not jump.isEmpty():
-        j = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
-        meets = F.col("tree").eqNullSafe(F.col("t"))
-        further = held.join(j, meets & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        held = cut(held.unionByName(further))
-        on = jump.select("tree", F.col("node").alias("from"), F.col("above").alias("node"))
-        jump = cut(on.join(j, meets & (F.col("node") == F.col("n"))).select("tree", F.col("from").alias("node"), "above"))
-        step *= 2
-    ended = roots.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    rooted = held.join(ended, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_semi").select(F.col("tree").alias("t"), F.col("leaf").alias("l"))
-    return held.join(rooted.distinct(), F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l")), "left_semi")
+def ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``tree, leaf, score`` of every root-to-leaf path, and for each k ``tree, node, above``, the 2^k-th ancestors."""
+    rows = nodes.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
+    rows = cut(rows)
+    known = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    of = F.col("tree").eqNullSafe(F.col("t"))
+    at = cut(rows.join(known, of & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("above"), "score"))
+    replied = at.where("above IS NOT NULL").select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
+    leaves = cut(at.join(replied, of & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf")))
+    most = rows.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    levels: list[DataFrame] = []
+    while 1 << len(levels) <= most and not at.where("above IS NOT NULL").isEmpty():
+        levels.append(at.where("above IS NOT NULL").select("tree", "node", "above"))
+        over = at.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("further"), F.col("score").alias("more"))
+        summed = (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
+        at = cut(at.join(over, of & (F.col("above") == F.col("n")), "left").select("tree", "node", F.col("further").alias("above"), summed))
+    rooted = at.where("above IS NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
+    return leaves.join(rooted, of & (F.col("leaf") == F.col("n"))).select("tree", "leaf", "score"), levels
+
+
+def paths(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``leaves`` with ``node, up``: every node of their paths, ``up`` steps above the leaf."""
+    held = cut(leaves.withColumns({"node": F.col("leaf"), "up": F.lit(0).cast("long")}))
+    for k, level in enumerate(levels):
+        over = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
+        further = held.join(over, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+        held = cut(held.unionByName(further.withColumns({"node": F.col("above"), "up": F.col("up") + (1 << k)}).drop("t", "n", "above")))
+    return held
 
 
 def format_trees(nodes: DataFrame, learn: tuple[str, ...] = ("assistant",), keep: int | None = None) -> DataFrame:
@@ -93,19 +102,17 @@ def format_trees(nodes: DataFrame, learn: tuple[str, ...] = ("assistant",), keep
     the smaller leaf), None all of them, whose ``branch`` is then null.
     """
     nodes = cut(nodes)
-    on_path = paths(nodes)
-    n = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score")
-    turns = on_path.join(n, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "up", "role", "text", "score")
-    if keep is not None:
-        score = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
-        best = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-        chosen = score.withColumn("branch", best).where(F.col("branch") <= keep)
-        chosen = chosen.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "branch")
-        turns = turns.join(chosen, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).drop("t", "l")
+    leaves, levels = ancestors(nodes)
+    if keep is None:
+        leaves = leaves.withColumn("branch", F.lit(None).cast("int"))
     else:
-        turns = turns.withColumn("branch", F.lit(None).cast("int"))
+        best = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
+        leaves = leaves.withColumn("branch", best).where(F.col("branch") <= keep)
+    n = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
+    turns = paths(leaves, levels).join(n, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "branch", "score", "up", "role", "text")
+    turns = turns.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     turn = F.struct((-F.col("up")).alias("depth"), F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), F.col("role").isin(*learn).alias("learn"))
-    grouped = turns.groupBy("tree", "leaf", "branch").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    grouped = turns.groupBy("tree", "leaf", "branch", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     text = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "")
     spans = "array<struct<start:int,end:int>>"
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {spans})").alias("found"))

@@ -10,28 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import bpe, chat, langid, minhash, packing, polytope, secrets, topk, urls, warc
+from pairloom.llm.streams import bounded_batches
 from pairloom.runtime import cut, shared_dir, table
 
-#: Rows that Spark hands to Python at once; texts can be long, so few.
-BATCH_ROWS = 256
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps an Arrow batch of long texts within a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked at cosine 0.98."""
-    small_batches(spark, 4096)
+    bounded_batches(spark)
     return polytope.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
 def op4_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector, against all rows."""
-    small_batches(spark, 4096)
+    bounded_batches(spark)
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.whole_numbers(F.col("embedding")).alias("ints"))
     return topk.top_k(rows, rows.where(F.col("id") % 50 == 0), 5)
 
@@ -46,13 +36,13 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The vocabulary is that of byte_bpe_50k.json, read from its ranks, with its special token.
     """
-    small_batches(spark)
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed_documents(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=packing.SPECIAL)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, formatted and read back."""
+    """All conversations and conversation -1, the best branch of each formatted and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -61,7 +51,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    out = chat.format_trees(chat.linear_tree(rows.unionByName(extra), "conv_id", "turn", "role", "text"))
+    out = chat.format_trees(chat.linear_tree(rows.unionByName(extra), "conv_id", "turn", "role", "text"), keep=1)
     turns = chat.read_turns(F.col("formatted"))
     back = out.select(F.col("tree").alias("conv_id"), "formatted", turns.alias("turns"), chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss"))
     return back.select(
@@ -76,7 +66,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every whole text, learnt from the rows not held out."""
-    small_batches(spark)
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.held_out(F.col("doc_id"))
     judged = langid.identify(docs.select("doc_id", "text"), docs.where(~out))
@@ -85,13 +75,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at Jaccard similarity 0.85 of their five-word shingles."""
-    small_batches(spark)
+    bounded_batches(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text, as digests."""
-    small_batches(spark)
+    bounded_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode_documents(bpe.encode_documents(docs, path, pattern), path, pattern)
@@ -104,20 +94,27 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every whole text: a fresh ledger is filled and joined back to all documents."""
+    """Secrets in every whole text: the ledger of a first half of the documents, then what the rest adds to it, joined back to all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.findings(docs, cut(secrets.scan(docs)), "doc_id")
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    ledger = cut(secrets.scan(docs.where(first)))
+    ledger = cut(secrets.scan(docs.where(~first), ledger=ledger))
+    found = secrets.findings(docs, ledger, "doc_id")
     number = [secrets.number_of("spans", r.kind).alias(f"n_{r.kind}") for r in secrets.RULES]
     spans = secrets.joined(F.col("spans"))
     return found.select("doc_id", *number, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written to archives in the shared folder, then read back."""
-    small_batches(spark, 16)
+    """Pages written to archives in the shared folder, then read back; gaps, if any, are logged in a table beside them."""
+    bounded_batches(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), folder, "page_id", "url", "html")
-    found = warc.read(spark, folder).where("gap IS NULL")
+    found = cut(warc.read(spark, folder).drop("payload"))
+    gaps = found.where("gap IS NOT NULL")
+    if not gaps.isEmpty():
+        gaps.select("file", "offset", "end", "gap").write.parquet(f"{folder}-gaps")
+    found = found.where("gap IS NULL")
     return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

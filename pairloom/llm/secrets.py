@@ -8,7 +8,8 @@ once however many paths hold it, and joins findings back to all paths.
 Spans are code points, end exclusive. They come from the pieces between matches
 (``split``) and the matches themselves (``regexp_extract_all``), so no character
 needs to be kept free as a mark. Null text is empty text and has no spans; equal
-rows each get their own result row; columns other than path and text are ignored.
+rows each get their own result row; columns other than path and text are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,17 +83,17 @@ def scan(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
     that the given ledger holds none is scanned again.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    blobs = versions.select(blob_id(body).alias("blob"), body.alias("text")).dropDuplicates(["blob"])
+    blobs = versions.select(blob_id(body).alias("blob"), body.alias("text"))
     versions_of = [(r, F.lit(r.version)) for r in rules]
     if ledger is None:
         entries = [x for r, v in versions_of for x in (v, rule_spans(F.col("text"), r))]
-        return blobs.select("blob", F.create_map(*entries).alias("results"))
-    known = ledger.select("blob", F.col("results").alias("known"))
+        return blobs.dropDuplicates(["blob"]).select("blob", F.create_map(*entries).alias("results"))
     old = F.coalesce(F.col("known"), F.expr(f"cast(map() as map<string,{SPANS}>)"))
     complete = F.lit(True)
     for _, v in versions_of:
         complete = complete & F.map_contains_key("results", v)
-    unseen = blobs.join(ledger.where(complete), "blob", "left_anti").join(known, "blob", "left")
+    known = ledger.where(~complete).select("blob", F.col("results").alias("known"))
+    unseen = blobs.join(ledger.where(complete).select("blob"), "blob", "left_anti").dropDuplicates(["blob"]).join(known, "blob", "left")
     fresh = [
         F.struct(v.alias("key"), F.when(F.map_contains_key(old, v), old[r.version]).otherwise(rule_spans(F.col("text"), r)).alias("value"))
         for r, v in versions_of

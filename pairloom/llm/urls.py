@@ -1,12 +1,14 @@
 """URL filters, in DataFrame functions only.
 
 Rules decide first. What no rule fits is judged by logistic regression on hashed
-character n-grams of host and path, trained on a small labelled URL table; by
-default that table is a bounded sample of the URLs that the rules decide.
+character n-grams of host and path, trained on a small labelled URL table:
+``labelled_urls``, where both verdicts stand under every top-level domain, or a
+table of the caller's, such as ``labelled_sample`` of what the rules decide.
 
 A null URL, or one without ``://``, has an empty host and path and is judged like
-any other. Without labelled rows the method allows; with one class only it gives
-that class.
+any other; a URL of any length is judged whole. Repeated rows each get a result
+row, an empty table none; columns other than key and URL are ignored. Without
+labelled rows the method allows; with one class only it gives that class.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.runtime import cut
@@ -50,7 +52,18 @@ RULES = (
     Rule("net/fr/", "block"),
 )
 
-#: Labelled rows of each verdict that the classifier is fitted on at most, about.
+# The words of the small labelled table, and what stands around them.
+BLOCKED = (
+    "adult", "ads", "bets", "casino", "cheap", "clickbait", "crack", "escort", "farm-links", "free-prizes", "gambling", "jackpot", "keygen", "loans", "lottery", "malware",
+    "pills", "poker", "porn", "slots", "spam", "sweepstakes", "track", "viagra", "warez", "win", "xxx",
+)
+ALLOWED = (
+    "academy", "archive", "arts", "astronomy", "biology", "books", "bridges", "chess", "city", "climate", "courses", "culture", "daily", "docs", "economy", "energy", "film", "forum",
+    "garden", "geology", "health", "history", "journal", "kitchen", "law", "library", "maps", "market", "math", "museum", "music", "nature", "news", "ocean", "opera", "park", "physics",
+    "poetry", "press", "radio", "recipes", "research", "review", "river", "school", "science", "society", "sports", "station", "theatre", "times", "travel", "university", "village", "weather", "wiki",
+)
+BEFORE, DOMAINS, LANGUAGES = ("", "www.", "blog.", "m."), ("com", "org", "net", "edu", "io", "info"), ("en", "de", "es", "fr")
+#: Rows of each verdict that ``labelled_sample`` takes at most, about.
 TRAIN_ROWS = 2000
 #: Buckets of hashed n-grams, and the lengths of n-grams.
 BUCKETS, LENGTHS = 4096, (2, 3, 4)
@@ -87,6 +100,25 @@ def ngrams(host: Column, path: Column) -> Column:
     return F.concat(of("h", host), of("p", path))
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The small labelled table, ``host, path, verdict``: some two thousand rows made from the words above.
+
+    Every word stands under every domain, alone, after a subdomain or beside a
+    second word of its verdict, so that the words tell and not what is around them.
+    """
+    word = F.col("word")
+    each = lambda words, verdict: F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(verdict).alias("verdict"))
+    rows = spark.range(1).select(F.explode(F.array(each(BLOCKED, "block"), each(ALLOWED, "allow"))).alias("x")).select("x.verdict", "x.words", F.posexplode("x.words").alias("at", "word"))
+    rows = rows.select("verdict", "words", "at", "word", F.posexplode(F.array(*map(F.lit, DOMAINS))).alias("d", "domain"), F.array(*map(F.lit, BEFORE)).alias("before"), F.array(*map(F.lit, LANGUAGES)).alias("langs"))
+    second = F.col("words")[F.pmod(F.col("at") + 5 * F.col("d") + 1, F.size("words"))]
+    name = F.explode(F.array(word, F.concat(word, F.lit("-"), second), F.concat(second, F.lit("-"), word), F.concat(word, F.lit("the"))))
+    turn = F.pmod(F.col("at") + F.col("d") + F.length("name"), F.lit(len(BEFORE)))
+    named = rows.select("verdict", "at", "d", "domain", "before", "langs", name.alias("name"))
+    lang = F.col("langs")[F.pmod(F.col("at") + F.length("name"), F.lit(len(LANGUAGES)))]
+    number = (F.pmod(F.xxhash64("name", "d"), F.lit(1000))).cast("string")
+    return named.select(F.concat(F.col("before")[turn], "name", F.lit(".example."), "domain").alias("host"), F.concat(F.lit("/"), lang, F.lit("/"), number).alias("path"), "verdict")
+
+
 def labelled_sample(judged: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """About ``rows`` distinct URLs of each verdict, chosen by a hash of the URL."""
     known = judged.where(F.col("found").isNotNull()).select("host", "path", F.col("found.verdict").alias("verdict"))
@@ -101,13 +133,13 @@ def labelled_sample(judged: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 def filter_urls(pages: DataFrame, key: str, url: str = "url", rules: Sequence[Rule] = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """``key, host, path, rule, verdict, block_score`` of every page.
 
-    ``labelled`` has host, path, verdict; None takes a sample of what the rules decide.
+    ``labelled`` has host, path, verdict; None takes ``labelled_urls``.
     ``block_score`` is the classifier's probability of block, null where a rule fits.
     """
     host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
     judged = pages.select(F.col(f"`{key}`").alias(key), host.alias("host"), path.alias("path"))
     judged = judged.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
-    train = cut((labelled_sample(judged) if labelled is None else labelled).select("host", "path", "verdict"))
+    train = cut((labelled_urls(pages.sparkSession) if labelled is None else labelled).select("host", "path", "verdict"))
     counts = {r["verdict"]: r["count"] for r in train.groupBy("verdict").count().collect()}
     if len(counts) < 2:
         given = judged.withColumn("score", F.lit(1.0 if "block" in counts else 0.0))

@@ -1,7 +1,9 @@
 """WARC archives: writing pages, and a salvage reader.
 
-Each page becomes one record in a gzip member of its own; members go to files
-through Spark's text writer, whose line separator is an empty gzip member. Of
+Each page becomes one record in a gzip member of its own; runs of members go to
+files through Spark's text writer, whose line separator is an empty gzip member.
+Files are bounded by the bytes of their records; a very large page has a file of
+its own. Of
 records with equal payloads that with the largest key is a ``response``, the
 others are ``revisit`` records that refer to it.
 
@@ -13,7 +15,9 @@ records at the start of a broken member are kept.
 
 A null payload is empty. A null key is written as empty and read as null, and its
 record is a response. Repeated rows of a payload's largest key are all responses.
-Line breaks in URLs are written as ``%0D`` and ``%0A``.
+Line breaks in URLs are written as ``%0D`` and ``%0A``. An empty table gives an
+archive without records. An archive file is read as one row, so it must be below
+2 GB, as Spark's binary values are.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +41,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-#: Records of one archive file at most; a file is read as one row.
-FILE_RECORDS = 1000
+#: Bytes of a run of records, runs of a file, and bytes from which a page has a file of its own.
+RUN_BYTES, FILE_RUNS, LARGE_BYTES = 1 << 20, 48, 4 << 20
+#: Bytes of records that the reader passes on at a time.
+BATCH_BYTES = 8 << 20
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
-#: Bytes that one gzip member may unfold to.
-MEMBER_BYTES = 1 << 30
+#: Bytes that one gzip member may unfold to: no larger value fits Spark.
+MEMBER_BYTES = (1 << 31) - 1
 
 
 def member(data: bytes, level: int = 1) -> bytes:
@@ -82,36 +87,38 @@ def record(kind: str, key: str, url: str | None, payload: bytes, sha: str, refer
     return VERSION + b"\r\n" + lines + b"\r\n" + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, folder: str, key: str, url: str, payload: str, date: str = "1970-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
+def write(pages: DataFrame, folder: str, key: str, url: str, payload: str, date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes one record per row of ``pages`` to archive files in ``folder``."""
     body = F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), body.alias("body"))
     rows = rows.withColumn("sha", sha1_base32(F.col("body")))
-    copies = rows.select("key", "sha").groupBy("sha").agg(F.max("key").alias("last"), F.count("*").alias("n"))
-    copies = cut(copies.where("n > 1").select("sha", "last"))
-    told = rows.join(copies, "sha", "left")
+    copies = cut(rows.select("key", "sha", F.octet_length("body").alias("size")).groupBy("sha").agg(F.max("key").alias("last"), F.count("*").alias("n"), F.max("size").alias("size")))
+    told = rows.join(copies.where("n > 1").select("sha", "last"), "sha", "left")
     revisit = F.col("last").isNotNull() & F.col("key").isNotNull() & (F.col("key") != F.col("last"))
+    texts = [F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in ("key", "last")]
+    told = told.select(revisit.alias("revisit"), "url", "body", "sha", *texts)
 
-    @F.pandas_udf(T.BinaryType())
-    def packed(revisits: pd.Series, keys: pd.Series, urls: pd.Series, bodies: pd.Series, shas: pd.Series, lasts: pd.Series) -> pd.Series:
-        rows = zip(revisits, keys, urls, bodies, shas, lasts, strict=True)
-        return pd.Series([member(record("revisit" if r else "response", k, None if u is None or u != u else u, b, s, x, date)) for r, k, u, b, s, x in rows])
-
-    text = F.coalesce(F.col("key").cast("string"), F.lit(""))
-    made = packed(revisit, text, F.col("url"), F.col("body"), F.col("sha"), F.coalesce(F.col("last").cast("string"), F.lit("")))
-    (
-        told.select(made.cast("string").alias("value"))
-        .write.option("lineSep", member(b"").decode("latin-1")).option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", file_records).text(folder)
-    )
-
-
-@dataclass
-class Found:
-    """What one archive file gave: records with their byte offsets, and gaps."""
-
-    records: list[tuple] = field(default_factory=list)
-    gaps: list[tuple[int, int, str]] = field(default_factory=list)
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            for r, u, b, s, k, x in batch.itertuples(index=False):
+                made = record("revisit" if r else "response", k, u, b, s, x, date)
+                held.append(member(made))
+                size += len(made)
+                if size >= RUN_BYTES:
+                    yield pd.DataFrame({"value": [b"".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"value": [b"".join(held)]})
+
+    def save(some: DataFrame, most: int, mode: str) -> None:
+        lines = some.mapInPandas(runs, "value binary").select(F.col("value").cast("string").alias("value"))
+        lines.write.mode(mode).option("lineSep", member(b"").decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(folder)
+
+    large = F.octet_length("body") >= LARGE_BYTES
+    save(told.where(~large), FILE_RUNS, "error")
+    if not copies.where(F.col("size") >= LARGE_BYTES).isEmpty():
+        save(told.where(large), 1, "append")
 
 
 class BrokenError(ValueError):
@@ -193,9 +200,11 @@ def starts_well(data: bytes, at: int) -> bool:
     return True
 
 
-def salvage(data: bytes) -> Found:
-    """All records of an archive file that pass their checks, and the gaps."""
-    found = Found()
+def salvage(data: bytes) -> Iterator[tuple]:
+    """All records of an archive file that pass their checks, and the gaps.
+
+    A record is its byte offset, None, None and its fields; a gap is where it begins and ends and why.
+    """
     at, lost, why = 0, -1, ""
     while at < len(data):
         taken, end, broke = [], at, ""
@@ -218,7 +227,7 @@ def salvage(data: bytes) -> Found:
                 taken.append(row)
             except BrokenError as e:
                 broke = str(e)
-        found.records += [(at, *row) for row in taken]
+        yield from ((at, None, None, *row) for row in taken)
         if broke and end <= at:  # the member or record can't be passed over: search
             if lost < 0:
                 lost, why = at, broke
@@ -228,14 +237,13 @@ def salvage(data: bytes) -> Found:
             at = follow.start() if follow is not None else len(data)
             continue
         if lost >= 0:
-            found.gaps.append((lost, at, why))
+            yield lost, at, why
             lost = -1
         if broke:
-            found.gaps.append((at, end, broke))
+            yield at, end, broke
         at = end
     if lost >= 0:
-        found.gaps.append((lost, len(data), why))
-    return found
+        yield lost, len(data), why
 
 
 READ = "file string, offset long, end long, gap string, record_type string, record_id string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -245,13 +253,23 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """Records of all archive files of a folder, and gaps: rows whose ``gap`` says what failed."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
 
+    names = [x.split()[0] for x in READ.split(", ")]
+
+    def frame(path: str, rows: list[tuple]) -> pd.DataFrame:
+        full = [(path, *r, *[None] * (len(names) - 1 - len(r))) for r in rows]
+        return pd.DataFrame(full, columns=names).astype({"end": "Int64", "payload_bytes": "Int64"})
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in READ.split(", ")]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                found = salvage(bytes(content))
-                yield pd.DataFrame([(path, at, None, None, *row) for at, *row in found.records], columns=names).astype({"end": "Int64"})
-                if found.gaps:
-                    yield pd.DataFrame([(path, a, b, why, *[None] * 7) for a, b, why in found.gaps], columns=names).astype({"payload_bytes": "Int64"})
+                held, size = [], 0
+                for row in salvage(bytes(content)):
+                    held.append(row)
+                    size += 200 + len(row[-1] or b"") if len(row) > 3 else 200
+                    if size >= BATCH_BYTES:
+                        yield frame(path, held)
+                        held, size = [], 0
+                if held:
+                    yield frame(path, held)
 
     return files.mapInPandas(rows, READ)

@@ -39,6 +39,37 @@ def test_a_row_for_each_row(spark, name):
     assert made.count() > 0 if source is None else made.count() == table(spark, SF, source).count()
 
 
+def test_language_of_held_out_documents(spark):
+    got = queries.op6_language_id(spark, SF).join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
+def test_urls_equal_brute_force(spark):
+    """Host, path and rule of every page; the rule's verdict where there is one."""
+    rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+    pages = {r.page_id: r.url for r in table(spark, SF, "pages").collect()}
+    for r in queries.op2_url_filter(spark, SF).collect():
+        url = pages[r.page_id]
+        host = path = ""
+        if url is not None and "://" in url:
+            rest = url.split("://", 1)[1]
+            end = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+            host, rest = "".join(c.lower() if c.isascii() else c for c in rest[:end]), rest[end:]
+            path = rest[: min([rest.index(c) for c in "?#" if c in rest] or [len(rest)])]
+        fits = [(len(t), t, v) for t, v in rules if (host == t.split("/", 1)[0] or host.endswith("." + t.split("/", 1)[0])) and path.startswith("/" + t.split("/", 1)[1])]
+        assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
+        assert r.verdict == max(fits)[2] if fits else r.verdict in ("allow", "block")
+
+
+def test_session_settings_stay(spark):
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    for name in ("op1_cross_polytope", "op8_byte_bpe", "op10_warc"):
+        queries.QUERIES[name](spark, SF).count()
+    after = {r.key: r.value for r in spark.sql("SET").collect()}
+    changed = {k for k in after if after[k] != before.get(k)}
+    assert changed <= {"spark.sql.execution.arrow.maxBytesPerBatch"}
+
+
 def test_pipeline(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns = docs.columns
