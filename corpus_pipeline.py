@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import langid, minhash, packing, queries, secrets
+from pairloom.llm import langid, minhash, packing, secrets
+from pairloom.llm.streams import bounded_batches, small
 from pairloom.runtime import cut, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Machines learn from the labelled documents that are not held out. If there are
     none, a document keeps its own label; without one it is ``und``.
     """
-    queries.small_batches(spark)
+    bounded_batches(spark)
     judged = langid.identify(docs.select(*COLUMNS), docs.where(~langid.held_out(F.col("doc_id"))))
     learnt = F.when(F.col("score") > 0, F.col("lang_pred"))
     return judged.where(langid.lettered(F.col("text"))).withColumn("lang", F.coalesce(learnt, "lang", F.lit(langid.UNDETERMINED))).select(*COLUMNS)
@@ -32,10 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group linked at similarity 0.8."""
-    queries.small_batches(spark)
+    bounded_batches(spark)
     judged = minhash.near_duplicates(docs.select("doc_id", "text"), percent=80)
     gone = judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.select(*COLUMNS).join(cut(gone), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(small(cut(gone)), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pattern_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
-    queries.small_batches(spark)
+    bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.packed_documents(docs, "doc_id", "text", path, public_tokenizers.PATTERN, special=packing.SPECIAL)
 
