@@ -17,7 +17,8 @@
 
 A bucket or cluster of more rows or shingles than a task should hold is dealt to
 blocks. Each block is first compared in itself, with a few pivots that all blocks
-share. Rows that are then still outside the largest component of their group are
+share; a row is labelled by a pivot that it is connected with. Rows without the
+most frequent label of their group are
 dealt to blocks of their own, which meet each other and all blocks of the rest two
 by two, so a task never holds more than two blocks.
 
@@ -101,8 +102,8 @@ def candidates(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarra
     return likely
 
 
-def forest_of(order: np.ndarray, side: np.ndarray, part: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join the rows of a group, of which no more than a forest is kept.
+def forest_of(order: np.ndarray, side: np.ndarray, part: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[tuple[int, int]], Forest]:
+    """Links that join the rows of a group, of which no more than a forest is kept, and the forest.
 
     Rows of equal ``part`` are known to be connected. Rows of side 0 and of side 1
     meet the other side only, rows of side -1 meet all. ``linked`` tells which of
@@ -120,7 +121,29 @@ def forest_of(order: np.ndarray, side: np.ndarray, part: np.ndarray, linked: Cal
         others = others[(roots[others] != roots[i]) & ((side[others] != side[i]) | (side[i] < 0))]
         if len(others):
             found += [(i, j) for j in others[linked(i, others)].tolist() if forest.join(i, j)]
-    return found
+    return found, forest
+
+
+#: What tasks return: links (kind 0), and of rows of large groups (kind 1) the label ``b`` of ``a``.
+FOUND = "kind int, grp long, a long, b long"
+
+
+def _found(links: list[tuple[int, int]] | np.ndarray, labels: list[tuple[int, int, int]]) -> pd.DataFrame:
+    ends = np.array(links, np.int64).reshape(-1, 2)
+    own = np.array(labels, np.int64).reshape(-1, 3)
+    kind = np.repeat(np.array([0, 1], np.int32), [len(ends), len(own)])
+    return pd.DataFrame({"kind": kind, "grp": np.concatenate((np.zeros(len(ends), np.int64), own[:, 0])), "a": np.concatenate((ends[:, 0], own[:, 1])), "b": np.concatenate((ends[:, 1], own[:, 2]))})
+
+
+def _labels(group: pd.DataFrame, forest: Forest) -> list[tuple[int, int, int]]:
+    """For each row whose home is this block a row that it is connected with: the least pivot, if there is one, else the least of all."""
+    rep, pivot, home = group["rep"].to_numpy(np.int64), group["pivot"].to_numpy(), group["home"].to_numpy()
+    roots = forest.roots()
+    label: dict[int, tuple[bool, int]] = {}
+    for i, root in enumerate(roots.tolist()):
+        label[root] = min(label.get(root, (True, int(rep[i]))), (not pivot[i], int(rep[i])))
+    grp = int(group["grp"].iloc[0])
+    return [(grp, int(rep[i]), label[int(roots[i])][1]) for i in np.flatnonzero(home).tolist()]
 
 
 def bucket_forests(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -130,29 +153,33 @@ def bucket_forests(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd
         rep, size, side, part = (frame[c].to_numpy(np.int64) for c in ("rep", "n", "side", "part"))
         sketch = np.frombuffer(b"".join(frame["sketch"]), "<u2").reshape(len(frame), REGISTERS)
         begin, members = starts[:-1], np.diff(starts)
+        large = np.logical_or.reduceat(frame["pivot"].to_numpy(), begin)
         found: list[tuple[int, int]] = []
-        forest = Forest(len(frame))
+        labels: list[tuple[int, int, int]] = []
+        joined = Forest(len(frame))
         for few in range(2, FEW + 1):  # most groups have two or three rows
-            i, j = ((begin[members == few][:, None] + x).ravel() for x in np.triu_indices(few, 1))
+            i, j = ((begin[(members == few) & ~large][:, None] + x).ravel() for x in np.triu_indices(few, 1))
             open_ = (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] < 0))
             i, j = i[open_], j[open_]
             hit = candidates(sketch, size, i, j, threshold)
-            found += [(x, y) for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True) if forest.join(x, y)]
-        for a in begin[members > FEW].tolist():
-            b = int(starts[np.searchsorted(starts, a) + 1])
+            found += [(x, y) for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True) if joined.join(x, y)]
+        for at in np.flatnonzero((members > FEW) | large).tolist():
+            a, b = int(starts[at]), int(starts[at + 1])
 
             def linked(i: int, others: np.ndarray, a: int = a) -> np.ndarray:
                 return candidates(sketch, size, np.full(len(others), a + i), a + others, threshold)
 
-            found += [(a + i, a + j) for i, j in forest_of(np.arange(b - a), side[a:b], part[a:b], linked)]
-        ends = np.array(found, np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"a": rep[ends[:, 0]], "b": rep[ends[:, 1]]})
+            links, forest = forest_of(np.arange(b - a), side[a:b], part[a:b], linked)
+            found += [(a + i, a + j) for i, j in links]
+            if large[at]:
+                labels += _labels(frame.iloc[a:b], forest)
+        yield _found(rep[np.array(found, np.int64).reshape(-1, 2)], labels)
 
 
 def set_forests(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Forests over the links of blocks, confirmed on full sets; rows are sorted by ``grp`` and ``block``."""
     for frame, starts in groups(batches, ["grp", "block"]):
-        found = []
+        found, labels = [], []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             rep, side, part = (frame[c].to_numpy(np.int64)[a:b] for c in ("rep", "side", "part"))
             sets = [np.frombuffer(x, "<u8") for x in frame["hashes"].iloc[a:b]]
@@ -172,8 +199,11 @@ def set_forests(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Da
                 mark[own] = False
                 return out
 
-            found += [(rep[i], rep[j]) for i, j in forest_of(np.argsort(-size, kind="stable"), side, part, linked)]
-        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+            links, forest = forest_of(np.argsort(-size, kind="stable"), side, part, linked)
+            found += [(rep[i], rep[j]) for i, j in links]
+            if frame["pivot"].iloc[a:b].any():
+                labels += _labels(frame.iloc[a:b], forest)
+        yield _found(found, labels)
 
 
 def sketches(text: Column) -> Column:
@@ -253,24 +283,27 @@ def _block_links(rows: DataFrame, payload: list[str], forests: Callable, blocks:
     """Forests of links within the groups of ``rows`` (``grp, blocks, rep`` and the payload)."""
 
     def run(placed: DataFrame) -> DataFrame:
-        placed = placed.select("grp", "block", "rep", "side", "part", *payload)
+        placed = placed.select("grp", "block", "rep", "side", "part", "pivot", "home", *payload)
         placed = placed.repartition(tasks(placed), "grp", "block").sortWithinPartitions("grp", "block", "rep")
-        return cut(placed.mapInPandas(forests, "a long, b long"))
+        return cut(placed.mapInPandas(forests, FOUND))
 
-    def alone(placed: DataFrame) -> DataFrame:
-        return placed.withColumns({"side": F.lit(-1), "part": F.col("rep")})
+    def alone(placed: DataFrame, pivot: bool = False, home: bool = True) -> DataFrame:
+        return placed.withColumns({"side": F.lit(-1), "part": F.col("rep"), "pivot": F.lit(pivot), "home": F.lit(home)}).select("grp", "block", "rep", "side", "part", "pivot", "home", *payload)
 
     own = F.pmod(F.xxhash64("rep", payload[0]), F.col("blocks"))
     if blocks.where("blocks > 1").isEmpty():
-        return run(alone(rows.withColumn("block", F.lit(0).cast("long"))))
+        return run(alone(rows.withColumn("block", F.lit(0).cast("long")))).select("a", "b")
+    # the row of the least key of each share of a large group is a pivot
     many = cut(rows.where("blocks > 1").withColumn("own", own))
-    few = rows.where("blocks = 1").withColumn("own", F.lit(0).cast("long"))
-    # the row of the least key of each share of a group is a pivot
-    pivot = many.groupBy("grp", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("share")).agg(F.min("rep").alias("rep")).select("grp", "rep")
-    spread = many.join(cut(pivot), ["grp", "rep"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block != own")
-    links = run(alone(few.unionByName(many).withColumn("block", F.col("own")).unionByName(spread)))
-    component = cut(connected_components(links))
-    parts = cut(many.join(component, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component"))
+    least = many.groupBy("grp", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("share")).agg(F.min("rep").alias("rep")).select("grp", "rep")
+    pivots = cut(many.join(least, ["grp", "rep"])).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    few = rows.where("blocks = 1").withColumn("block", F.lit(0).cast("long"))
+    # a pivot stands in its own block twice, once for its home
+    first = alone(few).unionByName(alone(many.withColumn("block", F.col("own")))).unionByName(alone(pivots, pivot=True, home=False))
+    made = run(first)
+    links = made.where("kind = 0").select("a", "b")
+    label = made.where("kind = 1").groupBy("grp", F.col("a").alias("rep")).agg(F.min("b").alias("part"))
+    parts = cut(many.join(label, ["grp", "rep"]))
     weight = F.sum("weight") if most_weight is not None else F.lit(0)
     size = parts.groupBy("grp", "part").agg(F.count("*").alias("members"), weight.alias("weight"))
     main = size.groupBy("grp").agg(
@@ -294,5 +327,5 @@ def _block_links(rows: DataFrame, payload: list[str], forests: Callable, blocks:
         "block": block(F.col("blocks") + F.least("meets", "other"), F.greatest("meets", "other")),
         "side": F.when(F.col("meets") == F.col("other"), -1).when(F.col("other") < F.col("meets"), 0).otherwise(1),
     })
-    more = [x.select("grp", "block", "rep", "side", "part", *payload) for x in (wide, across, between)]
-    return links.unionByName(run(more[0].unionByName(more[1]).unionByName(more[2])))
+    more = [x.withColumns({"pivot": F.lit(False), "home": F.lit(False)}).select("grp", "block", "rep", "side", "part", "pivot", "home", *payload) for x in (wide, across, between)]
+    return links.unionByName(run(more[0].unionByName(more[1]).unionByName(more[2])).select("a", "b"))

@@ -107,8 +107,9 @@ def test_blocks_meet_two_by_two(spark, monkeypatch):
                 rep, side, part = (frame[c].to_numpy(np.int64)[a:b] for c in ("rep", "side", "part"))
                 assert b - a <= 40
                 linked = lambda i, others, rep=rep: np.array([(min(rep[i], rep[j]), max(rep[i], rep[j])) in odd for j in others], bool)
-                found = minhash.forest_of(np.arange(b - a), side, part, linked)
-                yield pd.DataFrame([(rep[i], rep[j]) for i, j in found], columns=["a", "b"], dtype=np.int64)
+                found, forest = minhash.forest_of(np.arange(b - a), side, part, linked)
+                labels = minhash._labels(frame.iloc[a:b], forest) if frame["pivot"].iloc[a:b].any() else []
+                yield minhash._found([(rep[i], rep[j]) for i, j in found], labels)
 
     blocks = table.select("grp", "blocks").distinct()
     links = [tuple(r) for r in minhash._block_links(table, ["payload"], forests, blocks, 5).collect()]
