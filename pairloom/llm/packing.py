@@ -33,8 +33,8 @@ from pairloom.runtime import cut
 CAPACITY = 2048
 #: Special tokens of byte_bpe_50k.json.
 SPECIAL = {"<|endoftext|>": 50256}
-#: Pieces of one length that are numbered in one group, about.
-GROUP_ROWS = 2000
+#: Pieces of one length that are numbered in one group, about, and groups that are summed up together.
+GROUP_ROWS, GROUPS = 400, 1000
 ITERATIONS = 200
 
 _LOADED: dict[tuple, object] = {}
@@ -200,13 +200,16 @@ def numbered(rows: DataFrame, histogram: DataFrame, order: list[str]) -> DataFra
 
     Rows of a length are dealt by a hash to groups of a bounded size, which are
     numbered one by one, so a length that a third of all rows have is many groups.
+    What comes before a group is summed in two steps, first within runs of groups.
     """
     groups = F.greatest(F.lit(1), F.ceil(F.col("count") / GROUP_ROWS))
     many = histogram.select("length", groups.alias("groups"))  # a row for each length at most
     dealt = rows.join(F.broadcast(many), "length").withColumn("group", F.pmod(F.xxhash64(*order), F.col("groups")))
     sizes = dealt.groupBy("length", "group").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
-    begins = sizes.select("length", "group", F.coalesce(before, F.lit(0)).alias("before"))
+    sizes = sizes.withColumn("run", F.floor(F.col("group") / GROUPS))
+    earlier = lambda key, order: F.coalesce(F.sum("count").over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sizes.groupBy("length", "run").agg(F.sum("count").alias("count")).select("length", "run", earlier(["length"], "run").alias("base"))
+    begins = sizes.withColumn("before", earlier(["length", "run"], "group")).join(runs, ["length", "run"]).select("length", "group", (F.col("before") + F.col("base")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "group").orderBy(*order)) - 1
     return dealt.withColumn("own", own).join(begins, ["length", "group"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "group", "groups")
 

@@ -44,6 +44,27 @@ def test_language_of_held_out_documents(spark):
     assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
 
 
+def test_packing_of_documents_is_tight(spark):
+    """Every document's ids are those of the tokenizers library, and hardly a sequence is more than the tokens need."""
+    got = queries.op3_pattern_packing(spark, SF).collect()
+    coder = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    parts, ends, total = {}, {}, 0
+    for r in got:
+        parts.setdefault(r.doc_id, {})[r.piece] = r
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for d in table(spark, SF, "documents").collect():
+        ids, at = np.array([*coder.encode(d.text or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for r in (parts[d.doc_id][i] for i in range(len(parts[d.doc_id]))):
+            assert (r.start, r.ids_crc32) == (at, zlib.crc32(ids[at : at + r.length].tobytes())) and r.length <= 2048
+            at += r.length
+        assert at == len(ids)
+        total += at
+    for places in ends.values():
+        ordered = sorted(places)
+        assert [a for a, _ in ordered] == [0, *np.cumsum([n for _, n in ordered])[:-1].tolist()] and sum(n for _, n in ordered) <= 2048
+    assert len(ends) <= -(-total // 2048) + 2
+
+
 def test_urls_equal_brute_force(spark):
     """Host, path and rule of every page; the rule's verdict where there is one."""
     rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
