@@ -11,12 +11,16 @@ from pairloom.runtime import cut
 def jaccard_join(docs: DataFrame, key: str, tokens: str, threshold: float, within: str | None = None) -> DataFrame:
     """Pairs ``(doc_a, doc_b, sim)`` with Jaccard similarity of at least ``threshold``.
 
-    ``tokens`` holds a set. Tokens are ordered from rare to frequent; two sets
-    reach the threshold only if their first few tokens share one, so only those
-    are joined, and the positions of what they share bound what they can share in
-    all; only pairs whose bound suffices are compared. Sets with equal tokens first
-    become one class; classes are paired, and each class is expanded at the end.
-    ``within`` restricts pairs to equal, non-null values. Empty sets pair with nothing.
+    ``tokens`` holds a set. Sets with equal tokens are one class, which its smallest
+    key stands for: pairs are those of the keys of two classes, and the key of a
+    class with each other member of it (similarity 1). So no link between
+    different sets is lost, and a class of any size gives rows in proportion.
+
+    Tokens are ordered from rare to frequent; two sets reach the threshold only if
+    their first few tokens share one, so only those are joined, and the positions
+    of what they share bound what they can share in all; only pairs whose bound
+    suffices are compared. ``within`` restricts pairs to equal, non-null values.
+    Empty sets pair with nothing.
     """
     base = docs.select(
         F.col(key).alias("id"),
@@ -24,46 +28,36 @@ def jaccard_join(docs: DataFrame, key: str, tokens: str, threshold: float, withi
         F.array_sort(F.array_distinct(tokens)).alias("tokens"),
     ).where((F.size("tokens") > 0) & F.col("part").isNotNull())
     keyed = cut(base.withColumn("class", F.sha2(F.to_json(F.struct("part", "tokens")), 256)))
-    members = keyed.select("class", "id")
-    classes = keyed.groupBy("class").agg(F.first("part").alias("part"), F.first("tokens").alias("tokens"))
-    classes = cut(classes)
-    frequency = classes.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    tokens_by_rarity = (
-        classes.select("class", "part", F.explode("tokens").alias("token"))
-        .join(frequency, "token")
-        .groupBy("class", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("ordered"))
-    )
+    classes = keyed.groupBy("class").agg(F.min("id").alias("rep"), F.first("part").alias("part"), F.first("tokens").alias("tokens"))
+    # a class has a number, and a token its hash, so what is joined is narrow; sets are compared by their tokens
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
+    each = classes.select("c", "part", F.explode("tokens").alias("token")).select("c", "part", F.xxhash64("part", "token").alias("h"))
+    frequency = each.groupBy("h").count()
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("count", "h"))), lambda x: x["h"])
+    by_rarity = cut(each.join(frequency, "h").groupBy("c").agg(ordered.alias("ordered")))
     n = F.size("ordered")
 
     def first_tokens(share: float) -> DataFrame:
         """The tokens of which one is shared by any partner with which at least ``share`` of the set is."""
         many = n - F.ceil(n * F.lit(share) - F.lit(1e-9)).cast("int") + 1
-        each = tokens_by_rarity.select("class", "part", n.alias("n"), F.posexplode(F.slice("ordered", F.lit(1), many)).alias("at", "x"))
-        return each.select("class", "part", "n", (F.col("at") + 1).alias("at"), F.col("x.token").alias("token"))
+        firsts = by_rarity.select("c", n.alias("n"), F.posexplode(F.slice("ordered", F.lit(1), many)).alias("at", "h"))
+        return firsts.select("c", "n", (F.col("at") + 1).alias("at"), "h")
 
     # of two sets the smaller shares 2t / (1 + t) of its tokens, the larger t
     a, b = first_tokens(2 * threshold / (1 + threshold)).alias("a"), first_tokens(threshold).alias("b")
-    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class") < F.col("b.class")))
-    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.token") == F.col("b.token")) & ordered & (F.col("a.n") >= F.col("b.n") * F.lit(threshold))
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c")))
+    same = (F.col("a.h") == F.col("b.h")) & smaller & (F.col("a.n") >= F.col("b.n") * F.lit(threshold))
     needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     after = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     met = a.join(b, same & (F.least("a.at", "b.at") + after >= needed))
     # shared so far, and what can still be shared behind the last shared token
     most = F.count("*") + F.least(F.first("a.n") - F.max("a.at"), F.first("b.n") - F.max("b.at"))
-    found = met.groupBy(F.col("a.class").alias("ca"), F.col("b.class").alias("cb")).agg(most.alias("most"), F.first(needed).alias("needed"))
+    found = met.groupBy(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).agg(most.alias("most"), F.first(needed).alias("needed"))
     candidates = found.where(F.col("most") >= F.col("needed")).select("ca", "cb")
     x, y = classes.alias("x"), classes.alias("y")
     shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
     sim = (shared / (F.size("x.tokens") + F.size("y.tokens") - shared)).alias("sim")
-    scored = (
-        candidates.join(x, F.col("ca") == F.col("x.class")).join(y, F.col("cb") == F.col("y.class"))
-        .select("ca", "cb", sim).where(F.col("sim") >= threshold)
-    )
-    own = classes.select(F.col("class").alias("ca"), F.col("class").alias("cb"), F.lit(1.0).alias("sim"))
-    u, v = members.alias("u"), members.alias("v")
-    wide = scored.unionByName(own).join(u, F.col("ca") == F.col("u.class")).join(v, F.col("cb") == F.col("v.class"))
-    differs = (F.col("ca") != F.col("cb")) | (F.col("u.id") < F.col("v.id"))
-    return wide.where(differs).select(F.least("u.id", "v.id").alias("doc_a"), F.greatest("u.id", "v.id").alias("doc_b"), "sim")
-
-
+    scored = candidates.join(x, F.col("ca") == F.col("x.c")).join(y, F.col("cb") == F.col("y.c"))
+    scored = scored.select(F.least("x.rep", "y.rep").alias("doc_a"), F.greatest("x.rep", "y.rep").alias("doc_b"), sim).where(F.col("sim") >= threshold)
+    members = keyed.select("class", F.col("id").alias("doc_b")).join(classes.select("class", F.col("rep").alias("doc_a")), "class").where("doc_a <> doc_b")
+    return scored.unionByName(members.select("doc_a", "doc_b", F.lit(1.0).alias("sim")))

@@ -48,9 +48,10 @@ def test_jaccard_join_is_exact(spark):
     sets[60] = []
     docs = spark.createDataFrame([(i, "x", s) for i, s in sets.items()], "id long, part string, tokens array<string>")
     got = {(r.doc_a, r.doc_b): r.sim for r in jaccard_join(docs, "id", "tokens", 0.6, "part").collect()}
-    want = {}
-    for a in sets:
-        for b in sets:
+    first = {tuple(s): i for i, s in sorted(sets.items(), reverse=True)}
+    want = {(first[tuple(s)], i): 1.0 for i, s in sets.items() if s and first[tuple(s)] != i}
+    for a in first.values():
+        for b in first.values():
             if a < b and sets[a] and sets[b]:
                 s = len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
                 if s >= 0.6:

@@ -17,10 +17,14 @@ def test_equals_all_pairs(spark, threshold):
     rows = [(i, s, rng.choice(["x", "y", None]) if i % 5 == 0 else "x") for i, s in enumerate(sets)]
     made = spark.createDataFrame(rows, "id long, tokens array<string>, part string")
     found = {(r["doc_a"], r["doc_b"]): round(r["sim"], 9) for r in jaccard_join(made, "id", "tokens", threshold, within="part").collect()}
-    wanted = {}
+    first, wanted = {}, {}
     for i, s, p in rows:
-        for j, t, q in rows:
-            if i < j and s and t and p is not None and p == q:
+        if s and p is not None and first.setdefault((p, *sorted({*s})), i) != i:
+            wanted[first[p, *sorted({*s})], i] = 1.0
+    firsts = [r for r in rows if r[0] in first.values()]
+    for i, s, p in firsts:
+        for j, t, q in firsts:
+            if i < j and p == q:
                 sim = len({*s} & {*t}) / len({*s} | {*t})
                 if sim >= threshold - 1e-12:
                     wanted[i, j] = round(sim, 9)
