@@ -41,7 +41,8 @@ def _print(links: DataFrame) -> tuple:
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One step over links from ``v`` to ``u``; the result has ``v`` above ``u``."""
-    least = links.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+    # a table of its own, so the join can be split where a node has very many links
+    least = cut(links.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")))
     joined = links.join(least, "v")
     if large:  # v's larger neighbours, to the least of v and its neighbours
         moved = joined.where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
