@@ -31,8 +31,8 @@ def tf_idf_cosine(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(sums, ["doc_a", "doc_b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
 
 
-def bm25(pairs: DataFrame, tokens: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 of ``doc_b`` for the distinct tokens of ``doc_a``, over the corpus, divided by ``doc_a``'s score of itself."""
+def bm25_parts(tokens: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``id, token, part``: what each distinct token of a document adds to its BM25 score over the corpus."""
     tf = cut(tokens.groupBy("id", "token").agg(F.count("*").alias("tf")))
     length = tf.groupBy("id").agg(F.sum("tf").alias("len"))
     corpus = length.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
@@ -40,7 +40,12 @@ def bm25(pairs: DataFrame, tokens: DataFrame, k1: float = 1.5, b: float = 0.75)
     scored = tf.join(length, "id").join(df, "token").crossJoin(F.broadcast(corpus))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    parts = cut(scored.select("id", "token", part.alias("part")))
+    return cut(scored.select("id", "token", part.alias("part")))
+
+
+def bm25(pairs: DataFrame, tokens: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """BM25 of ``doc_b`` for the distinct tokens of ``doc_a``, over the corpus, divided by ``doc_a``'s score of itself."""
+    parts = bm25_parts(tokens, k1, b)
     own = parts.groupBy("id").agg(F.sum("part").alias("own"))
     a = pairs.join(parts.select(F.col("id").alias("doc_a"), "token"), "doc_a")
     met = a.join(parts.select(F.col("id").alias("doc_b"), "token", "part"), ["doc_b", "token"]).groupBy("doc_a", "doc_b").agg(F.sum("part").alias("score"))
@@ -49,8 +54,9 @@ def bm25(pairs: DataFrame, tokens: DataFrame, k1: float = 1.5, b: float = 0.75)
     return joined.select("doc_a", "doc_b", share.alias("sim"))
 
 
-def inverted_search(tokens: DataFrame, query: list[str], limit: int = 10) -> DataFrame:
-    """Documents that hold words of a query: share of its distinct words, best first."""
+def inverted_search(tokens: DataFrame, query: list[str], limit: int | None = 10) -> DataFrame:
+    """Documents that hold words of a query: share of its distinct words, best first; all of them if ``limit`` is None."""
     wanted = sorted(set(query))
     hits = tokens.where(F.col("token").isin(*wanted)).groupBy("id").agg(F.countDistinct("token").alias("hits"))
-    return hits.select("id", (F.col("hits") / len(wanted)).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    scored = hits.select("id", (F.col("hits") / len(wanted)).alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import extract, style, text
-from pairloom.functions.similarity import cosine
 from pairloom.functions.text import STOP_WORDS
-from pairloom.operators import fingerprints, hybrid, lexical
+from pairloom.operators import fingerprints, hybrid
 from pairloom.plans import similarity as sim_plans
 from pairloom.plans.structure import POS
 from pairloom.plans.texts import W
@@ -31,16 +30,6 @@ def pair_percentile_filter(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.percentile_filter(sim_plans.tf_idf_neighbours(spark, d), 90)
 
 
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword hits and vectors near vector 0, merged by id."""
-    tokens = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(text.words("text")).alias("token"))
-    hits = lexical.inverted_search(tokens, ["license", "work", "public", "general"], 50)
-    rows = table(spark, d, "embeddings")
-    asked = rows.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    near = rows.crossJoin(F.broadcast(asked)).select(F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return hybrid.merged_search(hits, near.where("id <> 0").orderBy(F.desc("score"), "id").limit(50))
-
-
 def vector_storage(spark: SparkSession, d: str) -> DataFrame:
     """Vectors, components and bytes by label."""
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"), F.sum(F.size("embedding")).alias("components"), F.sum(F.size("embedding") * 4).alias("bytes"))
@@ -114,7 +103,7 @@ def table_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    hybrid_pairs, hybrid_z_scores, pair_percentile_filter, hybrid_search, vector_storage, event_properties, event_change_points, text_injections, text_search_queries, text_snippets,
+    hybrid_pairs, hybrid_z_scores, pair_percentile_filter, vector_storage, event_properties, event_change_points, text_injections, text_search_queries, text_snippets,
     url_file_names, text_citations, text_bigrams, style_patchwriting, table_similarity,
 )}
 
@@ -134,10 +123,6 @@ SQL = {
         SELECT doc_a, doc_b, round(least(1.0, greatest(0.0, 0.7::DOUBLE * x.s + 0.3::DOUBLE * y.s)), 4) AS score FROM x JOIN y USING (doc_a, doc_b)""",
     "hybrid_z_scores": f"WITH a AS ({TF}) SELECT doc_a, doc_b, round((sim - avg(sim) OVER ()) / stddev_pop(sim) OVER (), 4) AS z FROM a",
     "pair_percentile_filter": f"WITH a AS ({TF}) SELECT doc_a, doc_b, CASE WHEN sim >= (SELECT quantile_cont(sim, 0.9) FROM a) THEN sim ELSE 0 END AS sim FROM a",
-    "hybrid_search": f"""WITH t AS (SELECT doc_id AS id, unnest({W}) AS token FROM documents), h AS (SELECT id, count(DISTINCT token) / 4.0::DOUBLE AS t FROM t WHERE token IN ('license', 'work', 'public', 'general') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50),
-        u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT u.id, round(least(1, greatest(0, list_cosine_similarity(u.v, q.v))), 6) AS v FROM u, u q WHERE q.id = 0 AND u.id <> 0 ORDER BY 2 DESC, 1 LIMIT 50)
-        SELECT coalesce(h.id, n.id) AS id, round(0.6::DOUBLE * coalesce(v, 0) + 0.4::DOUBLE * coalesce(t, 0), 6) AS score, CASE WHEN t IS NULL THEN 'vector' WHEN v IS NULL THEN 'text' ELSE 'both' END AS kind
-        FROM h FULL JOIN n ON h.id = n.id ORDER BY 2 DESC, 1 LIMIT 20""",
     "vector_storage": "SELECT label, count(*) AS vectors, CAST(sum(len(embedding)) AS BIGINT) AS components, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes FROM embeddings GROUP BY 1",
     "event_properties": "WITH k AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, round(avg(k), 6) AS mean FROM k GROUP BY 1",
     "text_injections": f"WITH t AS (SELECT lower(coalesce(text, '')) AS t FROM conversations) SELECT CAST({HITS} AS BIGINT) AS phrases, count(*) AS turns FROM t GROUP BY 1",

@@ -21,8 +21,13 @@ def _neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Jaccard, Dice, overlap and word trigrams of neighbouring documents."""
+    return metrics(_neighbours(spark, d))
+
+
+def metrics(pairs: DataFrame) -> DataFrame:
+    """Jaccard, Dice, overlap and word trigrams of pairs with their texts."""
     r = lambda c, n: F.round(c, 6).alias(n)
-    return _neighbours(spark, d).select(
+    return pairs.select(
         "doc_a", "doc_b", r(fn.jaccard("text_a", "text_b"), "jaccard"), r(fn.dice("text_a", "text_b"), "dice"), r(fn.overlap("text_a", "text_b"), "overlap"), r(fn.ngram_overlap("text_a", "text_b", 3), "ngram")
     )
 

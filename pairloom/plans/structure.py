@@ -164,7 +164,14 @@ BW = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\x0b]+'),
 POS = "CASE " + " ".join(f"WHEN regexp_matches(w, '{p}') THEN '{t}'" for t, p in style.POS_RULES) + " ELSE 'X' END"
 PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
 
+#: The rounds of PageRank one after the other.
+ROUNDS = ", ".join(
+    f"r{i} AS MATERIALIZED (SELECT t.doc, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(sum(r.rank * l.share), 0) AS rank FROM t CROSS JOIN n LEFT JOIN l ON l.other = t.doc LEFT JOIN r{i - 1} r ON r.doc = l.doc GROUP BY t.doc, n)" for i in range(1, 21)
+)
+RANKED = f"{P}, {ENDS}, t AS (SELECT doc, sum(sim) AS total FROM e GROUP BY 1), l AS (SELECT doc, other, sim / total AS share FROM e JOIN t USING (doc)), n AS (SELECT count(*) AS n FROM t), r0 AS (SELECT doc, 1 / n::DOUBLE AS rank FROM t, n), {ROUNDS}"
+
 SQL = {
+    "graph_page_rank": f"{RANKED} SELECT doc, round(rank, 8) AS rank FROM r20",
     "dedup_simhash": f"""WITH w AS (SELECT doc_id, unnest({W}) AS item FROM documents), x AS (SELECT doc_id, {HEX.format('substr(md5(item), 1, 8)')} AS h, {HEX.format('substr(md5(item), 9, 8)')} AS l FROM w),
         v AS (SELECT doc_id, {BITS} FROM x GROUP BY 1) SELECT doc_id, CAST({SUMS['h']} AS BIGINT) AS high, CAST({SUMS['l']} AS BIGINT) AS low FROM v""",
     "dedup_winnowing": f"""WITH w AS (SELECT doc_id, {W} AS w FROM documents), g AS (SELECT doc_id, list_transform(range(1, greatest(1, len(w) - 3)), lambda i: {HEX.format("substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 8)")}) AS h FROM w),
