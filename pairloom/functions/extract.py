@@ -11,6 +11,9 @@ from pairloom.functions.text import STOP_WORDS, let, text_of
 INJECTIONS = (
     r"ignore (all )?(previous|prior|above) (instructions|prompts)", r"disregard (all )?(previous|prior|above)", r"you are now", r"system prompt", r"act as (an?|the) ", r"<\|im_(start|end)\|>",
 )
+# Lines of references by author, year and title.
+APA = r"^\s*([^()\[\]]{2,100}?)\s*\(((?:19|20)\d{2})\)\.?\s*([^.]{3,200})\."
+IEEE = r'^\s*\[\d+\]\s*([^"]{2,100}?),\s*"([^"]{3,200}?),?"\D*((?:19|20)\d{2})'
 YEAR = r"\b((?:19|20)\d{2})\b"
 
 
@@ -63,13 +66,10 @@ def citation_keys(text: str | Column) -> Column:
     def key(author: Column, year: Column, title: Column) -> Column:
         return F.sha2(F.concat_ws("|", F.lower(F.trim(author)), year, F.lower(F.trim(title))), 256)
 
-    apa = r"^\s*([^()\[\]]{2,100}?)\s*\(((?:19|20)\d{2})\)\.?\s*([^.]{3,200})\."
-    ieee = r'^\s*\[\d+\]\s*([^"]{2,100}?),\s*"([^"]{3,200}?),?"\D*((?:19|20)\d{2})'
-
     def one(line: Column) -> Column:
-        a = key(F.regexp_extract(line, apa, 1), F.regexp_extract(line, apa, 2), F.regexp_extract(line, apa, 3))
-        i = key(F.regexp_extract(line, ieee, 1), F.regexp_extract(line, ieee, 3), F.regexp_extract(line, ieee, 2))
-        return F.when(F.regexp_like(line, F.lit(apa)), a).when(F.regexp_like(line, F.lit(ieee)), i)
+        a = key(F.regexp_extract(line, APA, 1), F.regexp_extract(line, APA, 2), F.regexp_extract(line, APA, 3))
+        i = key(F.regexp_extract(line, IEEE, 1), F.regexp_extract(line, IEEE, 3), F.regexp_extract(line, IEEE, 2))
+        return F.when(F.regexp_like(line, F.lit(APA)), a).when(F.regexp_like(line, F.lit(IEEE)), i)
 
     return F.array_distinct(F.filter(F.transform(lines, one), lambda k: k.isNotNull()))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import markup, style
+from pairloom.functions.extract import APA, IEEE, citation_keys
 from pairloom.functions.similarity import cosine, jaccard
 from pairloom.functions.text import count_words, script
 from pairloom.operators import writing
@@ -19,6 +20,12 @@ ALPHA, FLAGGED = 0.7, 0.5
 RULES = (("type_token_ratio", 0.4, 30), ("avg_sentence_length", 8.0, 30), ("avg_word_length", 4.0, 20), ("punctuation_frequency", 5.0, 20))
 
 
+#: SQL of a LaTeX source of a part, and of a document with citations at its end.
+PART_SOURCE = r"concat('\DocumentClass[11pt]{', lower(replace(p_type, ' ', '')), '} \usepackage[x]{', replace(p_name, ' ', ','), '} \noindent\begin{', lower(replace(p_brand, '#', '')), '*} \def\a', p_size, '{} \renewcommand{\b}{c} \beginner{no}')"
+CITING = "concat(coalesce(text, ''), '. It was shown before [', CAST(doc_id % 20 AS VARCHAR(9)), ', 7]. Others agree (Smith, ', CAST(1990 + doc_id % 30 AS VARCHAR(9)), '). This ends it.')"
+REFERENCES = "concat('Smith, J. (', CAST(1990 + doc_id % 30 AS VARCHAR(9)), '). Report ', CAST(doc_id % 7 AS VARCHAR(9)), '.', chr(10), '[1] A. Jones, \"On ', lang, ',\" Press, 2011.', chr(10), 'no reference (1899). Here.')"
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -39,6 +46,11 @@ def text_macros(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.array_join(markup.macros("text"), ",").alias("macros"))
 
 
+def part_macros(spark: SparkSession, d: str) -> DataFrame:
+    """Names in a LaTeX source made from each part's maker, name and brand."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(markup.macros(F.expr(PART_SOURCE.replace("\\", "\\\\"))), ",").alias("macros"))
+
+
 def text_hidden_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of zero-width characters, their characters, and the mark they hide."""
     runs = markup.hidden_runs("text")
@@ -52,13 +64,37 @@ def part_tags(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Sentences around each citation."""
-    found = _docs(spark, d).select("doc_id", F.explode(markup.cited("text")).alias("c"))
+    return _contexts(_docs(spark, d))
+
+
+def citation_contexts_made(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences around each citation of documents that end in two."""
+    return _contexts(_docs(spark, d).select("doc_id", F.expr(CITING).alias("text")))
+
+
+def _contexts(docs: DataFrame) -> DataFrame:
+    found = docs.select("doc_id", F.explode(markup.cited("text")).alias("c"))
     return found.select("doc_id", F.col("c.sentence").cast("long").alias("sentence"), F.col("c.key").alias("key"), F.md5("c.context").alias("context_md5"))
 
 
 def citation_references(spark: SparkSession, d: str) -> DataFrame:
     """Numbered citations with the benchmark item of that number as the reference; empty if there is none."""
-    found = _docs(spark, d).select("doc_id", F.explode(markup.cited("text")).alias("c"))
+    return _referred(spark, d, _docs(spark, d))
+
+
+def citation_references_made(spark: SparkSession, d: str) -> DataFrame:
+    """The same of documents that end in citations."""
+    return _referred(spark, d, _docs(spark, d).select("doc_id", F.expr(CITING).alias("text")))
+
+
+def text_citations_made(spark: SparkSession, d: str) -> DataFrame:
+    """Citation keys that two or more lists of references, made for each document, share."""
+    keys = _docs(spark, d).select("doc_id", F.explode(citation_keys(F.expr(REFERENCES))).alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("documents")).where("documents > 1")
+
+
+def _referred(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+    found = docs.select("doc_id", F.explode(markup.cited("text")).alias("c"))
     cited = found.select("doc_id", F.trim(F.split(F.col("c.key"), r"[,\-]")[0]).alias("item"))
     items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("reference"))
     return cited.join(items, "item", "left").select("doc_id", "item", F.length(F.coalesce("reference", F.lit(""))).cast("long").alias("chars"))
@@ -164,7 +200,7 @@ def turn_coherence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    turn_rhetoric, text_macros, text_hidden_runs, part_tags, citation_contexts, citation_references, text_nfc, text_nfkc, page_style_entropy, style_paraphrase, style_profile, style_deviation,
+    turn_rhetoric, text_macros, text_hidden_runs, part_tags, citation_contexts, citation_references, citation_contexts_made, citation_references_made, text_citations_made, part_macros, text_nfc, text_nfkc, page_style_entropy, style_paraphrase, style_profile, style_deviation,
     text_rubric, pair_drift, pair_two_text_tf_idf, pair_shared_segments, pair_paragraphs, pair_cross_script, pair_lexical_methods, pair_hybrid_parts, turn_coherence,
 )}
 
@@ -174,10 +210,17 @@ PIECES = f"string_split(regexp_replace({STRIP}, '([.!?]){B}+', '\\1' || chr(1),
 N_BLANK = f"len(list_filter(string_split_regex(x, '{B}+'), lambda y: y <> ''))"
 WORDS = "[\\p{L}\\p{N}_]+"
 CLASS = "CASE " + " ".join(f"WHEN h = '{w}' THEN '{n}'" for w, n in markup.HEADINGS.items()) + " " + " ".join(f"WHEN regexp_matches(t, '(?i)\\b{p}\\b') THEN '{n}'" for n, p in markup.RHETORIC) + " ELSE 'CLAIM' END"
-MACROS = ", ".join(f"list_transform(regexp_extract_all({T}, '{p}', 1), lambda x: '{k}' || x)" for k, p in (
-    ("macro:", r"(?i)\\(?:newcommand|def|renewcommand)\{?\\([a-zA-Z]+)\}?"), ("env:", r"(?i)\\begin\{([a-zA-Z*]+)\}"), ("class:", r"(?i)\\documentclass(?:\[.*?\])?\{([a-zA-Z]+)\}"),
-))
-PKG = r"list_transform(flatten(list_transform(regexp_extract_all({0}, '(?i)\\usepackage(?:\[.*?\])?\{{([a-zA-Z0-9,]+)\}}', 1), lambda x: string_split(x, ','))), lambda x: 'pkg:' || x)".format(T)
+SEQ = markup.SEQUENCE.replace("'", "''")
+KINDS = [(kind, ", ".join(f"'{n}'" for n, k in markup.NAMING.items() if k == kind)) for kind in dict.fromkeys(markup.NAMING.values())]
+NAMED = " || ".join(f"list_transform(list_filter(flatten(list_transform(list_filter(list_zip(b, n), lambda x: lower(x[1]) IN ({names})), lambda x: string_split(x[2], ','))), lambda x: x <> ''), lambda x: '{kind}:' || x)" for kind, names in KINDS)
+MACROS = f"array_to_string({NAMED}, ',') AS macros"
+
+
+def _macros_sql(rows: str) -> str:
+    """Of rows of a key ``k`` and a source ``s``."""
+    return f"WITH r AS ({rows}), z AS (SELECT k, regexp_extract_all(s, '{SEQ}', 1) AS b, regexp_extract_all(s, '{SEQ}', 2) AS n FROM r)"
+
+
 TOTALS = f"w AS (SELECT doc_id, source, {T} AS t, {W} AS w FROM documents), c AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM w) GROUP BY 1, 2), m AS (SELECT doc_id, sum(c) AS n, count(*) AS v, sum(c * c) AS q, sum(c * log2(c)) AS e, sum(c * length(x)) AS l FROM c GROUP BY 1)"
 
 
@@ -202,7 +245,8 @@ PARAS = f"list_filter(list_transform(string_split_regex(coalesce({{0}}, ''), '\\
 
 SQL = {
     "turn_rhetoric": f"WITH t AS (SELECT conv_id, turn, {T} AS t, lower(regexp_replace({STRIP.format(T)}, '[.:]+$', '')) AS h FROM conversations) SELECT conv_id, turn, {CLASS} AS class FROM t",
-    "text_macros": f"SELECT doc_id, array_to_string(list_concat(list_concat({MACROS.split(', list_transform', 1)[0]}, list_transform{MACROS.split(', list_transform', 1)[1].split(', list_transform', 1)[0]}), list_concat(list_transform{MACROS.rsplit(', list_transform', 1)[1]}, {PKG})), ',') AS macros FROM documents",
+    "text_macros": _macros_sql(f"SELECT doc_id AS k, {T} AS s FROM documents") + f" SELECT k AS doc_id, {MACROS} FROM z",
+    "part_macros": _macros_sql(f"SELECT p_partkey AS k, {PART_SOURCE} AS s FROM part") + f" SELECT k AS p_partkey, {MACROS} FROM z",
     "text_hidden_runs": f"""WITH r AS (SELECT doc_id, regexp_extract_all({T}, '[{markup.HIDDEN}]+') AS r, regexp_extract({T}, '{markup.BEGIN}([{markup.ZERO}{markup.ONE}]+){markup.END}', 1) AS f, regexp_replace({T}, '[^{markup.ZERO}{markup.ONE}]', '', 'g') AS l FROM documents),
         b AS (SELECT doc_id, r, lpad(substr(translate(CASE WHEN f <> '' THEN f WHEN length(l) >= 128 THEN l END, '{markup.ZERO}{markup.ONE}', '01'), 1, 128), 128, '0') AS b FROM r)
         SELECT doc_id, len(r) AS runs, length(array_to_string(r, '')) AS chars, CASE WHEN b IS NOT NULL THEN array_to_string(list_transform(range(0, 32), lambda i: substr('0123456789abcdef', CAST(1 + 8 * CAST(b[4 * i + 1] AS INTEGER) + 4 * CAST(b[4 * i + 2] AS INTEGER) + 2 * CAST(b[4 * i + 3] AS INTEGER) + CAST(b[4 * i + 4] AS INTEGER) AS BIGINT), 1)), '') END AS mark FROM b""",
@@ -210,6 +254,10 @@ SQL = {
         SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(t, lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')), lambda x: regexp_matches(x, '[a-z]')), lambda x: '#' || x))), ' ') AS tags FROM t""",
     "citation_contexts": f"WITH {CITED} SELECT doc_id, sentence, key, md5(context) AS context_md5 FROM cited",
     "citation_references": f"WITH {CITED} SELECT doc_id, i AS item, length(coalesce(b.text, '')) AS chars FROM (SELECT doc_id, trim(string_split_regex(key, '[,\\-]')[1], ' ') AS i FROM cited) LEFT JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = i",
+    "citation_contexts_made": f"WITH {CITED.replace(T, CITING)} SELECT doc_id, sentence, key, md5(context) AS context_md5 FROM cited",
+    "citation_references_made": f"WITH {CITED.replace(T, CITING)} SELECT doc_id, i AS item, length(coalesce(b.text, '')) AS chars FROM (SELECT doc_id, trim(string_split_regex(key, '[,\\-]')[1], ' ') AS i FROM cited) LEFT JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = i",
+    "text_citations_made": f"""WITH l AS (SELECT doc_id, unnest(string_split({REFERENCES}, chr(10))) AS l FROM documents), k AS (SELECT DISTINCT doc_id, CASE WHEN regexp_matches(l, '{APA}') THEN sha256(lower(trim(regexp_extract(l, '{APA}', 1))) || '|' || regexp_extract(l, '{APA}', 2) || '|' || lower(trim(regexp_extract(l, '{APA}', 3))))
+        WHEN regexp_matches(l, '{IEEE}') THEN sha256(lower(trim(regexp_extract(l, '{IEEE}', 1))) || '|' || regexp_extract(l, '{IEEE}', 3) || '|' || lower(trim(regexp_extract(l, '{IEEE}', 2)))) END AS key FROM l) SELECT key, count(*) AS documents FROM k WHERE key IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
     "text_nfc": f"SELECT doc_id, md5(nfc_normalize({T})) AS nfc_md5 FROM documents",
     "page_style_entropy": """WITH p AS (SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)) AS n FROM pages), c AS (SELECT page_id, x, count(*) AS c FROM (SELECT page_id, unnest(n) AS x FROM p) GROUP BY 1, 2),
         e AS (SELECT page_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1)
