@@ -393,6 +393,42 @@ def test_cross_polytope_equals_brute_force(spark, monkeypatch, block):
     assert got[None].n_links == 0 and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("hashes", [2, 3])
+@pytest.mark.parametrize("width", [24, 64, 256])
+def test_near_vectors_meet(hashes, width):
+    """Planted pairs at the threshold: all of four thousand meet in a bucket that both fill."""
+    rng = np.random.default_rng(width)
+    x, z = rng.normal(size=(2, 4000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    wide = polytope._wide(width)
+    a, b = polytope.tops(x, hashes), polytope.tops(y, hashes)
+    table, code = polytope._meets(a, b, wide)
+    assert (table >= 0).mean() >= 0.9995
+    each = np.flatnonzero(table >= 0)
+    for side in (a, b):
+        assert (polytope.buckets(side, wide)[each, table[each]] == code[each, None]).any(1).all()
+    assert (polytope.buckets(a, wide)[:, :, 0] == polytope.homes(a, wide)).all()
+
+
+def test_cross_polytope_planted_links_and_odd_tables(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 32))
+    rows = [(i, [float(v) for v in np.float32(x[i // 3] + (i % 3) * 0.05 * rng.normal(size=32))], i % 2 == 0) for i in range(450)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label boolean").withColumn("kept", F.lit("clash")).withColumn("c", F.lit("clash"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in polytope.near_duplicates(table).collect()}
+    unit = [np.array(v, np.float64) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [(a, b) for a in range(450) for b in range(a + 1, 450) if rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98]
+    want = components(range(450), links)
+    number = defaultdict(int)
+    for a, b in links:
+        number[a] += 1
+        number[b] += 1
+    assert len(links) > 20 and got == {i: (number[i], want[i]) for i in range(450)}
+    assert polytope.near_duplicates(table.limit(0)).count() == 0
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     syllables = {"en": ["the", "ing", "and", "th", "er"], "de": ["ung", "sch", "ein", "der", "ich"], "fr": ["eau", "les", "ou", "ment", "que"], "es": ["ción", "los", "que", "ado", "ñ"]}
