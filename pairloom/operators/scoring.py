@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranges import running
+
 
 def threshold_sweep(rows: DataFrame, score: str, label: str, grid: list[float], empty_precision: float = 0.0) -> DataFrame:
     """Confusion counts, precision, recall, F1, accuracy and rates at every threshold, from one pass."""
@@ -36,8 +38,7 @@ def best_threshold(sweep: DataFrame, strategy: str = "f1") -> DataFrame:
 def roc_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores; ties count half; null with one class only."""
     by = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    made = by.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    made = running(by, "s", F.col("q"), "below").agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return made.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.round(F.col("u") / (F.col("p").cast("double") * F.col("q")), 6)).alias("auc"))
 
 

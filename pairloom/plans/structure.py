@@ -137,8 +137,9 @@ def style_pos(spark: SparkSession, d: str) -> DataFrame:
 
 def style_turn_entropy(spark: SparkSession, d: str) -> DataFrame:
     """Entropy of each conversation's roles."""
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
-    return rows.select("conv_id", F.round(style.shannon_entropy(F.col("roles")), 6).alias("entropy"))
+    counts = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("role").alias("c"))
+    n, bits = F.sum("c"), F.sum(F.when(F.col("c") > 0, F.col("c") * F.log2("c")).otherwise(0.0))
+    return counts.groupBy("conv_id").agg(F.when(n > 0, F.round(F.log2(n) - bits / n, 6)).otherwise(0.0).alias("entropy"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -53,26 +53,29 @@ def xml_paragraphs(data: bytes, ends: tuple[str, ...], texts: tuple[str, ...] |
     return "\n".join(x for x in lines if x.strip())
 
 
-def zipped(data: bytes) -> Iterator[tuple[str, bytes]]:
+def zipped(data: bytes) -> Iterator[tuple[str, bytes | None]]:
+    """Members with their bytes, or None if they are too large."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in sorted(z.infolist(), key=lambda i: i.filename):
-            if not info.is_dir() and info.file_size <= MEMBER_BYTES:
-                yield info.filename, z.read(info)
+            if not info.is_dir():
+                yield info.filename, z.read(info) if info.file_size <= MEMBER_BYTES else None
 
 
-def tarred(data: bytes) -> Iterator[tuple[str, bytes]]:
+def tarred(data: bytes) -> Iterator[tuple[str, bytes | None]]:
     with tarfile.open(fileobj=io.BytesIO(data)) as t:
         for info in t:
-            if info.isfile() and info.size <= MEMBER_BYTES:
-                yield info.name, t.extractfile(info).read()
+            if info.isfile():
+                yield info.name, t.extractfile(info).read() if info.size <= MEMBER_BYTES else None
 
 
-def texts(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str, str | None, str | None]]:
+def texts(name: str, data: bytes | None, depth: int = 0) -> Iterator[tuple[str, str, str | None, str | None]]:
     """``(member, kind, text, error)`` of a file; an archive gives its members'."""
     lower = name.lower()
     kind = "tar" if lower.endswith((".tar", ".tar.gz", ".tgz")) else lower.rpartition(".")[2]
     try:
-        if kind in ("zip", "tar"):
+        if data is None:
+            yield name, kind, None, f"over {MEMBER_BYTES} bytes"
+        elif kind in ("zip", "tar"):
             if depth >= DEPTH:
                 yield name, kind, None, "archives nest too deeply"
                 return

@@ -113,3 +113,12 @@ def test_spikes_go_on_over_batches(spark, tmp_path):
         events.where(F.floor(F.col("event_id") / 25) == part).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
         jobs.spikes(jobs.read_events(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "kept"), str(tmp_path / "cp"))
     assert {r.event_id for r in spark.read.parquet(str(tmp_path / "kept" / "out")).collect()} == {25, 45}
+
+
+def test_large_members_are_errors(monkeypatch):
+    monkeypatch.setattr(files, "MEMBER_BYTES", 10)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", "short")
+        z.writestr("b.txt", "rather long text")
+    assert list(files.texts("x.zip", packed.getvalue())) == [("a.txt", "txt", "short", None), ("b.txt", "txt", None, "over 10 bytes")]
