@@ -75,13 +75,16 @@ def ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     leaves = cut(at.join(replied, of & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf")))
     most = rows.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     levels: list[DataFrame] = []
-    while 1 << len(levels) <= most and not at.where("above IS NOT NULL").isEmpty():
-        levels.append(at.where("above IS NOT NULL").select("tree", "node", "above"))
-        over = at.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("further"), F.col("score").alias("more"))
-        summed = (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
-        at = cut(at.join(over, of & (F.col("above") == F.col("n")), "left").select("tree", "node", F.col("further").alias("above"), summed))
-    rooted = at.where("above IS NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
-    return leaves.join(rooted, of & (F.col("leaf") == F.col("n"))).select("tree", "leaf", "score"), levels
+    # nodes whose root is reached leave the rounds
+    walking, rooted = at.where("above IS NOT NULL"), at.where("above IS NULL")
+    while 1 << len(levels) <= most and not walking.isEmpty():
+        levels.append(walking.select("tree", "node", "above"))
+        over = walking.unionByName(rooted).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("further"), F.col("score").alias("more"))
+        summed = walking.join(over, of & (F.col("above") == F.col("n"))).select("tree", "node", F.col("further").alias("above"), (F.col("score") + F.col("more")).alias("score"))
+        summed = cut(summed)
+        walking, rooted = summed.where("above IS NOT NULL"), rooted.unionByName(summed.where("above IS NULL"))
+    total = rooted.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
+    return leaves.join(total, of & (F.col("leaf") == F.col("n"))).select("tree", "leaf", "score"), levels
 
 
 def paths(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
