@@ -11,24 +11,35 @@ from pyspark.sql import functions as F
 from pairloom.runtime import cut
 
 
-def tf_idf(tokens: DataFrame) -> DataFrame:
-    """``id, token, weight``: raw counts by smooth idf, each document of length 1."""
+def _weighted(tokens: DataFrame) -> DataFrame:
+    """``id, token, w``: raw counts by smooth idf."""
     tf = cut(tokens.groupBy("id", "token").agg(F.count("*").alias("tf")))
     n = tf.agg(F.countDistinct("id").alias("n"))
     df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # n is one row
     idf = df.select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = cut(tf.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w")))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
+    return cut(tf.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w")))
+
+
+def _norms(weighted: DataFrame) -> DataFrame:
+    return weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def tf_idf(tokens: DataFrame) -> DataFrame:
+    """``id, token, weight``: raw counts by smooth idf, each document of length 1."""
+    weighted = _weighted(tokens)
+    return weighted.join(_norms(weighted), "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def tf_idf_cosine(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """``doc_a, doc_b, sim`` of the pairs; 0 where no token is shared."""
-    weights = cut(tf_idf(tokens))
-    a = pairs.join(weights, F.col("doc_a") == F.col("id")).select("doc_a", "doc_b", "token", F.col("weight").alias("wa"))
-    b = weights.select(F.col("id").alias("doc_b"), "token", F.col("weight").alias("wb"))
-    sums = a.join(b, ["doc_b", "token"]).groupBy("doc_a", "doc_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
-    return pairs.join(sums, ["doc_a", "doc_b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    weighted = _weighted(tokens)
+    norms = cut(_norms(weighted))  # a row for each document
+    a = pairs.join(weighted, F.col("doc_a") == F.col("id")).select("doc_a", "doc_b", "token", F.col("w").alias("wa"))
+    b = weighted.select(F.col("id").alias("doc_b"), "token", F.col("w").alias("wb"))
+    dots = a.join(b, ["doc_b", "token"]).groupBy("doc_a", "doc_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    side = lambda name: norms.select(F.col("id").alias(name), F.col("norm").alias(f"norm_{name}"))
+    made = dots.join(side("doc_a"), "doc_a").join(side("doc_b"), "doc_b").select("doc_a", "doc_b", (F.col("dot") / (F.col("norm_doc_a") * F.col("norm_doc_b"))).alias("sim"))
+    return pairs.join(made, ["doc_a", "doc_b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
 
 
 def bm25_parts(tokens: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

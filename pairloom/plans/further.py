@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions import encoding
 from pairloom.functions.stats import normal_cdf, t_two_tailed
-from pairloom.functions.text import text_of
+from pairloom.functions.text import text_of, words
+from pairloom.operators import ensemble
 from pairloom.operators.ranges import running
 from pairloom.plans import structure, texts
 from pairloom.plans.pairs import SQL as PAIR_SQL
 from pairloom.plans.pairs import near_copies_word_jaccard
-from pairloom.plans.texts import T
+from pairloom.plans.searches import ALIKE
+from pairloom.plans.texts import T, W
 from pairloom.runtime import cut, table
 
 #: Rows of a page of an export; similarity of a hot spot.
@@ -23,6 +26,7 @@ ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "vs", "etc",
 #: Full stops that end no sentence, between what stays, and the ends of sentences.
 MASKS = (r"(?i)(^|[^a-z0-9_])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", r"(^|[^A-Za-z0-9_])([A-Za-z])\.", r"([0-9])\.([0-9])")
 ENDS = r"[.!?]+[ \t\r\n]"
+GARBLED_END, MENDED_END = " cafÃ© â€œHelloâ€\u009d Ã‚Â© Âme caf\u00e9", " café “Hello” © Âme café"
 IGNORED = ("this work", "general public license", "the author")
 
 
@@ -124,8 +128,21 @@ def text_without_phrases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.md5(t).alias("kept_md5"))
 
 
+def text_mojibake(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a garbled end: share of garbled characters, whether it is 1 % or more, and a digest of the mended text."""
+    t = F.concat(text_of("text"), F.lit(GARBLED_END))
+    share = encoding.garbled_share(t)
+    return table(spark, d, "documents").select("doc_id", F.round(share, 6).alias("share"), (share >= 0.01).alias("garbled"), F.md5(encoding.mended(t)).alias("mended_md5"))
+
+
+def copy_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """Ensemble score of the pairs of the similarity join, with its five parts."""
+    docs = table(spark, d, "documents").select("doc_id", "text", words("text").alias("w"))
+    return ensemble.ensemble(cut(near_copies_word_jaccard(spark, d).select("doc_a", "doc_b")), docs, "doc_id", "text", "w")
+
+
 QUERIES = {f.__name__: f for f in (
-    trend_significance, style_watermark_p, trend_alerts, event_drift, pair_hotspots, version_drift, version_most_revised, export_pages, text_sentences_masked, text_without_phrases,
+    trend_significance, style_watermark_p, trend_alerts, event_drift, pair_hotspots, version_drift, version_most_revised, export_pages, text_sentences_masked, text_without_phrases, text_mojibake, copy_ensemble,
 )}
 
 ERF = "(CASE WHEN {0} = 0 THEN 0 WHEN abs({0}) >= 8 THEN sign({0}) ELSE sign({0}) * list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(abs({0})) - {0} * {0} - lgamma(i + 1.5::DOUBLE)))) END)"
@@ -136,7 +153,23 @@ MASKED = f"({T} || ' Dr. A. Smith paid 3.50 vs. 4.25. Did J. Doe? Yes!')"
 for pattern in MASKS:
     MASKED = f"regexp_replace({MASKED}, '{pattern}', '\\1\\2', 'g')"
 
+GRAMS = "list_distinct(list_transform(range(1, greatest(1, len({0}) - {1} + 1)), lambda i: array_to_string({0}[i:i + {1}], ' ')))"
+JACCARD = "(CASE WHEN len({0}_a) = 0 AND len({0}_b) = 0 THEN 0 ELSE len(list_intersect({0}_a, {0}_b)) / greatest(1, len({0}_a) + len({0}_b) - len(list_intersect({0}_a, {0}_b)))::DOUBLE END)"
+RATIO = "(CASE WHEN greatest({0}, {1}) > 0 THEN least({0}, {1}) / greatest({0}, {1})::DOUBLE ELSE 0 END)"
+FEATURES = ("own", "g2", "g3", "g5", "paras", "sentences", "chars", "words", "norm", "top")
+JOINT = ", ".join(f"{s}.{c} AS {c}_{s}" for s in "ab" for c in FEATURES)
+
 SQL = {
+    "text_mojibake": f"SELECT doc_id, round(g / n::DOUBLE, 6) AS share, g / n::DOUBLE >= 0.01 AS garbled, md5({T} || '{MENDED_END}') AS mended_md5 FROM (SELECT doc_id, text, length({T} || '{GARBLED_END}') AS n, 12 AS g FROM documents)",
+    "copy_ensemble": f"""WITH {ALIKE}, w AS (SELECT doc_id, {T} AS t, {W} AS w FROM documents), c AS (SELECT doc_id, x, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest(w) AS x FROM w) GROUP BY 1, 2), k AS (SELECT doc_id, sqrt(sum(c * c)) AS norm, (list(x ORDER BY c DESC, x))[1:20] AS top FROM c GROUP BY 1),
+        f AS (SELECT w.doc_id, list_distinct(w) AS own, {GRAMS.format('w', 1)} AS g2, {GRAMS.format('w', 2)} AS g3, {GRAMS.format('w', 4)} AS g5, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda p: trim(p)), lambda p: p <> '') AS paras, len(string_split_regex(t, '[.!?]+')) AS sentences, length(t) AS chars, len(w) AS words, coalesce(norm, 0) AS norm, coalesce(top, []) AS top FROM w LEFT JOIN k USING (doc_id)),
+        d AS (SELECT n.doc_a, n.doc_b, sum(x.c * y.c) AS dot FROM n JOIN c x ON x.doc_id = n.doc_a JOIN c y ON y.doc_id = n.doc_b AND x.x = y.x GROUP BY 1, 2), j AS (SELECT n.doc_a, n.doc_b, coalesce(dot, 0) AS dot, {JOINT} FROM n JOIN f a ON a.doc_id = n.doc_a JOIN f b ON b.doc_id = n.doc_b LEFT JOIN d ON d.doc_a = n.doc_a AND d.doc_b = n.doc_b),
+        p AS (SELECT doc_a, doc_b, round(least(1, 0.5 * {JACCARD.format('own')} + 0.5 * CASE WHEN norm_a * norm_b > 0 THEN dot / (norm_a * norm_b) ELSE 0 END), 6) AS semantic, round(0.6 * {JACCARD.format('g2')} + 0.4 * {JACCARD.format('g3')}, 6) AS lexical,
+          round(0.4 * {RATIO.format('len(paras_a)', 'len(paras_b)')} + 0.3 * {RATIO.format('sentences_a', 'sentences_b')} + 0.3 * {RATIO.format('chars_a', 'chars_b')}, 6) AS structural,
+          round(0.5 * (1 - abs(CASE WHEN words_a > 0 THEN len(own_a) / words_a::DOUBLE ELSE 0 END - CASE WHEN words_b > 0 THEN len(own_b) / words_b::DOUBLE ELSE 0 END)) + 0.5 * {JACCARD.format('top')}, 6) AS statistical,
+          round(0.7 * {JACCARD.format('g5')} + 0.3 * CASE WHEN greatest(len(paras_a), len(paras_b)) > 0 THEN len(list_intersect(paras_a, paras_b)) / greatest(len(paras_a), len(paras_b))::DOUBLE ELSE 0 END, 6) AS fingerprint FROM j),
+        s AS (SELECT *, round(({' + '.join(f'{k} * {w * c!r}::DOUBLE' for k, (w, c) in ensemble.PARTS.items())}) / {sum(w * c for w, c in ensemble.PARTS.values())!r}::DOUBLE, 6) AS score FROM p)
+        SELECT *, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'moderate' WHEN score >= 0.2 THEN 'low' ELSE 'clean' END AS level FROM s""",
     "trend_significance": f"""WITH {DAILY}, x AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS x, events AS y FROM s), g AS (SELECT event_type, count(*) AS n, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM x GROUP BY 1),
         t AS (SELECT *, r2 * (n - 2) / greatest(1 - r2, 1e-12) AS t2, (n - 2) / 2::DOUBLE AS a FROM g WHERE n > 2), u AS (SELECT *, (n - 2) / (n - 2 + t2) AS x FROM t)
         SELECT event_type, n, round(slope, 6) AS slope, round(r2, 6) AS r2, round(least(1, greatest(0, CASE WHEN x >= 1 THEN 1 WHEN x <= (a + 1) / (a + 2.5) THEN {BETA.format(a='a', b='0.5::DOUBLE', x='least(x, 0.9999999)')} ELSE 1 - {BETA.format(a='0.5::DOUBLE', b='a', x='greatest(1 - x, 1e-300)')} END)), 6) AS p FROM u""",
