@@ -22,8 +22,8 @@ def _char(byte: int) -> str:
 #: Bytes by the characters that show them, and the characters that can follow in a sequence of UTF-8.
 BYTES = {_char(b): b for b in range(256)}
 FOLLOWING = "[" + "".join(re.escape(_char(b)) for b in range(0x80, 0xC0)) + "]"
-#: A character of two (of the Latin letters), three or four bytes of UTF-8, each shown as a character.
-GARBLED = f"[ÂÃ]{FOLLOWING}|[à-ï]{FOLLOWING}{{2}}|[ð-ô]{FOLLOWING}{{3}}"
+#: A character of two (Latin letters and what Windows-1252 adds to them), three or four bytes of UTF-8, each shown as a character.
+GARBLED = f"Å[’“\u00a0¡¸½¾]|Æ’|Ë[†œ]|[ÂÃ]{FOLLOWING}|[à-ï]{FOLLOWING}{{2}}|[ð-ô]{FOLLOWING}{{3}}"
 PASSES = 4
 
 

@@ -51,8 +51,9 @@ def t_two_tailed(t: Column, df: Column) -> Column:
         t, df = p["t"], p["df"]
         x, a, b = df / (df + t * t), df / 2, F.lit(0.5)
         ratio = _beta_ratio(a)
-        # the series runs fast on the side of the smaller argument
-        made = F.when(x <= (a + 1) / (a + b + 2), _beta_series(x, a, b, ratio)).otherwise(1 - _beta_series(1 - x, b, a, ratio))
+        # the series runs fast on the side of the smaller argument, and on the other side needs some df / t^2 terms
+        direct = (x <= (a + 1) / (a + b + 2)) & (df <= 20 * t * t)
+        made = F.when(direct, _beta_series(x, a, b, ratio)).otherwise(1 - _beta_series(1 - x, b, a, ratio))
         return F.when(df >= 1, F.least(F.lit(1.0), F.greatest(F.lit(0.0), made)))
 
     return let(F.struct(t.cast("double").alias("t"), df.cast("double").alias("df")), value)
