@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pairloom.runtime import cut
 
+#: Links up to which the least neighbours, at most two rows a link, are broadcast.
+FEW = 300_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component``: every node of ``edges`` with the smallest node it reaches.
@@ -22,8 +25,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = cut(links)
     before = _print(links)
     while before[0]:
-        large = cut(_star(links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u"))), large=True))
-        links = cut(_star(large, large=False))
+        few = before[0] <= FEW
+        large = cut(_star(links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u"))), True, few))
+        links = cut(_star(large, False, few))
         after = _print(links)
         if after == before:  # no link has changed
             break
@@ -39,10 +43,11 @@ def _print(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.coalesce(F.sum(low(h)), F.lit(0)), F.coalesce(F.sum(low(g)), F.lit(0))).first())
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, few: bool) -> DataFrame:
     """One step over links from ``v`` to ``u``; the result has ``v`` above ``u``."""
-    # a table of its own, so the join can be split where a node has very many links
-    least = cut(links.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")))
+    least = links.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+    # where a node has very many links they stay where they are, or, as a table of its own lets Spark do, are split
+    least = F.broadcast(least) if few else cut(least)
     joined = links.join(least, "v")
     if large:  # v's larger neighbours, to the least of v and its neighbours
         moved = joined.where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pairloom.operators import graph
+from pairloom.operators import components, graph
 from pairloom.operators.components import connected_components
 from pairloom.operators.setjoin import jaccard_join
 
@@ -31,7 +31,9 @@ def brute_components(edges):
     [(random.Random(3).randrange(200), random.Random(i).randrange(200)) for i in range(150)],
     [],
 ])
-def test_components(spark, edges):
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_components(spark, monkeypatch, edges, few):
+    monkeypatch.setattr(components, "FEW", few)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == brute_components(edges)
 
