@@ -93,7 +93,8 @@ def scan(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
     for _, v in versions_of:
         complete = complete & F.map_contains_key("results", v)
     known = ledger.where(~complete).select("blob", F.col("results").alias("known"))
-    unseen = blobs.join(ledger.where(complete).select("blob"), "blob", "left_anti").dropDuplicates(["blob"]).join(known, "blob", "left")
+    # copies meet on the map side first, so a text that very many paths hold is one row before it is dealt
+    unseen = blobs.dropDuplicates(["blob"]).join(ledger.where(complete).select("blob"), "blob", "left_anti").join(known, "blob", "left")
     fresh = [
         F.struct(v.alias("key"), F.when(F.map_contains_key(old, v), old[r.version]).otherwise(rule_spans(F.col("text"), r)).alias("value"))
         for r, v in versions_of
