@@ -46,7 +46,7 @@ def trend_significance(spark: SparkSession, d: str) -> DataFrame:
 
 def style_watermark_p(spark: SparkSession, d: str) -> DataFrame:
     """One-sided p-value of each document's watermark score, and whether it is below 0.01."""
-    made = structure.style_watermark(spark, d).where("total > 0").select("doc_id", "z", (1 - normal_cdf(F.col("z"))).alias("p"))
+    made = structure.style_watermark(spark, d).where("total > 0").select("doc_id", "z", F.greatest(F.lit(0.0), 1 - normal_cdf(F.col("z"))).alias("p"))
     return made.select("doc_id", "z", F.round("p", 6).alias("p"), (F.round("p", 6) < 0.01).alias("marked"))
 
 
@@ -97,7 +97,7 @@ def pair_hotspots(spark: SparkSession, d: str) -> DataFrame:
 
 def version_drift(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as lineages of versions: the twenty of two steps or more whose turns are least like the turn before."""
-    made = texts.conversation_neighbours(spark, d).groupBy("conv_id").agg((F.count("*") + 1).alias("versions"), F.round(F.avg("jaccard"), 6).alias("mean"), F.round(F.min("jaccard"), 6).alias("least"))
+    made = texts.conversation_neighbours(spark, d).groupBy("conv_id").agg((F.count("*") + 1).alias("versions"), F.round(F.avg("jaccard"), 4).alias("mean"), F.round(F.min("jaccard"), 6).alias("least"))
     return made.where("versions >= 2").orderBy("mean", "conv_id").limit(20)
 
 
@@ -173,7 +173,7 @@ SQL = {
     "trend_significance": f"""WITH {DAILY}, x AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS x, events AS y FROM s), g AS (SELECT event_type, count(*) AS n, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM x GROUP BY 1),
         t AS (SELECT *, r2 * (n - 2) / greatest(1 - r2, 1e-12) AS t2, (n - 2) / 2::DOUBLE AS a FROM g WHERE n > 2), u AS (SELECT *, (n - 2) / (n - 2 + t2) AS x FROM t)
         SELECT event_type, n, round(slope, 6) AS slope, round(r2, 6) AS r2, round(least(1, greatest(0, CASE WHEN x >= 1 THEN 1 WHEN x <= (a + 1) / (a + 2.5) THEN {BETA.format(a='a', b='0.5::DOUBLE', x='least(x, 0.9999999)')} ELSE 1 - {BETA.format(a='0.5::DOUBLE', b='a', x='greatest(1 - x, 1e-300)')} END)), 6) AS p FROM u""",
-    "style_watermark_p": f"WITH z AS ({structure.SQL['style_watermark']}), p AS (SELECT doc_id, z, round(1 - (1 + {ERF.format('(z / sqrt(2.0::DOUBLE))')}) / 2, 6) AS p FROM z WHERE total > 0) SELECT *, p < 0.01 AS marked FROM p",
+    "style_watermark_p": f"WITH z AS ({structure.SQL['style_watermark']}), p AS (SELECT doc_id, z, round(greatest(0.0::DOUBLE, 1 - (1 + {ERF.format('(z / sqrt(2.0::DOUBLE))')}) / 2), 6) AS p FROM z WHERE total > 0) SELECT *, p < 0.01 AS marked FROM p",
     "trend_alerts": f"""WITH {DAILY}, u AS (SELECT event_type, day, 'events' AS metric, events AS y FROM s UNION ALL SELECT event_type, day, 'mean_value', mean_value FROM s), x AS (SELECT *, row_number() OVER w - 1 AS x, y - lag(y) OVER w AS step FROM u WINDOW w AS (PARTITION BY event_type, metric ORDER BY day)),
         g AS (SELECT event_type, metric, regr_slope(y, x) AS slope, avg(y) AS mean, stddev_pop(y) AS sd, stddev_pop(step) AS volatility, arg_min(y, day) AS f, arg_max(y, day) AS l FROM x GROUP BY 1, 2), k AS (SELECT *, (l - f) / nullif(abs(f), 0) AS share, (l - mean) / nullif(sd, 0) AS z, volatility / nullif(abs(mean), 0) AS cv FROM g)
         SELECT event_type, metric, 'rise' AS alert, CASE WHEN slope > {STEEP} THEN 'critical' ELSE 'warning' END AS level, round(slope, 6) AS value FROM k WHERE slope > {RISING} UNION ALL SELECT event_type, metric, 'surge', 'critical', round(share, 6) FROM k WHERE share > {SURGE}
@@ -182,7 +182,7 @@ SQL = {
         t AS (SELECT day, b, event_type FROM m, (SELECT DISTINCT event_type FROM c) WHERE b IS NOT NULL), j AS (SELECT t.day, coalesce(x.p, 0) AS p, coalesce(y.p, 0) AS q FROM t LEFT JOIN n x ON x.day = t.day AND x.event_type = t.event_type LEFT JOIN n y ON y.day = t.b AND y.event_type = t.event_type)
         SELECT day, round(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 6) AS divergence FROM j GROUP BY 1""",
     "pair_hotspots": f"""SELECT least(a.source, b.source) AS source_a, greatest(a.source, b.source) AS source_b, count(*) AS pairs, round(avg(sim), 6) AS mean, round(max(sim), 6) AS highest FROM ({PAIR_SQL['near_copies_word_jaccard']}) p JOIN documents a ON a.doc_id = doc_a JOIN documents b ON b.doc_id = doc_b WHERE sim >= {HOT} GROUP BY 1, 2""",
-    "version_drift": f"WITH n AS ({texts.SQL['conversation_neighbours']}) SELECT conv_id, count(*) + 1 AS versions, round(avg(jaccard), 6) AS mean, round(min(jaccard), 6) AS least FROM n GROUP BY 1 ORDER BY 3, 1 LIMIT 20",
+    "version_drift": f"WITH n AS ({texts.SQL['conversation_neighbours']}) SELECT conv_id, count(*) + 1 AS versions, round(avg(jaccard), 4) AS mean, round(min(jaccard), 6) AS least FROM n GROUP BY 1 ORDER BY 3, 1 LIMIT 20",
     "version_most_revised": "SELECT conv_id, count(*) AS versions, count(DISTINCT role) AS roles FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "export_pages": f"WITH p AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // {PAGE} AS page FROM orders) SELECT page, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM p GROUP BY 1",
     "text_sentences_masked": f"SELECT doc_id, greatest(1, len(regexp_extract_all({MASKED} || ' ', '{ENDS}'))) AS sentences FROM documents",
