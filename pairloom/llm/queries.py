@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat, langid, minhash, packing, polytope, secrets, topk, urls, warc
+from pairloom.llm import bpe, chat, codes, langid, minhash, mixing, packing, phrases, polytope, secrets, topk, urls, warc
 from pairloom.llm.streams import bounded_batches
 from pairloom.runtime import cut, shared_dir, table
 
@@ -118,6 +118,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of each language, with the least doc_id that holds each."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return phrases.collocations(docs, "doc_id", "text", "lang").withColumnRenamed("doc", "first_doc")
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and the pieces of it by shard, start and length."""
+    rows, pieces = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+    return mixing.taken(rows, pieces, "doc_id")
+
+
+def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of each vector, the error of its label, and a digest of the codebooks."""
+    bounded_batches(spark)
+    rows, books = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.with_label_error(rows).select("vec_id", "code", "error", "label_error", F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_polytope": op1_cross_polytope,
     "op4_nra_search": op4_nra_search,
@@ -129,6 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
+    "op11_phrases": op11_phrases,
+    "op12_mixing": op12_mixing,
+    "op13_cover_tree_codes": op13_cover_tree_codes,
 }
 
 BASE32 = warc.BASE32
@@ -213,5 +236,44 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(body) + length(head) + 24) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op11_phrases": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT doc_id, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT doc_id, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT doc_id, lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS n, min(doc_id) AS doc FROM g GROUP BY 1, 2, 3),
+t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+e AS (SELECT lang, phrase, n, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:len(w)], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+x AS (SELECT e.lang, e.phrase, e.n AS a, j, l.n AS l, r.n AS r, CAST(CAST(1000000 AS HUGEINT) * e.n * e.n // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+  FROM e JOIN f l ON l.lang = e.lang AND l.phrase = lp JOIN f r ON r.lang = e.lang AND r.phrase = rp),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+h AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, n FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), n FROM c WHERE k = 3),
+m AS (SELECT lang, phrase, max(n) AS longer FROM h GROUP BY 1, 2),
+z AS (SELECT y.*, row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, y.phrase) AS rank FROM y LEFT JOIN m ON m.lang = y.lang AND m.phrase = y.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT z.lang, rank, z.phrase, a, l, r, t.n, score, f.doc AS first_doc FROM z JOIN t ON t.lang = z.lang JOIN f ON f.lang = z.lang AND f.phrase = z.phrase WHERE rank <= 2000
+""",
+    "op13_cover_tree_codes": r"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (SELECT vec_id, part, v[1 + part * (len(v) // 16):(part + 1) * (len(v) // 16)] AS v FROM k, (SELECT unnest(range(16)) AS part)),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k),
+b0 AS (SELECT part, e, v FROM p JOIN o USING (vec_id) WHERE e < 64),
+a0 AS (SELECT p.vec_id, p.part, p.v, min(CAST(list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) * 64 + b.e) AS x FROM p JOIN b0 b ON b.part = p.part GROUP BY ALL),
+u0 AS (SELECT part, x % 64 AS e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS y FROM a0),
+m0 AS (SELECT part, e, i, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS y FROM u0 GROUP BY 1, 2, 3),
+n0 AS (SELECT part, e, list(y ORDER BY i) AS v FROM m0 GROUP BY 1, 2),
+b1 AS (SELECT b0.part, b0.e, coalesce(n0.v, b0.v) AS v FROM b0 LEFT JOIN n0 ON n0.part = b0.part AND n0.e = b0.e),
+a1 AS (SELECT p.vec_id, p.part, p.v, min(CAST(list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) * 64 + b.e) AS x FROM p JOIN b1 b ON b.part = p.part GROUP BY ALL),
+u1 AS (SELECT part, x % 64 AS e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS y FROM a1),
+m1 AS (SELECT part, e, i, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS y FROM u1 GROUP BY 1, 2, 3),
+n1 AS (SELECT part, e, list(y ORDER BY i) AS v FROM m1 GROUP BY 1, 2),
+b2 AS (SELECT b1.part, b1.e, coalesce(n1.v, b1.v) AS v FROM b1 LEFT JOIN n1 ON n1.part = b1.part AND n1.e = b1.e),
+a2 AS (SELECT p.vec_id, p.part, p.v, min(CAST(list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) * 64 + b.e) AS x FROM p JOIN b2 b ON b.part = p.part GROUP BY ALL),
+c AS (SELECT vec_id, string_agg(lower(printf('%02x', x % 64)), '' ORDER BY part) AS code, CAST(sum(x // 64) AS BIGINT) AS error FROM a2 GROUP BY 1),
+d AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k ON k.vec_id = c.vec_id, d
 """,
 }
