@@ -2,11 +2,11 @@
 
 A task lays its texts end to end, lower-cases A-Z, and keeps the words with one
 space between them. Prefix sums of two polynomials, modulo primes near 2^31, give
-the fingerprint of any run of words in constant time. Fingerprints of words and
-pairs of words are counted first, then level by level those of longer phrases,
-each only where both phrases of a word less may be frequent. What is shuffled is a
-fingerprint and a number, sorted and packed, never a text. Counts that reach the
-bound are marked in a bitmap of at most ``BITS`` bits.
+the fingerprint of any run of words in constant time. Fingerprints of pairs of
+words are counted first, then level by level those of longer phrases, each only
+where both phrases of a word less may be frequent, and of words in pairs that may
+be. What is shuffled is a fingerprint and a number, sorted and packed, never a text.
+Counts that reach the bound are marked in a bitmap of at most ``BITS`` bits.
 
 In a last scan each task takes the occurrences that the bitmap lets through and
 keeps a pointer to one of each fingerprint. Every other occurrence is verified
@@ -216,29 +216,37 @@ def _summed(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return prints[first], np.add.reduceat(counts, first)
 
 
-def _counted(levels: tuple[int, ...], bitmap: object, buckets: int, bits: int) -> Callable:
-    """Packed numbers of the fingerprints of ``levels`` in some texts, by their leading ``buckets`` bits."""
+def _counted(levels: tuple[int, ...], bitmap: object, buckets: int, bits: int, least: int) -> Callable:
+    """Packed numbers of the fingerprints of ``levels`` in some texts, by their leading ``buckets`` bits.
+
+    Of the other bits 32 are kept, as four planes of bytes, and numbers only up to
+    ``least``: that is enough to tell which may be frequent, and packs tightly.
+    """
+    count = np.uint8 if least < 256 else np.uint32
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        prints = np.concatenate(held)
+        prints = np.concatenate(held) >> np.uint64(32 - buckets)
         prints, counts = _summed(prints, np.ones(len(prints), np.int64))
-        bucket = (prints >> np.uint64(64 - buckets)).astype(np.int64)
+        bucket = (prints >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         spans = list(zip(first.tolist(), [*first[1:].tolist(), len(prints)], strict=True))
-        packs = [[x[a:b].astype("<u8").tobytes() for a, b in spans] for x in (prints, counts)]
+        planes, counts = prints.astype(">u4").view(np.uint8).reshape(-1, 4), np.minimum(counts, least).astype(count)
+        packs = [planes[a:b].T.tobytes() for a, b in spans], [counts[a:b].tobytes() for a, b in spans]
         return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *(pa.array(x, pa.binary()) for x in packs)], names=["bucket", "prints", "counts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for texts in _texts(batches):
-            for words, _, language in texts.slices(max(levels)):
+            for words, _, language in texts.slices(max(levels[0], 2)):
                 salt = texts.salt[language]
                 for n in levels:
                     keep = words.runs(n)
-                    keep[: max(0, words.old - n + 1)] = False
-                    if bitmap is not None:
+                    if n == 1:
+                        keep = _beside(marked(bitmap.value, words.prints(2, salt, bits)) & words.runs(2), len(words))
+                    elif bitmap is not None:
                         below = marked(bitmap.value, words.prints(n - 1, salt, bits))
                         keep &= below[:-1][: len(keep)] & below[1:][: len(keep)]
+                    keep[: max(0, words.old - n + 1)] = False
                     held.append(words.prints(n, salt, bits)[keep])
                     size += len(held[-1])
                 if size >= PACK:
@@ -250,14 +258,24 @@ def _counted(levels: tuple[int, ...], bitmap: object, buckets: int, bits: int) -
     return scan
 
 
+def _beside(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Words that stand in one of the marked ``pairs``; the last, whose right side another slice has, counts too."""
+    keep = np.zeros(n, bool)
+    keep[:-1] |= pairs
+    keep[1:] |= pairs
+    keep[-1:] = True
+    return keep
+
+
 def _frequent(least: int, buckets: int, size: int) -> Callable:
     """Of each bucket, whose rows come together, its slice of the bitmap."""
+    count = np.uint8 if least < 256 else np.uint32
 
     def marks(bucket: int, prints: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         prints, counts = _summed(prints, counts)
-        place = (prints[counts >= least] >> np.uint64(64 - size)) & np.uint64((1 << (size - buckets)) - 1)
+        place = prints[counts >= least] >> np.uint32(32 - size + buckets)
         bits = np.zeros(1 << (size - buckets), np.uint8)
-        bits[place.astype(np.int64)] = 1
+        bits[place] = 1
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "marks"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +286,8 @@ def _frequent(least: int, buckets: int, size: int) -> Callable:
                     yield marks(now, np.concatenate(prints), np.concatenate(counts))
                     prints, counts, size = [], [], 0
                 now = bucket
-                prints.append(np.frombuffer(a, "<u8"))
-                counts.append(np.frombuffer(b, "<i8"))
+                prints.append(np.ascontiguousarray(np.frombuffer(a, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.uint32))
+                counts.append(np.frombuffer(b, count).astype(np.int64))
                 size += len(prints[-1])
                 if size > 4 * BUCKET:  # what is held is as large as the bucket has different fingerprints
                     one = _summed(np.concatenate(prints), np.concatenate(counts))
@@ -304,7 +322,7 @@ def _materialised(longest: int, bitmap: object, bits: int) -> Callable:
                 salt, same = texts.salt[language], words.same()
                 total = np.bincount(language[words.old :], minlength=len(texts.names))
                 some = np.flatnonzero(total)
-                found: list[list] = [[texts.names[i] for i in some], [b""] * len(some), [0] * len(some), total[some].tolist(), [None] * len(some)]
+                found: list[list] = [[texts.names[i] for i in some], [b""] * len(some), total[some].tolist(), [None] * len(some)]
                 for n in range(1, longest + 1):
                     prints, keep = words.prints(n, salt, bits), words.runs(n)
                     keep[: max(0, words.old - n + 1)] = False
@@ -313,20 +331,19 @@ def _materialised(longest: int, bitmap: object, bits: int) -> Callable:
                     pointer, count = _pointers(words, n, at, prints, language, same)
                     found[0] += [texts.names[i] for i in language[pointer].tolist()]
                     found[1] += [words.phrase(i, n) for i in pointer.tolist()]
-                    found[2] += [n] * len(pointer)
-                    found[3] += count.tolist()
-                    found[4] += text[pointer].tolist()
-                kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64())
-                keys = texts.keys.take(pa.array(found[4], pa.int64())).combine_chunks()
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(found, kinds, strict=False)), keys], names=["lang", "phrase", "words", "n", "doc"])
+                    found[2] += count.tolist()
+                    found[3] += text[pointer].tolist()
+                kinds = (pa.string(), pa.binary(), pa.int64())
+                keys = texts.keys.take(pa.array(found[3], pa.int64())).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(found, kinds, strict=False)), keys], names=["lang", "phrase", "n", "doc"])
 
     return scan
 
 
 def frequent_phrases(docs: DataFrame, key: str, text: str, language: str, longest: int = 3, least: int = 10, bits: int = 64) -> DataFrame:
-    """``lang, words, phrase, n, doc``: phrases of up to ``longest`` words that occur ``least`` times, and the least key of the documents they occur in.
+    """``lang, phrase, n, doc``: phrases of two to ``longest`` words that occur ``least`` times and the words in them, and the least key of the documents they occur in.
 
-    Rows of no words have a language's number of all words. ``bits`` is the length of
+    An empty phrase has a language's number of all words. ``bits`` is the length of
     fingerprints, which only tests need to shorten.
     """
     spark = docs.sparkSession
@@ -336,8 +353,8 @@ def frequent_phrases(docs: DataFrame, key: str, text: str, language: str, longes
     parts = tasks(docs)
     buckets = min(size - 3, int(max(4 * parts, known // 3 // BUCKET)).bit_length())
     bitmap, sent = np.zeros(1 << (size - 3), np.uint8), None
-    for levels in [tuple(range(1, min(2, longest) + 1)), *((n,) for n in range(3, longest + 1))]:
-        packs = rows.mapInArrow(_counted(levels, sent, buckets, bits), "bucket long, prints binary, counts binary")
+    for levels in [(2,), (3, 1), *((n,) for n in range(4, longest + 1))] if longest > 2 else [(2,), (1,)]:
+        packs = rows.mapInArrow(_counted(levels, sent, buckets, bits, least), "bucket long, prints binary, counts binary")
         packs = packs.repartition(parts, "bucket").sortWithinPartitions("bucket")
         for r in packs.mapInArrow(_frequent(least, buckets, size), "bucket long, marks binary").toLocalIterator():  # bits, at most 2 ** BITS[1]
             at = r["bucket"] << (size - buckets - 3)
@@ -345,9 +362,9 @@ def frequent_phrases(docs: DataFrame, key: str, text: str, language: str, longes
             bitmap[at : at + len(marks)] |= marks
         sent = spark.sparkContext.broadcast(bitmap.copy())
     kind = docs.schema[key].dataType.simpleString()
-    found = rows.mapInArrow(_materialised(longest, sent, bits), f"lang string, phrase binary, words int, n long, doc {kind}")
-    summed = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
-    return summed.where((F.col("n") >= least) | (F.col("words") == 0)).withColumn("phrase", F.col("phrase").cast("string"))
+    found = rows.mapInArrow(_materialised(longest, sent, bits), f"lang string, phrase binary, n long, doc {kind}")
+    summed = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
+    return summed.withColumn("phrase", F.col("phrase").cast("string")).where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
 def _first(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -367,9 +384,9 @@ def collocations(docs: DataFrame, key: str, text: str, language: str, longest: i
     phrases of one word more, which occur as often as any longer one.
     """
     found = cut(frequent_phrases(docs, key, text, language, longest, least, bits))
-    total = found.where("words = 0").select("lang", F.col("n").alias("total"))
-    known = found.where("words > 0").select("lang", "phrase", "n")
-    rows = found.where("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), "doc", F.split("phrase", " ").alias("w"))
+    total = found.where("phrase = ''").select("lang", F.col("n").alias("total"))
+    known = found.where("phrase <> ''").select("lang", "phrase", "n")
+    rows = found.select("lang", "phrase", F.col("n").alias("a"), "doc", F.split("phrase", " ").alias("w"), F.size(F.split("phrase", " ")).alias("words")).where("words > 1")
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     cuts = rows.select("lang", "phrase", "a", "w", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
