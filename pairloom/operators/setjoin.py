@@ -1,8 +1,8 @@
-"""Set-similarity self-join by prefix filtering: exact, without all pairs."""
+"""Set-similarity self-joins, by Jaccard or containment, with prefix filtering: exact, without all pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.runtime import cut
@@ -61,3 +61,46 @@ def jaccard_join(docs: DataFrame, key: str, tokens: str, threshold: float, withi
     scored = scored.select(F.least("x.rep", "y.rep").alias("doc_a"), F.greatest("x.rep", "y.rep").alias("doc_b"), sim).where(F.col("sim") >= threshold)
     members = keyed.select("class", F.col("id").alias("doc_b")).join(classes.select("class", F.col("rep").alias("doc_a")), "class").where("doc_a <> doc_b")
     return scored.unionByName(members.select("doc_a", "doc_b", F.lit(1.0).alias("sim")))
+
+
+#: Sets that hold a token, of which a task of the containment join meets about so many.
+HOT = 2048
+
+
+def containment_join(docs: DataFrame, key: str, tokens: str, threshold: float, hot: int = HOT) -> DataFrame:
+    """Pairs ``(doc_a, doc_b, overlap)`` whose shared tokens are more than ``threshold`` of the smaller set.
+
+    Classes of equal sets, and the pairs and members that are returned, are as in
+    ``jaccard_join``. Only of the smaller set of a pair a few tokens are needed: with
+    the threshold reached, one of its rarest ``n - floor(threshold * n)`` is in the
+    larger set, wherever it stands there. So those few meet all tokens of sets that
+    are as large. A token that many sets hold is dealt to parts, each of some ``hot``
+    sets, and the few that ask for it go to every part.
+    """
+    base = docs.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("tokens")).where(F.size("tokens") > 0)
+    keyed = cut(base.withColumn("class", F.sha2(F.to_json("tokens"), 256)))
+    classes = keyed.groupBy("class").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"))
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
+    each = classes.select("c", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).select("c", "n", F.xxhash64("token").alias("h"))
+    frequency = each.groupBy("h").agg(F.count("*").alias("df"))
+    # the smaller set, or of two as large that of the smaller number
+    each = cut(each.join(frequency.where("df > 1"), "h").withColumn("parts", F.ceil(F.col("df") / hot).cast("int")))
+    order = Window.partitionBy("c").orderBy("df", "h")
+    needed = F.floor(F.col("n") * F.lit(threshold) + F.lit(1e-9)).cast("int") + 1
+    alone = classes.select("c", F.size("tokens").alias("n")).join(each.groupBy("c").agg(F.count("*").alias("met")), "c").select("c", (F.col("n") - F.col("met")).alias("alone"))
+    ranked = each.join(alone, "c").withColumn("at", F.row_number().over(order) + F.col("alone")).withColumn("needed", needed)
+    asks = ranked.where(F.col("at") <= F.col("n") - F.col("needed") + 1)
+    asks = asks.select("c", "n", "h", "at", "needed", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("a")
+    holds = each.select("c", "n", "h", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part")).alias("b")
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c")))
+    met = asks.join(holds, (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part")) & smaller)
+    # shared so far, and what can still be shared behind the last shared token
+    found = met.groupBy(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).agg((F.count("*") + F.first("a.n") - F.max("a.at")).alias("most"), F.first("needed").alias("needed"))
+    candidates = found.where(F.col("most") >= F.col("needed")).select("ca", "cb")
+    x, y = classes.alias("x"), classes.alias("y")
+    shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
+    scored = candidates.join(x, F.col("ca") == F.col("x.c")).join(y, F.col("cb") == F.col("y.c"))
+    scored = scored.select(F.least("x.rep", "y.rep").alias("doc_a"), F.greatest("x.rep", "y.rep").alias("doc_b"), shared.alias("i"), F.size("x.tokens").alias("n"))
+    scored = scored.where(F.col("i") > F.col("n") * F.lit(threshold)).select("doc_a", "doc_b", (F.col("i") / F.col("n")).alias("overlap"))
+    members = keyed.select("class", F.col("id").alias("doc_b")).join(classes.select("class", F.col("rep").alias("doc_a")), "class").where("doc_a <> doc_b")
+    return scored.unionByName(members.select("doc_a", "doc_b", F.lit(1.0).alias("overlap")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as fn
+from pairloom.operators import passages
 from pairloom.operators.filters import search_expression
 from pairloom.runtime import cut, table
 
@@ -99,16 +100,7 @@ def text_hapax(spark: SparkSession, d: str) -> DataFrame:
 def text_repeated_phrases(spark: SparkSession, d: str) -> DataFrame:
     """Phrases of 20 words that two or more documents hold, the twenty most common."""
     docs = _docs(spark, d).select("doc_id", fn.words("text").alias("w"))
-    # phrases are counted by 128 bits of hash; only those that may be among the twenty are read as text
-    codes = docs.where(F.size("w") >= 20).select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    run = lambda i: F.slice("h", i, 20)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("h") - 19), lambda i: F.struct(F.xxhash64(run(i)).alias("a"), F.xxhash64(F.lit(20), run(i)).alias("b"), i.alias("at")))
-    each = codes.select("doc_id", F.explode(hashes).alias("x")).groupBy("x.a", "x.b").agg(F.count_distinct("doc_id").alias("documents"), F.min(F.struct("doc_id", "x.at")).alias("first"))
-    counted = cut(each.where("documents >= 2"))
-    least = counted.orderBy(F.desc("documents")).limit(20).agg(F.coalesce(F.min("documents"), F.lit(2)).alias("least"))
-    some = counted.join(F.broadcast(least), F.col("documents") >= F.col("least")).select("documents", "first.doc_id", "first.at")  # one row
-    made = some.join(docs, "doc_id").select(F.array_join(F.slice("w", F.col("at"), 20), " ").alias("phrase"), "documents")
-    return made.orderBy(F.desc("documents"), "phrase").limit(20)
+    return passages.repeated_phrases(docs, "doc_id", "w").select("phrase", "documents")
 
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
