@@ -41,7 +41,7 @@ from pairloom.runtime import cut
 #: Polynomials: primes and bases.
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003_787, 1_618_033_988)
 #: Bytes that are scanned at once, numbers that are packed at once, bytes of one prefix sum.
-SCAN_BYTES, PACK, SPAN = 8 << 20, 2 << 20, 1 << 18
+SCAN_BYTES, PACK, SPAN = 4 << 20, 2 << 20, 1 << 18
 #: Bits of the bitmap at least and at most (as powers of two), and numbers in a bucket, about.
 BITS, BUCKET = (16, 27), 1 << 20
 #: Ranks are taken within so many parts of a language, then within fewer, then over all.
@@ -142,8 +142,9 @@ class Words:
         _, pointer, group = np.unique(plain, return_index=True, return_inverse=True)
         pointer = pointer[group]
         if (self.size[pointer] == self.size).all():
-            there = np.arange(len(self.text))
-            there += np.repeat(self.at[pointer] - self.at, self.size + 1)
+            kind = np.int32 if len(self.text) < 1 << 31 else np.int64
+            there = np.arange(len(self.text), dtype=kind)
+            there += np.repeat((self.at[pointer] - self.at).astype(kind), self.size + 1)
             if (self.text[there] == self.text).all():
                 return pointer
         known: dict[bytes, int] = {}
