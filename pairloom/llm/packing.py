@@ -8,14 +8,16 @@ histogram, whose size is bounded by the capacity whatever the corpus has; the
 resulting plan says which ranks of which length go where, and every piece finds
 its place by its rank among the pieces of its length.
 
-Null text is empty text: a document of the separator alone. Repeated rows are
-further pieces. Lengths must be from 1 to the capacity; other lengths, or null,
-raise. Other columns are kept; columns named like an output are replaced.
+Null text is empty text: a document of the separator alone. Very long texts, and
+runs of blanks of any length, are read whole. Repeated rows are further pieces. An
+empty table gives no rows. Lengths must be from 1 to the capacity; other lengths, or
+null, raise. Other columns are kept; columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from pairloom.llm import bpe
 from pairloom.runtime import cut
 
 CAPACITY = 2048
@@ -54,6 +57,17 @@ def _coder(path: str, pattern: str | None, special: dict[str, int]) -> object:
     return _LOADED[key]
 
 
+def _ranked(coder: tiktoken.Encoding, text: str, path: str, pattern: str, special: dict[str, int]) -> np.ndarray:
+    """Ids of ``text`` by ranks; a text that the coder's pattern matcher can't take, as with a million blanks in a row, is split by ``bpe``."""
+    try:
+        return coder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        parts = re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]
+        coded = bpe.vocabulary(path, pattern).encode([x for x in parts if x not in special])
+        plain = iter(np.frombuffer(x, "<u4") for x in coded)
+        return np.concatenate([np.array([special[x]], "<u4") if x in special else next(plain) for x in parts])
+
+
 def token_ids(text: Column, path: str, pattern: str | None = None, end: int = 0, special: dict[str, int] | None = None) -> Column:
     """Ids of ``text`` and then ``end``, as binary, little-endian unsigned 32-bit.
 
@@ -71,7 +85,7 @@ def token_ids(text: Column, path: str, pattern: str | None = None, end: int = 0,
             if path.endswith(".json"):
                 coded = [x.ids for x in coder.encode_batch_fast(batch.tolist(), add_special_tokens=False)]
             else:
-                coded = [coder.encode_to_numpy(x, allowed_special="all", disallowed_special=()) for x in batch]
+                coded = [_ranked(coder, x, path, pattern, special or {}) for x in batch]
             yield pd.Series([np.append(x, end).astype("<u4").tobytes() for x in coded])
 
     return ids(F.coalesce(text, F.lit("")))
