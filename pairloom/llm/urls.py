@@ -62,6 +62,9 @@ ALLOWED = (
     "garden", "geology", "health", "history", "journal", "kitchen", "law", "library", "maps", "market", "math", "museum", "music", "nature", "news", "ocean", "opera", "park", "physics",
     "poetry", "press", "radio", "recipes", "research", "review", "river", "school", "science", "society", "sports", "station", "theatre", "times", "travel", "university", "village", "weather", "wiki",
 )
+#: Words that mean nothing, made from syllables: what no model has seen need not be unwanted.
+SYLLABLES = ("th", "an", "in", "er", "on", "re", "ti", "ou", "sh", "le", "ha", "ed", "st", "tion", "ing", "or")
+MADE_UP = tuple(SYLLABLES[i % 16] + SYLLABLES[(5 * i + 3) % 16] + SYLLABLES[(7 * i // 3 + 1) % 16] for i in range(48))
 BEFORE, DOMAINS, LANGUAGES = ("", "www.", "blog.", "m."), ("com", "org", "net", "edu", "io", "info"), ("en", "de", "es", "fr")
 #: Rows of each verdict that ``labelled_sample`` takes at most, about.
 TRAIN_ROWS = 2000
@@ -90,33 +93,47 @@ def ngrams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, each marked by where it comes from."""
 
     def of(mark: str, text: Column) -> Column:
-        framed = F.concat(F.lit("^"), text, F.lit("$"))
-        each = [
-            F.when(F.length(framed) >= n, F.transform(F.sequence(F.lit(1), F.length(framed) - (n - 1)), lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))).otherwise(F.expr("cast(array() as array<string>)"))
-            for n in LENGTHS
-        ]
-        return F.concat(*each)
+        characters = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")  # once, so that an n-gram costs its own length
+        none = F.expr("cast(array() as array<string>)")
+
+        def of_length(c: Column, n: int) -> Column:
+            grams = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(F.lit(mark), *[F.get(c, i + j) for j in range(n)]))
+            return F.when(F.size(c) >= n, grams).otherwise(none)
+
+        def each(c: Column) -> Column:
+            return F.concat(*[of_length(c, n) for n in LENGTHS])
+
+        return F.transform(F.array(characters), each)[0]
 
     return F.concat(of("h", host), of("p", path))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table, ``host, path, verdict``: some two thousand rows made from the words above.
+    """The small labelled table, ``host, path, verdict, word``: some rows for each of the words above, and of made-up ones that are allowed.
 
-    Every word stands under every domain, alone, after a subdomain or beside a
-    second word of its verdict, so that the words tell and not what is around them.
+    Every word stands under every domain. A blocked word stands once as it is, and
+    three times in what unwanted URLs look like whatever their words: strings of
+    hyphens and digits, letters spelled as digits, and paths of redirects, clicks and
+    hexadecimal marks. Allowed ones have plain names and short, readable paths.
     """
-    word = F.col("word")
+    word, second = F.col("word"), F.col("words")[F.pmod(F.col("at") + 5 * F.col("d") + 1, F.size("words"))]
     each = lambda words, verdict: F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(verdict).alias("verdict"))
-    rows = spark.range(1).select(F.explode(F.array(each(BLOCKED, "block"), each(ALLOWED, "allow"))).alias("x")).select("x.verdict", "x.words", F.posexplode("x.words").alias("at", "word"))
+    rows = spark.range(1).select(F.explode(F.array(each(BLOCKED, "block"), each((*ALLOWED, *MADE_UP), "allow"))).alias("x")).select("x.verdict", "x.words", F.posexplode("x.words").alias("at", "word"))
     rows = rows.select("verdict", "words", "at", "word", F.posexplode(F.array(*map(F.lit, DOMAINS))).alias("d", "domain"), F.array(*map(F.lit, BEFORE)).alias("before"), F.array(*map(F.lit, LANGUAGES)).alias("langs"))
-    second = F.col("words")[F.pmod(F.col("at") + 5 * F.col("d") + 1, F.size("words"))]
-    name = F.explode(F.array(word, F.concat(word, F.lit("-"), second), F.concat(second, F.lit("-"), word), F.concat(word, F.lit("the"))))
-    turn = F.pmod(F.col("at") + F.col("d") + F.length("name"), F.lit(len(BEFORE)))
-    named = rows.select("verdict", "at", "d", "domain", "before", "langs", name.alias("name"))
-    lang = F.col("langs")[F.pmod(F.col("at") + F.length("name"), F.lit(len(LANGUAGES)))]
-    number = (F.pmod(F.xxhash64("name", "d"), F.lit(1000))).cast("string")
-    return named.select(F.concat(F.col("before")[turn], "name", F.lit(".example."), "domain").alias("host"), F.concat(F.lit("/"), lang, F.lit("/"), number).alias("path"), "verdict")
+    hashed = lambda i: F.abs(F.xxhash64("word", "domain", F.lit(i)))
+    number, mark = (hashed(0) % 1000).cast("string"), F.lower(F.substring(F.hex(hashed(1)), 1, 10))
+    lang = F.col("langs")[F.pmod(F.col("at") + F.col("d"), F.lit(len(LANGUAGES)))]
+    plain = F.concat(F.lit("/"), lang, F.lit("/"), number)
+    look = lambda name, *path: F.struct(name.alias("name"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in path]).alias("path"))
+    unwanted = F.array(
+        look(word, plain), look(F.concat_ws("-", word, second, number), "/go/", mark, "/", number), look(F.concat(second, word, number), "/click/", number, "-", mark, "/out"),
+        look(F.translate(F.concat(word, F.lit("-"), second), "aeios", "43105"), "/r/", mark, "/aff", number, "/", mark),
+    )
+    wanted = F.array(look(word, plain), look(F.concat_ws("-", word, second), plain, ".html"), look(F.concat(word, F.lit("the")), "/", lang, "/", second, "/"), look(word, "/", second, "-", word))
+    looks = F.explode(F.when(F.col("verdict") == "block", unwanted).otherwise(wanted))
+    made = rows.select("*", looks.alias("x"))
+    turn = F.pmod(F.col("at") + F.col("d") + F.length("x.name"), F.lit(len(BEFORE)))
+    return made.select(F.concat(F.col("before")[turn], "x.name", F.lit(".example."), "domain").alias("host"), F.col("x.path").alias("path"), "verdict", "word")
 
 
 def labelled_sample(judged: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

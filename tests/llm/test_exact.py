@@ -315,6 +315,44 @@ def test_url_table_judges_held_out_rows(spark):
     assert all(got[i].verdict == "allow" for i in truth if truth[i].host.startswith(("library.", "www.museum.")))
 
 
+@pytest.mark.parametrize("fold", [0, 1])
+def test_url_classifier_judges_words_it_has_not_seen(spark, fold):
+    """Every fourth word is held out, with all its URLs; and pages of made-up words that are none of the table's."""
+    made = cut(urls.labelled_urls(spark).withColumn("page_id", F.monotonically_increasing_id()))
+    held = F.pmod(F.xxhash64("word"), F.lit(4)) == fold
+    unseen = made.where(held & (F.col("path").rlike("/(go|click|r)/") | (F.col("verdict") == "allow")))
+    pages = unseen.select("page_id", F.concat(F.lit("http://"), "host", "path").alias("url"))
+    got = {r.page_id: r.verdict for r in urls.filter_urls(pages, "page_id", rules=(), labelled=made.where(~held)).collect()}
+    by = defaultdict(list)
+    for r in unseen.collect():
+        by[r.verdict].append(got[r.page_id] == r.verdict)
+    assert all(len(x) > 40 and sum(x) >= 0.9 * len(x) for x in by.values()), {k: (sum(x), len(x)) for k, x in by.items()}
+    clean = spark.createDataFrame([(i, f"https://{b}{w}.example.{d}/en/{i}") for i, (b, w, d) in enumerate((b, w, d) for b in ("", "m.", "blog.") for w in ("ththst", "rether", "ousheri", "lethion") for d in ("net", "org", "edu"))], "page_id long, url string")
+    judged = urls.filter_urls(clean, "page_id", rules=()).collect()
+    assert sum(r.verdict == "allow" for r in judged) >= 0.9 * len(judged)
+
+
+def test_long_and_repeated_urls(spark):
+    """A URL of a million characters costs in proportion; repeated rows have a row each."""
+    rows = [(1, "http://blog.x.net/" + "abc-d/" * 170_000), (2, "http://a.org/x"), (2, "http://a.org/x")]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), "page_id").collect()
+    assert sorted((r.page_id, len(r.path)) for r in got) == [(1, 1_020_001), (2, 2), (2, 2)]
+
+
+def test_packing_reads_long_runs_of_blanks(spark):
+    """Two million blanks, line ends, blanks before a word, mixed with the special token: ids of the tokenizers library."""
+    texts = [" " * 2_000_000, "\n" * 2_000_000, " " * 1_500_000 + "word", "a" + "\n \t" * 600_000 + "<|endoftext|>" + " " * 1_100_000 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in packing.packed_documents(docs, "doc_id", "text", RANKS, P.PATTERN, special=packing.SPECIAL).collect():
+        got[r.doc_id].append(r)
+    coder = Tokenizer.from_file(JSON)
+    for i, text in enumerate(texts):
+        ids = np.array([*coder.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert sum(r.length for r in got[i]) == len(ids)
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got[i])
+
+
 def brute_top_k(ids, vectors, own, queries, k):
     out = []
     for o, x in zip(own, queries, strict=True):
