@@ -11,15 +11,16 @@ Counts that reach the bound are marked in a bitmap of at most ``BITS`` bits.
 In a last scan each task takes the occurrences that the bitmap lets through and
 keeps a pointer to one of each fingerprint. Every other occurrence is verified
 word by word against the text at the pointer, and colliding phrases come apart.
-Only then is the phrase read from the text; counts are summed by language and
-phrase, with the least key of the documents as the pointer that remains. So
-counts are exact whatever collides: collisions, like marks of others in a full
+Only then is the phrase read from the text; phrases are summed in the task, packed
+in order and dealt by their fingerprints, and summed again by language and phrase,
+with the least key of the documents as the pointer that remains. So counts are exact whatever collides: collisions, like marks of others in a full
 bitmap, only let candidates through that the last sum drops.
 
 A text is split into pieces at ``. , ; : ! ?`` and the bytes 10 to 13, a piece into
 words at space and tab; a phrase stands within a piece. Null text is empty; a null
 language is ``und``. Texts of any length are read whole, in slices that overlap by
-the words of a phrase. Repeated rows count each time; a null key is the least key.
+the words of a phrase. Repeated rows count each time; a null key is the pointer only
+where no other row holds a phrase.
 Equal scores rank by count, then by the phrase in byte order. An empty table gives
 no rows. Columns other than the three named are ignored.
 """
@@ -31,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ from pairloom.runtime import cut
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003_787, 1_618_033_988)
 #: Bytes that are scanned at once, numbers that are packed at once, bytes of one prefix sum.
 SCAN_BYTES, PACK, SPAN = 4 << 20, 2 << 20, 1 << 18
+#: Rows of phrases that a task holds until they are summed.
+HELD = 1 << 20
 #: Bits of the bitmap at least and at most (as powers of two), and numbers in a bucket, about.
 BITS, BUCKET = (16, 27), 1 << 20
 #: Ranks are taken within so many parts of a language, then within fewer, then over all.
@@ -174,7 +178,7 @@ class Texts:
 
     def __init__(self, batches: list[pa.RecordBatch]) -> None:
         table = pa.Table.from_batches(batches)
-        table = table.take(pa.compute.sort_indices(table, [("key", "ascending")], null_placement="at_start"))
+        table = table.take(pa.compute.sort_indices(table, [("key", "ascending")], null_placement="at_end"))
         self.keys, names = table["key"], table["language"].to_pylist()
         texts = table["text"].to_pylist()
         sizes = np.array([len(x) + 1 for x in texts], np.int64)
@@ -314,33 +318,93 @@ def _pointers(words: Words, n: int, at: np.ndarray, prints: np.ndarray, language
     return at[first], np.bincount(group, minlength=len(first))
 
 
-def _materialised(longest: int, bitmap: object, bits: int) -> Callable:
-    """Phrases that the bitmap lets through, with numbers; and for each language the number of words."""
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """Sums and least keys by bucket, language and phrase."""
+    one = pa.concat_tables(tables).group_by(["bucket", "lang", "phrase"], use_threads=False).aggregate([("n", "sum"), ("doc", "min")])
+    return pa.table({"bucket": one["bucket"], "lang": one["lang"], "phrase": one["phrase"], "n": one["n_sum"], "doc": one["doc_min"]})
+
+
+def _materialised(longest: int, bitmap: object, buckets: int, bits: int) -> Callable:
+    """Phrases that the bitmap lets through, with numbers; and for each language the number of words. Packed by bucket, in order."""
+
+    def found_in(words: Words, text: np.ndarray, language: np.ndarray, texts: Texts) -> pa.Table:
+        salt, same = texts.salt[language], words.same()
+        total = np.bincount(language[words.old :], minlength=len(texts.names))
+        some = np.flatnonzero(total)
+        names, found, count, doc, bucket = [some], [b""] * len(some), [total[some]], [np.full(len(some), -1)], [np.zeros(len(some), np.int64)]
+        for n in range(1, longest + 1):
+            prints, keep = words.prints(n, salt, bits), words.runs(n)
+            keep[: max(0, words.old - n + 1)] = False
+            at = np.flatnonzero(keep)
+            at = at[marked(bitmap.value, prints[at])]
+            pointer, many = _pointers(words, n, at, prints, language, same)
+            names.append(language[pointer])
+            found += [words.phrase(i, n) for i in pointer.tolist()]
+            count.append(many)
+            doc.append(text[pointer])
+            bucket.append((prints[pointer] >> np.uint64(64 - buckets)).astype(np.int64))
+        doc = np.concatenate(doc)
+        keys = texts.keys.take(pa.array(doc, mask=doc < 0))
+        lang = pa.array(texts.names, pa.string()).take(pa.array(np.concatenate(names)))
+        return pa.table({"bucket": np.concatenate(bucket), "lang": lang, "phrase": pa.array(found, pa.binary()), "n": np.concatenate(count).astype(np.int64), "doc": keys})
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        bucket = table["bucket"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        packs = []
+        for start, end in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table.slice(start, end - start))
+            packs.append(out.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(packs, pa.binary())], names=["bucket", "pack"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for texts in _texts(batches):
             for words, text, language in texts.slices(longest):
-                salt, same = texts.salt[language], words.same()
-                total = np.bincount(language[words.old :], minlength=len(texts.names))
-                some = np.flatnonzero(total)
-                found: list[list] = [[texts.names[i] for i in some], [b""] * len(some), total[some].tolist(), [None] * len(some)]
-                for n in range(1, longest + 1):
-                    prints, keep = words.prints(n, salt, bits), words.runs(n)
-                    keep[: max(0, words.old - n + 1)] = False
-                    at = np.flatnonzero(keep)
-                    at = at[marked(bitmap.value, prints[at])]
-                    pointer, count = _pointers(words, n, at, prints, language, same)
-                    found[0] += [texts.names[i] for i in language[pointer].tolist()]
-                    found[1] += [words.phrase(i, n) for i in pointer.tolist()]
-                    found[2] += count.tolist()
-                    found[3] += text[pointer].tolist()
-                kinds = (pa.string(), pa.binary(), pa.int64())
-                keys = texts.keys.take(pa.array(found[3], pa.int64())).combine_chunks()
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(found, kinds, strict=False)), keys], names=["lang", "phrase", "n", "doc"])
+                held.append(found_in(words, text, language, texts))
+                size += len(held[-1])
+                if size > HELD:
+                    held = [_merged(held)]
+                    size = len(held[0])
+                    if size > HELD // 2:
+                        yield packed(held[0])
+                        held, size = [], 0
+        if size:
+            yield packed(_merged(held))
 
     return scan
 
 
+def _totals(least: int) -> Callable:
+    """Sums of each bucket, whose rows come together: phrases of ``least`` or more, and the numbers of words."""
+
+    def frequent(tables: list[pa.Table]) -> pa.RecordBatch:
+        one = _merged(tables)
+        one = one.filter((pa.compute.field("n") >= least) | (pa.compute.binary_length(pa.compute.field("phrase")) == 0))
+        return one.select(["lang", "phrase", "n", "doc"]).combine_chunks().to_batches()
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for batch in batches:
+            for bucket, pack in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now and held:
+                    yield from frequent(held)
+                    held, size = [], 0
+                now = bucket
+                held.append(pa.ipc.open_stream(pack.as_buffer()).read_all())
+                size += len(held[-1])
+                if size > HELD:
+                    held = [_merged(held)]
+                    size = len(held[0]) // 2
+        if held:
+            yield from frequent(held)
+
+    return reduce
+
+
 def frequent_phrases(docs: DataFrame, key: str, text: str, language: str, longest: int = 3, least: int = 10, bits: int = 64) -> DataFrame:
     """``lang, phrase, n, doc``: phrases of two to ``longest`` words that occur ``least`` times and the words in them, and the least key of the documents they occur in.
 
@@ -363,9 +427,9 @@ def frequent_phrases(docs: DataFrame, key: str, text: str, language: str, longes
             bitmap[at : at + len(marks)] |= marks
         sent = spark.sparkContext.broadcast(bitmap.copy())
     kind = docs.schema[key].dataType.simpleString()
-    found = rows.mapInArrow(_materialised(longest, sent, bits), f"lang string, phrase binary, n long, doc {kind}")
-    summed = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
-    return summed.withColumn("phrase", F.col("phrase").cast("string")).where((F.col("n") >= least) | (F.col("phrase") == ""))
+    deal = (4 * parts).bit_length()
+    packs = rows.mapInArrow(_materialised(longest, sent, deal, bits), "bucket long, pack binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return packs.mapInArrow(_totals(least), f"lang string, phrase binary, n long, doc {kind}").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def _first(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:

@@ -31,7 +31,7 @@ def phrase_counts(docs, longest=3):
                 for i in range(len(w) - n + 1):
                     x = lang, tuple(w[i : i + n])
                     f[x] += 1
-                    first[x] = min(first.get(x, (1, 0)), (0, 0) if key is None else (1, key)) if x in first else ((0, 0) if key is None else (1, key))
+                    first[x] = min(first.get(x, (1, 0)), (1, 0) if key is None else (0, key))
     return f, first, total
 
 
@@ -50,7 +50,7 @@ def brute_collocations(docs, longest=3, least=10, k=2000, percent=50):
             continue
         score, _, l, r = min((1_000_000 * a * a // (f[lang, w[:j]] * f[lang, w[j:]]), j, f[lang, w[:j]], f[lang, w[j:]]) for j in range(1, len(w)))
         seen = first[lang, w]
-        rows[lang].append((-score, -a, " ".join(w).encode(), l, r, None if seen == (0, 0) else seen[1]))
+        rows[lang].append((-score, -a, " ".join(w).encode(), l, r, None if seen == (1, 0) else seen[1]))
     out = []
     for lang, found in rows.items():
         for rank, (score, a, phrase, l, r, doc) in enumerate(sorted(found, key=lambda x: x[:3])[:k], 1):
