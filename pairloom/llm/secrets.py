@@ -15,6 +15,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 
 from pairloom.runtime import cut
 
-SPANS = "array<struct<start:int,end:int>>"
+#: Spans by code points and, ``low`` to ``high``, by bytes of UTF-8.
+SPANS = "array<struct<start:int,end:int,low:int,high:int>>"
+#: Items that are taken in one step of ``running``.
+STEP = 256
 
 
 @dataclass(frozen=True)
@@ -47,26 +51,49 @@ RULES = (
 )
 
 
+def running(items: Column, start: Column, advance: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit(before, x)`` of each item (as ``kind``), where ``before`` is what ``advance`` made of ``start`` and all items before.
+
+    Items are taken ``STEP`` at a time, so that no array grows by one over them all:
+    the work is in proportion to their number.
+    """
+    many = F.ceil(F.size(items) / STEP).cast("int")
+    parts = F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.slice(items, i * STEP + 1, STEP))).otherwise(F.array(F.slice(items, 1, 0)))
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def begins(parts: Column) -> Column:
+        return F.aggregate(parts, F.array(start), lambda acc, p: F.concat(acc, F.array(F.aggregate(p, F.element_at(acc, -1), advance))))
+
+    def one(part: Column, before: Column) -> Column:
+        step = lambda acc, x: F.struct(advance(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x).cast(kind))).alias("out"))
+        return F.aggregate(part, F.struct(before.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    made = F.transform(F.array(parts), lambda p: F.flatten(F.zip_with(p, F.slice(begins(p), F.lit(1), F.size(p)), one)))
+    return made[0]
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
     """Spans of a rule's matches in ``text``, leftmost and non-overlapping."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.pattern, -1)
+    size = lambda x, by: F.coalesce(by(x), F.lit(0))
     parts = F.transform(
         F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), judged.alias("part")),
-        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("size"), F.coalesce(F.length(x["part"]), F.lit(0)).alias("judged")),
+        lambda x: F.struct(size(x["gap"], F.length).alias("gap"), size(x["hit"], F.length).alias("size"), size(x["gap"], F.octet_length).alias("wide"), size(x["hit"], F.octet_length).alias("bytes"), size(x["part"], F.length).alias("judged")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
+    def step(at: Column, x: Column) -> Column:
+        return F.struct((at["start"] + x["gap"] + x["size"]).alias("start"), (at["low"] + x["wide"] + x["bytes"]).alias("low"))
+
+    def span(at: Column, x: Column) -> Column:
+        begin, low = at["start"] + x["gap"], at["low"] + x["wide"]
         hit = (x["judged"] >= rule.least) & (x["size"] > 0)
-        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+        return F.when(hit, F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), low.alias("low"), (low + x["bytes"]).alias("high")))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
+    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("low"))
+    found = F.transform(F.array(parts), lambda p: F.array_compact(running(p, start, step, span, "struct<start:int,end:int,low:int,high:int>")))[0]
     # runs of one class of characters need no second look where none is long enough
     some = F.concat(F.lit(rule.pattern[:-1]), F.lit(f"{{{rule.least},}}")) if rule.pattern.endswith("]+") and not rule.group and rule.pattern.startswith("[") else pattern
     return F.when(F.regexp_like(text, some), found).otherwise(F.expr(f"cast(array() as {SPANS})"))
@@ -113,7 +140,7 @@ def findings(versions: DataFrame, ledger: DataFrame, path: str, text: str = "tex
 def joined_back(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``paths`` (with their ``blob``) and the ``spans`` that the ledger has for them."""
     found = ledger.select("blob", all_spans("results", rules).alias("spans")).where(F.size("spans") > 0)
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,low:int,high:int>>)")
     return paths.drop("spans").join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
@@ -122,7 +149,7 @@ def all_spans(results: str, rules: tuple[Rule, ...] = RULES) -> Column:
 
     def of(rank: int, rule: Rule) -> Column:
         own = F.coalesce(F.col(results)[rule.version], F.expr(f"cast(array() as {SPANS})"))
-        return F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+        return F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), s["low"].alias("low"), s["high"].alias("high")))
 
     return F.array_sort(F.concat(*[of(i, r) for i, r in enumerate(rules)]))
 
@@ -138,13 +165,11 @@ def joined(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """``text`` with every span's characters replaced; overlapping spans are one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
-
-    rest = F.length(text)
-    folded = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, rest)))
-    return F.when(F.size(spans) > 0, folded).otherwise(text)
+    def written(bytes_: Column) -> Column:
+        """Pieces are cut by bytes, each at the cost of its own length."""
+        piece = lambda low, high: F.substring(bytes_, low + 1, high - low).cast("string")
+        kept = running(spans, F.lit(0), lambda at, s: F.greatest(at, s["high"]), lambda at, s: F.when(s["low"] >= at, F.concat(piece(at, s["low"]), F.lit(mark))).otherwise(""), "string")
+        last = F.array_max(F.transform(spans, lambda s: s["high"]))
+        return F.concat(F.array_join(kept, ""), piece(last, F.length(bytes_)))
+
+    return F.when(F.size(spans) > 0, F.transform(F.array(text.cast("binary")), written)[0]).otherwise(text)

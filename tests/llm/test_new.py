@@ -10,7 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pairloom.llm import codes, mixing, phrases
+from pyspark.sql import functions as F
+
+from pairloom.llm import codes, mixing, phrases, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, k string"
 
@@ -312,3 +314,17 @@ def test_assignment_is_exact_with_ties(seed, n, width, entries, spread):
     code, count, _, _ = codes.assign(tree, book)
     want = ((tree.points[:, None] - book[None]) ** 2).sum(2).argmin(1)
     assert (code == want).all() and count.sum() == n
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 20_000])
+def test_spans_and_redaction_of_many_secrets(spark, n):
+    """Twenty thousand secrets in one text, between letters of several bytes: spans and marks are those of a plain loop."""
+    text = " é ".join(f"password=abcdef{i:06d} \U0001f600" for i in range(n)) + " tail"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "AKIA" + "A" * 20 + " token: abcdef" + "0" * 24)], "doc_id long, text string")
+    ledger = secrets.scan(docs)
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.findings(docs, ledger, "doc_id").collect()}
+    assert found[1] == [m.span() for m in re.finditer(r"password=[a-z0-9]+", text)] and found[2] == [] and len(found[3]) == 3
+    marked = secrets.joined_back(docs.withColumn("blob", secrets.blob_id(F.col("text"))), ledger).select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("x"))
+    got = {r.doc_id: r.x for r in marked.collect()}
+    assert got == {1: re.sub(r"password=[a-z0-9]+", "[REDACTED]", text), 2: None, 3: "[REDACTED] [REDACTED]"}
+    assert secrets.findings(docs.limit(0), secrets.scan(docs.limit(0)), "doc_id").count() == 0
