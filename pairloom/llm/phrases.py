@@ -453,16 +453,17 @@ def collocations(docs: DataFrame, key: str, text: str, language: str, longest: i
     known = found.where("phrase <> ''").select("lang", "phrase", "n")
     rows = found.select("lang", "phrase", F.col("n").alias("a"), "doc", F.split("phrase", " ").alias("w"), F.size(F.split("phrase", " ")).alias("words")).where("words > 1")
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    cuts = rows.select("lang", "phrase", "a", "w", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
-    for side, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(known.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side])
-    whole = lambda x: F.col(x).cast("decimal(38,0)")
-    cuts = cuts.withColumns({"above": F.lit(scale).cast("decimal(38,0)") * whole("a") * whole("a"), "below": whole("l") * whole("r")})
-    weakest = cuts.groupBy("lang", "phrase").agg(F.min(F.struct(F.expr("CAST(above div below AS BIGINT)").alias("score"), "k", "l", "r")).alias("cut"))
     longer = rows.where("words > 2").select("lang", "a", F.explode(F.array(part(F.lit(1), F.col("words") - 1), part(F.lit(2), F.col("words") - 1))).alias("phrase"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = rows.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a")))
-    scored = kept.join(weakest, ["lang", "phrase"]).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "doc")
+    cuts = kept.select("lang", "phrase", "a", "doc", "w", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
+    cuts = cuts.select("lang", "phrase", "a", "doc", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
+    for side, name in (("left", "l"), ("right", "r")):
+        cuts = cuts.join(known.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side]).drop(side)
+    whole = lambda x: F.col(x).cast("decimal(38,0)")
+    cuts = cuts.withColumns({"above": F.lit(scale).cast("decimal(38,0)") * whole("a") * whole("a"), "below": whole("l") * whole("r")})
+    score = F.expr("CAST(above div below AS BIGINT)").alias("score")
+    weakest = cuts.groupBy("lang", "phrase", "a", "doc").agg(F.min(F.struct(score, "k", "l", "r")).alias("cut"))
+    scored = weakest.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "doc")
     best = _first(scored, k, [F.desc("score"), F.desc("a"), F.asc("phrase")])
     return best.join(F.broadcast(total) if total.count() <= 100_000 else total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score", "doc")
