@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions.alignment import alignment_cost, sequence_similarity
-from pairloom.operators import dendrogram, fingerprints, greedy
+from pairloom.operators import dendrogram, fingerprints, greedy, topics
 
 PAIRS = "doc_a long, doc_b long, sim double"
 
@@ -145,3 +145,28 @@ def test_vote_of_copies_and_odd_texts(spark):
     got = {(r.doc_a, r.doc_b): r for r in fingerprints.duplicate_vote(docs, "id", "t", "w", distance=12).collect()}
     assert set(got) == {(1, 2), (4, 5), (1, 3)} and got[1, 2].kind == got[4, 5].kind == "exact"
     assert got[1, 3].kind == "near" and got[1, 3].shingles == pytest.approx(71 / 81)
+
+
+def test_factors_find_planted_topics_with_falling_error(spark):
+    rng = random.Random(9)
+    terms = {t: [f"{t}{i}" for i in range(12)] for t in "abc"}
+    weights = [(d, w, 1.0 + rng.random()) for d in range(45) for t in ("abc"[d % 3],) for w in rng.sample(terms[t], 8)]
+    weights += [(d, "common", 0.1) for d in range(45)] + [(99, "zero", 0.0)]
+    frame = spark.createDataFrame(weights, "id long, token string, x double")
+    known = frame.where("x > 0")
+    errors = []
+    for rounds in (0, 1, 2, 12):
+        rows, columns = topics.factors(frame, "id", "token", 3, rounds=rounds)
+        errors.append(topics.squared_error(known, "id", "token", rows, columns, 3))
+    assert errors == sorted(errors, reverse=True) and errors[-1] < 0.5 * sum(x * x for *_, x in weights)
+    main = {r.id: r.topic for r in topics.topic_shares(rows, "id", 3).collect()}
+    assert set(main) == set(range(45)) and len(set(main.values())) == 3 and all(main[d] == main[d % 3] for d in main)
+    named = {r.topic: set(r.terms.split()) for r in topics.topic_terms(columns, "token", 3, 8).collect()}
+    assert all(named[main[i]] <= set(terms[t]) for i, t in enumerate("abc"))
+
+
+def test_squared_error_is_that_of_the_whole_table(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 2.0])], "id long, f array<double>")
+    columns = spark.createDataFrame([("x", [1.0, 1.0]), ("y", [0.0, 3.0])], "token string, f array<double>")
+    weights = spark.createDataFrame([(1, "x", 2.0), (2, "y", 5.0)], "id long, token string, x double")
+    assert topics.squared_error(weights, "id", "token", rows, columns, 2) == pytest.approx((2 - 1) ** 2 + 0 + 2.5**2 + (5 - 6) ** 2)
