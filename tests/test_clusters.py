@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions.alignment import alignment_cost, sequence_similarity
-from pairloom.operators import dendrogram, fingerprints, greedy, topics
+from pairloom.operators import dendrogram, fingerprints, greedy, navigable, topics
+from pairloom.runtime import cut
 
 PAIRS = "doc_a long, doc_b long, sim double"
 
@@ -170,3 +172,27 @@ def test_squared_error_is_that_of_the_whole_table(spark):
     columns = spark.createDataFrame([("x", [1.0, 1.0]), ("y", [0.0, 3.0])], "token string, f array<double>")
     weights = spark.createDataFrame([(1, "x", 2.0), (2, "y", 5.0)], "id long, token string, x double")
     assert topics.squared_error(weights, "id", "token", rows, columns, 2) == pytest.approx((2 - 1) ** 2 + 0 + 2.5**2 + (5 - 6) ** 2)
+
+
+def test_neighbour_graph_and_beam_recall(spark):
+    """Recall of links and of searches against brute force; one vector that is near all others has a bounded list."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    x = np.array([centres[i % 12] + rng.normal(scale=0.5, size=8) for i in range(240)])
+    x[0] = x.mean(0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 8), (999, None)], "id long, unit array<double>")
+    score = x @ x.T
+    np.fill_diagonal(score, -2)
+    near = np.argsort(-score, axis=1, kind="stable")
+    graph = cut(navigable.neighbour_graph(rows, k=8))
+    got = {}
+    for r in graph.collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert all(len(v) == 8 for v in got.values()) and sum(len(got[i] & set(near[i, :8].tolist())) for i in range(240)) >= 0.9 * 240 * 8
+    assert navigable.both_ways(graph, 3).groupBy("id").count().agg({"count": "max"}).first()[0] <= 8 + 3
+    found = {}
+    for r in navigable.beam_search(rows.where("id % 10 = 0"), rows, graph, 5, beam=24).collect():
+        found.setdefault(r["query"], {})[r["rank"]] = r.neighbour
+    assert sorted(found) == list(range(0, 240, 10)) and all(sorted(v) == [1, 2, 3, 4, 5] for v in found.values())
+    assert sum(len(set(v.values()) & set(near[i, :5].tolist())) for i, v in found.items()) >= 0.9 * 24 * 5
