@@ -122,3 +122,72 @@ def test_large_members_are_errors(monkeypatch):
         z.writestr("a.txt", "short")
         z.writestr("b.txt", "rather long text")
     assert list(files.texts("x.zip", packed.getvalue())) == [("a.txt", "txt", "short", None), ("b.txt", "txt", None, "over 10 bytes")]
+
+
+def _sparse_zip(path, size):
+    """A zip with a stored member of ``size`` bytes that the disk doesn't hold, ``x`` at its end, between two small ones."""
+    import zipfile
+
+    with open(path, "wb") as file, zipfile.ZipFile(file, "w") as archive:
+        archive.writestr("first.txt", "one")
+        info = zipfile.ZipInfo("large.bin")
+        info.file_size = info.compress_size = size
+        info.CRC = 0
+        info.header_offset = file.tell()
+        file.write(info.FileHeader())
+        file.seek(size - 1, 1)
+        file.write(b"x")
+        archive.filelist.append(info)
+        archive.NameToInfo[info.filename] = info
+        archive.start_dir = file.tell()
+        archive.writestr("last.txt", "two", zipfile.ZIP_DEFLATED)
+
+
+def test_a_zip_of_three_gigabytes_is_ranges(tmp_path):
+    from pairloom.sources.archives import ArchiveReader
+
+    path, size = str(tmp_path / "large.zip"), 3 << 30
+    _sparse_zip(path, size)
+    reader = ArchiveReader({"path": path})
+    parts = [p for p in reader.partitions() if p.member == "large.bin"]
+    assert [p.begin for p in parts] == list(range(0, size, 64 << 20)) and parts[-1].end == size
+    *_, last = reader.read(parts[-1])
+    assert last[:3] == (path, "large.bin", size) and last[3] + len(last[4]) == size and last[4][-2:] == b"\0x"
+    assert sorted(p.member for p in reader.partitions() if p.member != "large.bin") == ["first.txt", "last.txt"]
+
+
+def test_archive_members_through_spark(spark, tmp_path):
+    import gzip
+    import io
+    import tarfile
+    import zipfile
+
+    from pairloom.sources.archives import archive_members
+
+    _sparse_zip(str(tmp_path / "a.zip"), 70 << 20)
+    body = bytes(range(256)) * 700
+    for name in ("b.tar", "c.tar.gz"):
+        with tarfile.open(tmp_path / name, "w:gz" if name.endswith("gz") else "w") as tar:
+            for member, data in (("d/e.bin", body), ("empty", b"")):
+                info = tarfile.TarInfo(member)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    (tmp_path / "broken.zip").write_bytes(b"PK\3\4 not an archive")
+    whole = (tmp_path / "c.tar.gz").read_bytes()
+    (tmp_path / "short.tar.gz").write_bytes(gzip.compress(gzip.decompress(whole)[:90_000]))
+    with zipfile.ZipFile(tmp_path / "packed.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("p.bin", body)
+    rows = archive_members(spark, str(tmp_path / "*"), range_bytes=50_000, chunk_bytes=20_000).where("member <> 'large.bin' OR member IS NULL").collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.path, r.member or "", r.offset or 0)):
+        if r.error is None:
+            key = r.path.rpartition("/")[2], r.member
+            assert len(r.content) <= 20_000 and r.offset == len(got.get(key, b""))
+            got[key] = got.get(key, b"") + bytes(r.content)
+    assert {k: v for k, v in got.items() if k[0] != "short.tar.gz"} == {
+        ("a.zip", "first.txt"): b"one", ("a.zip", "last.txt"): b"two", ("b.tar", "d/e.bin"): body, ("b.tar", "empty"): b"",
+        ("c.tar.gz", "d/e.bin"): body, ("c.tar.gz", "empty"): b"", ("packed.zip", "p.bin"): body,
+    }
+    assert {r.path.rpartition("/")[2] for r in rows if r.error} == {"broken.zip", "short.tar.gz"}
+    large = archive_members(spark, str(tmp_path / "a.zip"), range_bytes=16 << 20).where("member = 'large.bin'")
+    assert large.rdd.getNumPartitions() >= 5 and large.selectExpr("sum(octet_length(content))").first()[0] == 70 << 20
