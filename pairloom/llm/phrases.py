@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.shingles import mix
-from pairloom.llm.streams import tasks
+from pairloom.llm.streams import SMALL_ROWS, small, tasks
 from pairloom.runtime import cut
 
 #: Polynomials: primes and bases.
@@ -224,18 +225,18 @@ def _summed(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _counted(levels: tuple[int, ...], bitmap: object, buckets: int, bits: int, least: int) -> Callable:
     """Packed numbers of the fingerprints of ``levels`` in some texts, by their leading ``buckets`` bits.
 
-    Of the other bits 32 are kept, as four planes of bytes, and numbers only up to
+    Of the other bits 24 are kept, as three planes of bytes, and numbers only up to
     ``least``: that is enough to tell which may be frequent, and packs tightly.
     """
     count = np.uint8 if least < 256 else np.uint32
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        prints = np.concatenate(held) >> np.uint64(32 - buckets)
+        prints = np.concatenate(held) >> np.uint64(40 - buckets)
         prints, counts = _summed(prints, np.ones(len(prints), np.int64))
-        bucket = (prints >> np.uint64(32)).astype(np.int64)
+        bucket = (prints >> np.uint64(24)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         spans = list(zip(first.tolist(), [*first[1:].tolist(), len(prints)], strict=True))
-        planes, counts = prints.astype(">u4").view(np.uint8).reshape(-1, 4), np.minimum(counts, least).astype(count)
+        planes, counts = prints.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:], np.minimum(counts, least).astype(count)
         packs = [planes[a:b].T.tobytes() for a, b in spans], [counts[a:b].tobytes() for a, b in spans]
         return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *(pa.array(x, pa.binary()) for x in packs)], names=["bucket", "prints", "counts"])
 
@@ -278,12 +279,12 @@ def _frequent(least: int, buckets: int, size: int) -> Callable:
 
     def marks(bucket: int, prints: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         prints, counts = _summed(prints, counts)
-        place = prints[counts >= least] >> np.uint32(32 - size + buckets)
+        place = prints[counts >= least] >> np.uint32(24 - size + buckets)
         bits = np.zeros(1 << (size - buckets), np.uint8)
         bits[place] = 1
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "marks"])
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, prints, counts, size = None, [], [], 0
         for batch in batches:
             for bucket, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -291,7 +292,8 @@ def _frequent(least: int, buckets: int, size: int) -> Callable:
                     yield marks(now, np.concatenate(prints), np.concatenate(counts))
                     prints, counts, size = [], [], 0
                 now = bucket
-                prints.append(np.ascontiguousarray(np.frombuffer(a, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.uint32))
+                high, middle, low = np.frombuffer(a, np.uint8).reshape(3, -1).astype(np.uint32)
+                prints.append(high << 16 | middle << 8 | low)
                 counts.append(np.frombuffer(b, count).astype(np.int64))
                 size += len(prints[-1])
                 if size > 4 * BUCKET:  # what is held is as large as the bucket has different fingerprints
@@ -301,7 +303,7 @@ def _frequent(least: int, buckets: int, size: int) -> Callable:
         if now is not None:
             yield marks(now, np.concatenate(prints), np.concatenate(counts))
 
-    return reduce
+    return summed
 
 
 def _pointers(words: Words, n: int, at: np.ndarray, prints: np.ndarray, language: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -386,7 +388,7 @@ def _totals(least: int) -> Callable:
         one = one.filter((pa.compute.field("n") >= least) | (pa.compute.binary_length(pa.compute.field("phrase")) == 0))
         return one.select(["lang", "phrase", "n", "doc"]).combine_chunks().to_batches()
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
         for batch in batches:
             for bucket, pack in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -402,7 +404,7 @@ def _totals(least: int) -> Callable:
         if held:
             yield from frequent(held)
 
-    return reduce
+    return summed
 
 
 def frequent_phrases(docs: DataFrame, key: str, text: str, language: str, longest: int = 3, least: int = 10, bits: int = 64) -> DataFrame:
@@ -440,6 +442,11 @@ def _first(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+def _score(scale: int, left: str, right: str) -> Column:
+    """``floor(scale * a^2 / (left * right))`` in whole numbers of up to 38 digits."""
+    return F.expr(f"CAST((CAST({scale} AS DECIMAL(38,0)) * CAST(a AS DECIMAL(38,0)) * CAST(a AS DECIMAL(38,0))) div (CAST({left} AS DECIMAL(38,0)) * CAST({right} AS DECIMAL(38,0))) AS BIGINT)")
+
+
 def collocations(docs: DataFrame, key: str, text: str, language: str, longest: int = 3, least: int = 10, k: int = 2000, percent: int = 50, scale: int = 1_000_000, bits: int = 64) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score, doc``: the ``k`` best phrases of two words or more of each language.
 
@@ -449,21 +456,27 @@ def collocations(docs: DataFrame, key: str, text: str, language: str, longest: i
     phrases of one word more, which occur as often as any longer one.
     """
     found = cut(frequent_phrases(docs, key, text, language, longest, least, bits))
-    total = found.where("phrase = ''").select("lang", F.col("n").alias("total"))
-    known = found.where("phrase <> ''").select("lang", "phrase", "n")
-    rows = found.select("lang", "phrase", F.col("n").alias("a"), "doc", F.split("phrase", " ").alias("w"), F.size(F.split("phrase", " ")).alias("words")).where("words > 1")
-    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    longer = rows.where("words > 2").select("lang", "a", F.explode(F.array(part(F.lit(1), F.col("words") - 1), part(F.lit(2), F.col("words") - 1))).alias("phrase"))
-    longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = rows.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a")))
-    cuts = kept.select("lang", "phrase", "a", "doc", "w", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "doc", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
-    for side, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(known.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side]).drop(side)
-    whole = lambda x: F.col(x).cast("decimal(38,0)")
-    cuts = cuts.withColumns({"above": F.lit(scale).cast("decimal(38,0)") * whole("a") * whole("a"), "below": whole("l") * whole("r")})
-    score = F.expr("CAST(above div below AS BIGINT)").alias("score")
-    weakest = cuts.groupBy("lang", "phrase", "a", "doc").agg(F.min(F.struct(score, "k", "l", "r")).alias("cut"))
-    scored = weakest.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", "doc")
-    best = _first(scored, k, [F.desc("score"), F.desc("a"), F.asc("phrase")])
-    return best.join(F.broadcast(total) if total.count() <= 100_000 else total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score", "doc")
+    total = small(found.where("phrase = ''").select("lang", F.col("n").alias("total")))
+    counted = found.select("lang", "phrase", F.col("n").alias("a"), (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).alias("words"))
+    known = {n: counted.where(f"words = {n} AND phrase <> ''").select("lang", "phrase", "a") for n in range(1, longest + 1)}
+    few = known[1].count() <= SMALL_ROWS
+    part = lambda side, n: F.substring_index("phrase", " ", n if side == 1 else -n)
+    scored = []
+    for n in range(2, longest + 1):
+        rows = known[n]
+        if n < longest:
+            longer = [known[n + 1].select("lang", part(side, n).alias("phrase"), F.lit(None).cast("long").alias("a"), F.col("a").alias("longer")) for side in (1, 2)]
+            rows = rows.withColumn("longer", F.lit(None).cast("long")).unionByName(longer[0]).unionByName(longer[1])
+            rows = rows.groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.max("longer").alias("longer"))
+            rows = rows.where(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a"))).drop("longer")
+        for j in range(1, n):  # the parts of a frequent phrase are as frequent, so each is found
+            for side, name, m in ((1, "l", j), (2, "r", n - j)):
+                side_ = known[m].select("lang", F.col("phrase").alias("part"), F.col("a").alias(f"{name}{j}"))
+                rows = rows.withColumn("part", part(side, m)).join(F.broadcast(side_) if m == 1 and few else side_, ["lang", "part"]).drop("part")
+        cuts = [F.struct(_score(scale, f"l{j}", f"r{j}").alias("score"), F.lit(j).alias("j"), F.col(f"l{j}").alias("l"), F.col(f"r{j}").alias("r")) for j in range(1, n)]
+        rows = rows.withColumn("cut", F.array_min(F.array(*cuts)))
+        scored.append(rows.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
+    scored = reduce(DataFrame.unionByName, scored)
+    best = cut(_first(scored, k, [F.desc("score"), F.desc("a"), F.asc("phrase")]))
+    docs_ = found.select("lang", "phrase", "doc").join(small(best), ["lang", "phrase"])
+    return docs_.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score", "doc")
