@@ -173,6 +173,10 @@ RANKED = f"{P}, {ENDS}, t AS (SELECT doc, sum(sim) AS total FROM e GROUP BY 1),
 
 SQL = {
     "graph_page_rank": f"{RANKED} SELECT doc, round(rank, 8) AS rank FROM r20",
+    "dedup_minhash_pairs": f"""WITH w AS (SELECT doc_id, {W} AS w FROM documents), s AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [array_to_string(w, ' ')] END) AS s FROM w WHERE len(w) > 0),
+        m AS (SELECT doc_id, len(s) AS n, s, min(doc_id) OVER (PARTITION BY s) AS rep FROM s), x AS (SELECT doc_id, n, unnest(s) AS x FROM m WHERE doc_id = rep),
+        i AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS i, any_value(a.n) + any_value(b.n) AS n FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
+        SELECT doc_a, doc_b, i / (n - i)::DOUBLE AS similarity FROM i WHERE 2 * i >= n - i UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM m WHERE rep <> doc_id""",
     "dedup_simhash": f"""WITH w AS (SELECT doc_id, unnest({W}) AS item FROM documents), x AS (SELECT doc_id, {HEX.format('substr(md5(item), 1, 8)')} AS h, {HEX.format('substr(md5(item), 9, 8)')} AS l FROM w),
         v AS (SELECT doc_id, {BITS} FROM x GROUP BY 1) SELECT doc_id, CAST({SUMS['h']} AS BIGINT) AS high, CAST({SUMS['l']} AS BIGINT) AS low FROM v""",
     "dedup_winnowing": f"""WITH w AS (SELECT doc_id, {W} AS w FROM documents), g AS (SELECT doc_id, list_transform(range(1, greatest(1, len(w) - 3)), lambda i: {HEX.format("substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 8)")}) AS h FROM w),
