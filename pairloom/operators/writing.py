@@ -98,10 +98,10 @@ def drift(a: str, b: str) -> dict[str, Column]:
     return {"lexical_drift": lexical, "structural_variance": let(one, structural)}
 
 
-def two_text_tf_idf(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def two_text_tf_idf(pairs: DataFrame, docs: DataFrame, key: str, text: str, rarity: float = 2.0) -> DataFrame:
     """Cosine of each pair ``doc_a, doc_b`` with the weights of a corpus of these two texts.
 
-    A word of both texts weighs 1, a word of one ln 2 + 1, so sums of squared
+    A word of both texts weighs 1, a word of one ln ``rarity`` + 1, so sums of squared
     counts, once over all words and once over shared ones, are enough.
     """
     counts = docs.select(F.col(key).alias("id"), F.explode(words(text)).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
@@ -110,7 +110,7 @@ def two_text_tf_idf(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> D
     b = counts.select(F.col("id").alias("doc_b"), "w", F.col("c").alias("cb"))
     ca, cb = F.col("ca"), F.col("cb")
     shared = pairs.join(a, "doc_a").join(b, ["doc_b", "w"]).groupBy("doc_a", "doc_b").agg(F.sum(ca * cb).alias("dot"), F.sum(ca * ca).alias("sa"), F.sum(cb * cb).alias("sb"))
-    alone = (F.ln(F.lit(2.0)) + 1) ** 2
+    alone = (F.ln(F.lit(float(rarity))) + 1) ** 2
     met = pairs.join(shared, ["doc_a", "doc_b"], "left").join(squares.select(F.col("id").alias("doc_a"), F.col("q").alias("qa")), "doc_a", "left").join(squares.select(F.col("id").alias("doc_b"), F.col("q").alias("qb")), "doc_b", "left")
     length = lambda q, s: F.sqrt(F.col(s) + (F.col(q) - F.col(s)) * alone)
     return met.select("doc_a", "doc_b", F.least(F.lit(1.0), F.coalesce(F.col("dot") / (length("qa", "sa") * length("qb", "sb")), F.lit(0.0))).alias("sim"))
