@@ -85,8 +85,8 @@ def enough_probes(queries: DataFrame, placed: DataFrame, centres: list[list[floa
     @F.pandas_udf("int")
     def place(unit: pd.Series, cell: pd.Series) -> pd.Series:
         """Cells that are nearer to the query than the neighbour's."""
-        away = ((np.stack(unit.to_numpy())[:, None, :] - matrix[None]) ** 2).sum(2)
-        return pd.Series((np.argsort(away, axis=1) == cell.to_numpy()[:, None]).argmax(1))
+        away = (matrix * matrix).sum(1) - 2 * np.stack(unit.to_numpy()) @ matrix.T  # less the query's own norm, the same for all cells
+        return pd.Series((np.argsort(away, axis=1, kind="stable") == cell.to_numpy()[:, None]).argmax(1))
 
     found = {r["place"]: r["count"] for r in near.groupBy(place("unit", "cell").alias("place")).count().collect()}  # a row for each cell at most
     total, reached = sum(found.values()), 0

@@ -119,6 +119,12 @@ def _profile(name: str, columns: tuple[str, ...]) -> str:
 
 
 SQL = {
+    "event_change_points": """WITH RECURSIVE c AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
+        o AS (SELECT event_type, n, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, avg(n) OVER (PARTITION BY event_type) AS m, stddev_pop(n) OVER (PARTITION BY event_type) AS s FROM c),
+        r AS (SELECT DISTINCT event_type, -1::BIGINT AS i, 0.0::DOUBLE AS s, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM o
+          UNION ALL SELECT o.event_type, o.i, o.s, greatest(0.0, CASE WHEN r.up > 2 * r.s THEN 0.0 ELSE r.up END + (n - m) - o.s * 0.5::DOUBLE), greatest(0.0, CASE WHEN r.down > 2 * r.s THEN 0.0 ELSE r.down END - (n - m) - o.s * 0.5::DOUBLE)
+          FROM r JOIN o ON o.event_type IS NOT DISTINCT FROM r.event_type AND o.i = r.i + 1)
+        SELECT event_type, CAST(i AS INTEGER) AS at, 'increase' AS direction, round(up, 4) AS score FROM r WHERE i >= 0 AND s > 0 AND up > 2 * s UNION ALL SELECT event_type, CAST(i AS INTEGER), 'decrease', round(down, 4) FROM r WHERE i >= 0 AND s > 0 AND down > 2 * s""",
     "hybrid_pairs": f"""WITH a AS ({TF}), b AS ({BM}), x AS (SELECT doc_a, doc_b, (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) AS s FROM a), y AS (SELECT doc_a, doc_b, (sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()) AS s FROM b)
         SELECT doc_a, doc_b, round(least(1.0, greatest(0.0, 0.7::DOUBLE * x.s + 0.3::DOUBLE * y.s)), 4) AS score FROM x JOIN y USING (doc_a, doc_b)""",
     "hybrid_z_scores": f"WITH a AS ({TF}) SELECT doc_a, doc_b, round((sim - avg(sim) OVER ()) / stddev_pop(sim) OVER (), 4) AS z FROM a",

@@ -258,6 +258,8 @@ SQL = {
     "citation_references_made": f"WITH {CITED.replace(T, CITING)} SELECT doc_id, i AS item, length(coalesce(b.text, '')) AS chars FROM (SELECT doc_id, trim(string_split_regex(key, '[,\\-]')[1], ' ') AS i FROM cited) LEFT JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = i",
     "text_citations_made": f"""WITH l AS (SELECT doc_id, unnest(string_split({REFERENCES}, chr(10))) AS l FROM documents), k AS (SELECT DISTINCT doc_id, CASE WHEN regexp_matches(l, '{APA}') THEN sha256(lower(trim(regexp_extract(l, '{APA}', 1))) || '|' || regexp_extract(l, '{APA}', 2) || '|' || lower(trim(regexp_extract(l, '{APA}', 3))))
         WHEN regexp_matches(l, '{IEEE}') THEN sha256(lower(trim(regexp_extract(l, '{IEEE}', 1))) || '|' || regexp_extract(l, '{IEEE}', 3) || '|' || lower(trim(regexp_extract(l, '{IEEE}', 2)))) END AS key FROM l) SELECT key, count(*) AS documents FROM k WHERE key IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
+    "text_citations": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents), k AS (SELECT DISTINCT doc_id, CASE WHEN regexp_matches(l, '{APA}') THEN sha256(lower(trim(regexp_extract(l, '{APA}', 1))) || '|' || regexp_extract(l, '{APA}', 2) || '|' || lower(trim(regexp_extract(l, '{APA}', 3))))
+        WHEN regexp_matches(l, '{IEEE}') THEN sha256(lower(trim(regexp_extract(l, '{IEEE}', 1))) || '|' || regexp_extract(l, '{IEEE}', 3) || '|' || lower(trim(regexp_extract(l, '{IEEE}', 2)))) END AS key FROM l) SELECT key, count(*) AS documents FROM k WHERE key IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
     "text_nfc": f"SELECT doc_id, md5(nfc_normalize({T})) AS nfc_md5 FROM documents",
     "page_style_entropy": """WITH p AS (SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)) AS n FROM pages), c AS (SELECT page_id, x, count(*) AS c FROM (SELECT page_id, unnest(n) AS x FROM p) GROUP BY 1, 2),
         e AS (SELECT page_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM c GROUP BY 1)
