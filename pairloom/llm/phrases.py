@@ -47,6 +47,8 @@ PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003_787, 1_618_033_988)
 SCAN_BYTES, PACK, SPAN = 4 << 20, 2 << 20, 1 << 18
 #: Rows of phrases that a task holds until they are summed.
 HELD = 1 << 20
+#: Codec of packed phrases, and its level.
+CODEC, LEVEL = "zstd", 5
 #: Bits of the bitmap at least and at most (as powers of two), and numbers in a bucket, about.
 BITS, BUCKET = (16, 27), 1 << 20
 #: Ranks are taken within so many parts of a language, then within fewer, then over all.
@@ -354,13 +356,16 @@ def _materialised(longest: int, bitmap: object, buckets: int, bits: int) -> Call
         table = table.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
         bucket = table["bucket"].to_numpy()
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        packs = []
+        head = pa.table({"lang": table["lang"].dictionary_encode(), "size": pa.compute.binary_length(table["phrase"]), "n": table["n"], "doc": table["doc"]})
+        heads, bodies = [], []
         for start, end in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table.slice(start, end - start))
-            packs.append(out.getvalue().to_pybytes())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(packs, pa.binary())], names=["bucket", "pack"])
+            with pa.ipc.new_stream(out, head.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec(CODEC, LEVEL))) as writer:
+                writer.write_table(head.slice(start, end - start))
+            heads.append(out.getvalue().to_pybytes())
+            bodies.append(pa.Codec(CODEC, LEVEL).compress(b"".join(table["phrase"].slice(start, end - start).to_pylist()), asbytes=True))
+        packs = [pa.array(x, pa.binary()) for x in (heads, bodies)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *packs], names=["bucket", "head", "body"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -380,6 +385,14 @@ def _materialised(longest: int, bitmap: object, buckets: int, bits: int) -> Call
     return scan
 
 
+def _unpacked(head: pa.Scalar, body: pa.Scalar) -> pa.Table:
+    one = pa.ipc.open_stream(head.as_buffer()).read_all()
+    ends = np.cumsum(one["size"].to_numpy(), dtype=np.int64)
+    data = pa.Codec(CODEC).decompress(body.as_buffer(), int(ends[-1]))
+    phrase = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), data])
+    return pa.table({"lang": one["lang"].cast(pa.string()), "phrase": phrase, "n": one["n"], "doc": one["doc"]})
+
+
 def _totals(least: int) -> Callable:
     """Sums of each bucket, whose rows come together: phrases of ``least`` or more, and the numbers of words."""
 
@@ -391,13 +404,14 @@ def _totals(least: int) -> Callable:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
         for batch in batches:
-            for bucket, pack in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for bucket, head, body in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if bucket != now and held:
                     yield from frequent(held)
                     held, size = [], 0
                 now = bucket
-                held.append(pa.ipc.open_stream(pack.as_buffer()).read_all())
-                size += len(held[-1])
+                one = _unpacked(head, body)
+                held.append(one.append_column("bucket", pa.array(np.full(len(one), bucket))))
+                size += len(one)
                 if size > HELD:
                     held = [_merged(held)]
                     size = len(held[0]) // 2
@@ -430,7 +444,7 @@ def frequent_phrases(docs: DataFrame, key: str, text: str, language: str, longes
         sent = spark.sparkContext.broadcast(bitmap.copy())
     kind = docs.schema[key].dataType.simpleString()
     deal = (4 * parts).bit_length()
-    packs = rows.mapInArrow(_materialised(longest, sent, deal, bits), "bucket long, pack binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    packs = rows.mapInArrow(_materialised(longest, sent, deal, bits), "bucket long, head binary, body binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     return packs.mapInArrow(_totals(least), f"lang string, phrase binary, n long, doc {kind}").withColumn("phrase", F.col("phrase").cast("string"))
 
 
