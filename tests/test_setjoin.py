@@ -5,8 +5,10 @@ import re
 
 import pytest
 
+from pairloom.operators import setjoin
 from pairloom.operators.setjoin import jaccard_join
 from pairloom.plans import structure
+from pairloom.runtime import cut
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.59, 0.8])
@@ -54,3 +56,40 @@ def test_minhash_pairs_are_whole_and_exact(spark, tmp_path):
     got = structure.dedup_minhash_pairs(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.doc_a, r.doc_b): r.similarity for r in got} == pytest.approx(want)
     assert len(want) > 30 and (80, 83) in want and (84, 87) in want
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_signatures_lose_nothing(spark, monkeypatch, crowd):
+    """Candidates by MinHash, and by first tokens in crowded bands, are those of all pairs."""
+    monkeypatch.setattr(setjoin, "MET", -1)
+    monkeypatch.setattr(setjoin, "CROWD", crowd)
+    rng = random.Random(8)
+    sets = []
+    for _ in range(60):
+        base = {f"the{rng.randrange(30)}" for _ in range(20)} | {f"w{rng.randrange(2000)}" for _ in range(rng.choice([1, 20, 60]))}
+        sets += [sorted(base), sorted({x if rng.random() < 0.85 else f"v{rng.randrange(2000)}" for x in base}), sorted(rng.sample(sorted(base), max(1, len(base) * 2 // 3)))]
+    sets += [["the1", f"only{i}"] for i in range(80)] + [sets[0]] * 3
+    made = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    found = {(r["doc_a"], r["doc_b"]): round(r["sim"], 9) for r in jaccard_join(made, "id", "tokens", 0.59).collect()}
+    first, wanted = {}, {}
+    for i, s in enumerate(sets):
+        if first.setdefault(tuple(s), i) != i:
+            wanted[first[tuple(s)], i] = 1.0
+    for s, i in first.items():
+        for t, j in first.items():
+            sim = len({*s} & {*t}) / len({*s} | {*t})
+            if i < j and sim >= 0.59 - 1e-12:
+                wanted[i, j] = round(sim, 9)
+    assert found == wanted and len(wanted) > 100
+
+
+def test_unlike_sets_of_frequent_tokens_do_not_meet(spark, monkeypatch):
+    """Unlike sets whose tokens are all frequent give next to no candidates; before, nearly all pairs met."""
+    rng = random.Random(4)
+    sets = [sorted({f"w{int(1200 * rng.random() ** 2)}" for _ in range(120)}) for _ in range(1500)]
+    made = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    joined = []
+    monkeypatch.setattr(setjoin, "cut", lambda df: joined.append(cut(df)) or joined[-1])
+    assert jaccard_join(made, "id", "tokens", 0.59).count() == 0
+    candidates = [x for x in joined if x.columns == ["ca", "cb"]]
+    assert len(candidates) == 1 and candidates[0].count() < 1500
