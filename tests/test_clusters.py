@@ -149,6 +149,17 @@ def test_vote_of_copies_and_odd_texts(spark):
     assert got[1, 3].kind == "near" and got[1, 3].shingles == pytest.approx(71 / 81)
 
 
+def test_vote_pairs_all_texts_of_equal_shingles(spark, monkeypatch):
+    """Texts that differ by their marks alone pair with each other, and no pair is made of SimHashes alone, which can't be rated near."""
+    monkeypatch.setattr(fingerprints, "hamming_pairs", None)
+    words = [f"w{i}" for i in range(60)]
+    changed = [*words[:30], "other", *words[31:]]
+    texts = [" ".join(words), " ".join(words) + ".", " ".join(words) + ",", " ".join(changed), " ".join(changed) + ";", " ".join(words)]
+    docs = spark.createDataFrame([(i, t, [x.strip(".,;") for x in t.split()]) for i, t in enumerate(texts)], "id long, t string, w array<string>")
+    got = [(r.doc_a, r.doc_b, r.shingles) for r in fingerprints.duplicate_vote(docs, "id", "t", "w", 6).collect()]
+    assert len(got) == len(set(got)) and {(0, 1), (0, 2), (1, 2), (3, 4), (0, 5), (0, 3)} <= {x[:2] for x in got} and not any(5 in x[:2] and x[0] != 0 for x in got)
+
+
 def test_factors_find_planted_topics_with_falling_error(spark):
     rng = random.Random(9)
     terms = {t: [f"{t}{i}" for i in range(12)] for t in "abc"}
