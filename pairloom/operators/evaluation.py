@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.similarity import set_jaccard
 from pairloom.functions.text import ngrams, words
 from pairloom.operators import scoring
-from pairloom.operators.writing import two_text_tf_idf
+from pairloom.operators.writing import row_tf_idf, word_hashes
 
 #: Edits that take turns by key: none, halves swapped, every fourth word left out, every third word changed.
 KINDS = ("copied", "moved", "thinned", "replaced")
@@ -39,13 +39,9 @@ def labelled_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def scored_pairs(pairs: DataFrame, key: str) -> DataFrame:
     """``key, kind, label`` and the score of each of ``METHODS``; two texts without words score 0."""
-    name = F.concat_ws(":", F.col(key).cast("string"), "kind")
-    sides = [pairs.select(F.concat(name, F.lit(f":{s}")).alias("id"), F.array_join(f"words_{s}", " ").alias("t")) for s in ("a", "b")]
-    asked = pairs.select(F.concat(name, F.lit(":a")).alias("doc_a"), F.concat(name, F.lit(":b")).alias("doc_b"))
-    cosine = two_text_tf_idf(asked, sides[0].unionByName(sides[1]), "id", "t").select("doc_a", F.col("sim").alias("tf_idf"))
     sets = lambda of: set_jaccard(F.array_distinct(of("words_a")), F.array_distinct(of("words_b")), 0.0)
-    made = pairs.select(key, "kind", "label", F.concat(name, F.lit(":a")).alias("doc_a"), sets(F.col).alias("jaccard"), sets(lambda c: ngrams(F.col(c), 3)).alias("trigrams"))
-    return made.join(cosine, "doc_a").select(key, "kind", "label", *METHODS)
+    cosine = row_tf_idf(word_hashes("words_a"), word_hashes("words_b"))
+    return pairs.select(key, "kind", "label", sets(F.col).alias("jaccard"), sets(lambda c: ngrams(F.col(c), 3)).alias("trigrams"), cosine.alias("tf_idf"))
 
 
 def evaluate(scored: DataFrame, methods: tuple[str, ...] = METHODS, grid: list[float] = GRID) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import markup, style
 from pairloom.functions.extract import APA, IEEE, citation_keys
 from pairloom.functions.similarity import cosine, jaccard
-from pairloom.functions.text import count_words, script
+from pairloom.functions.text import count_words, script, words
 from pairloom.operators import writing
 from pairloom.plans import similarity as sim_plans
 from pairloom.plans.similarity import NEXT, SET, UNIT
@@ -148,7 +148,9 @@ def pair_drift(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_two_text_tf_idf(spark: SparkSession, d: str) -> DataFrame:
     """TF-IDF cosine of neighbours, each pair its own corpus; below 0.15 the pair counts as unrelated."""
-    made = writing.two_text_tf_idf(_next(spark, d).select("doc_a", "doc_b"), _docs(spark, d), "doc_id", "text")
+    own = _docs(spark, d).select(F.col("doc_id").alias("doc_a"), writing.word_hashes(words("text")).alias("a"))
+    following = own.select((F.col("doc_a") - 1).alias("doc_a"), F.col("doc_a").alias("doc_b"), F.col("a").alias("b"))
+    made = own.join(following, "doc_a").select("doc_a", "doc_b", writing.row_tf_idf(F.col("a"), F.col("b")).alias("sim"))
     return made.select("doc_a", "doc_b", F.round("sim", 6).alias("sim"), (F.round("sim", 6) < 0.15).alias("unrelated"))
 
 

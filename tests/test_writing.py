@@ -2,6 +2,7 @@
 
 import unicodedata
 
+import pytest
 
 from pairloom.functions import markup
 from pairloom.operators import writing
@@ -99,3 +100,16 @@ def test_rubric(spark):
     rows = spark.createDataFrame([(1, 0.5, None)], "id long, m double, n double")
     made = writing.rubric(rows, "id", ["m", "n"], [("m", 0.4, 30), ("n", 1.0, 10), ("gone", 0.0, 99)]).first()
     assert (made["points"], made["percent"]) == (30, 75.0)
+
+
+def test_row_tf_idf_equals_the_joins_and_shuffles_nothing(spark, monkeypatch):
+    monkeypatch.setattr(writing, "TAKEN", 8)
+    texts = ["a b b c", "b a c c c d", "", None, "x y z " * 40, "z z y q", "a a a"]
+    docs = frame(spark, list(enumerate(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j]
+    asked = spark.createDataFrame(pairs, "doc_a long, doc_b long")
+    want = {(r["doc_a"], r["doc_b"]): r["sim"] for r in writing.two_text_tf_idf(asked, docs, "id", "text").collect()}
+    rows = spark.createDataFrame([(i, j, (texts[i] or "").split(), (texts[j] or "").split()) for i, j in pairs], "i long, j long, a array<string>, b array<string>")
+    made = rows.select("i", "j", writing.row_tf_idf(writing.word_hashes("a"), writing.word_hashes("b")).alias("sim"))
+    assert {(r["i"], r["j"]): pytest.approx(r["sim"]) for r in made.collect()} == want
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
