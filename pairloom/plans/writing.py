@@ -13,7 +13,7 @@ from pairloom.operators import writing
 from pairloom.plans import similarity as sim_plans
 from pairloom.plans.similarity import NEXT, SET, UNIT
 from pairloom.plans.texts import BLOCKS, T, W
-from pairloom.runtime import cut, table
+from pairloom.runtime import bounded_batches, cut, table
 
 #: Weight of meaning in a hybrid score, and the score from which a pair is flagged.
 ALPHA, FLAGGED = 0.7, 0.5
@@ -101,11 +101,13 @@ def _referred(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
 
 
 def text_nfc(spark: SparkSession, d: str) -> DataFrame:
+    bounded_batches(spark)
     return _docs(spark, d).select("doc_id", F.md5(markup.normal_form("text", "NFC")).alias("nfc_md5"))
 
 
 def text_nfkc(spark: SparkSession, d: str) -> DataFrame:
     """Compatibility form; SQL has none, so tests hold it against Python's."""
+    bounded_batches(spark)
     return _docs(spark, d).select("doc_id", F.md5(markup.normal_form("text", "NFKC")).alias("nfkc_md5"))
 
 

@@ -2,10 +2,13 @@
 
 import unicodedata
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.functions import markup
 from pairloom.operators import writing
+from pairloom.plans import writing as plans
 
 LONG = "word " * 30_000
 TEXTS = [(1, "It was painted. We saw [1, 2] it! (Smith, 2020) was right."), (2, None), (3, ""), (4, "   \n "), (5, LONG), (5, LONG)]
@@ -113,3 +116,18 @@ def test_row_tf_idf_equals_the_joins_and_shuffles_nothing(spark, monkeypatch):
     made = rows.select("i", "j", writing.row_tf_idf(writing.word_hashes("a"), writing.word_hashes("b")).alias("sim"))
     assert {(r["i"], r["j"]): pytest.approx(r["sim"]) for r in made.collect()} == want
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", [plans.text_nfc, plans.text_nfkc])
+def test_normal_forms_come_in_small_batches(spark, tmp_path, query):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id AS doc_id", "repeat('é long ', 3000) AS text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert query(spark, str(tmp_path)).count() == 1500 and int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+
+    @F.pandas_udf("long")
+    def batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.map(len).sum())] * len(texts))
+
+    assert docs.select(batch("text").alias("n")).agg(F.max("n")).first()[0] < 5 << 20
