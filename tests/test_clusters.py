@@ -1,5 +1,6 @@
 """Alignment, spanning forest, cuts, greedy windows and prints against loops, on small fixtures."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -149,6 +150,17 @@ def test_vote_of_copies_and_odd_texts(spark):
     assert got[1, 3].kind == "near" and got[1, 3].shingles == pytest.approx(71 / 81)
 
 
+def test_simhash_shuffles_sums_alone(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (2, ["b", "c"])], "id long, w array<string>")
+    made = fingerprints.simhash(docs, "id", "w")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    bits = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:16], 16)
+    for r in made.collect():
+        items = {1: ["a", "b", "a"], 2: ["b", "b", "c"]}[r.id]
+        want = sum(1 << i for i in range(64) if sum(1 if bits(x) >> i & 1 else -1 for x in items) > 0)
+        assert (r.high << 32) | r.low == want
+
+
 def test_vote_pairs_all_texts_of_equal_shingles(spark, monkeypatch):
     """Texts that differ by their marks alone pair with each other, and no pair is made of SimHashes alone, which can't be rated near."""
     monkeypatch.setattr(fingerprints, "hamming_pairs", None)
