@@ -93,3 +93,19 @@ def test_unlike_sets_of_frequent_tokens_do_not_meet(spark, monkeypatch):
     assert jaccard_join(made, "id", "tokens", 0.59).count() == 0
     candidates = [x for x in joined if x.columns == ["ca", "cb"]]
     assert len(candidates) == 1 and candidates[0].count() < 1500
+
+
+def test_candidates_are_screened_by_all_tokens(spark, monkeypatch):
+    """Pairs that are a third alike meet in bands and are dropped by sketches; before, hundreds of a group's were compared whole."""
+    monkeypatch.setattr(setjoin, "MET", -1)
+    rng = random.Random(6)
+    # 28 of 60 tokens shared by all of a group: a third alike, below the threshold; two equal but for a token
+    sets = [sorted({f"g{n}x{j}" for j in range(28)} | {f"w{rng.randrange(9000)}" for _ in range(32)}) for n in range(4) for _ in range(40)]
+    sets += [sorted([*x[:-1], "other"]) for x in sets[::40]]
+    made = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    joined = []
+    monkeypatch.setattr(setjoin, "cut", lambda df: joined.append(cut(df)) or joined[-1])
+    found = {(r["doc_a"], r["doc_b"]) for r in jaccard_join(made, "id", "tokens", 0.59).collect()}
+    assert found == {(40 * n, 160 + n) for n in range(4)}
+    candidates = [x for x in joined if x.columns == ["ca", "cb"]]
+    assert len(candidates) == 1 and candidates[0].count() < 400
