@@ -30,11 +30,13 @@ def labelled_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     ``key`` is a whole number; null keys are left out, null texts have no words.
     """
-    own = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias(key), words(F.col(f"`{text}`")).alias("words_a"))
+    own = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text_a"))
     kind = F.get(F.array(*map(F.lit, KINDS)), F.pmod(F.col(key), F.lit(len(KINDS))).cast("int"))
-    same = own.select(key, kind.alias("kind"), F.lit(1).alias("label"), "words_a").withColumn("words_b", _edited(F.col("words_a"), F.col("kind")))
-    following = own.select((F.col(key) - 1).alias(key), F.col("words_a").alias("words_b"))
-    return same.unionByName(own.join(following, key).select(key, F.lit("unrelated").alias("kind"), F.lit(0).alias("label"), "words_a", "words_b"))
+    same = own.select(key, kind.alias("kind"), F.lit(1).alias("label"), words("text_a").alias("words_a")).withColumn("words_b", _edited(F.col("words_a"), F.col("kind")))
+    # texts are joined and then split, as lists of words are more than twice as large
+    following = own.select((F.col(key) - 1).alias(key), F.col("text_a").alias("text_b"))
+    both = own.join(following, key).select(key, F.lit("unrelated").alias("kind"), F.lit(0).alias("label"), words("text_a").alias("words_a"), words("text_b").alias("words_b"))
+    return same.unionByName(both)
 
 
 def scored_pairs(pairs: DataFrame, key: str) -> DataFrame:

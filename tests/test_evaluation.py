@@ -121,3 +121,11 @@ def test_evaluation_tells_edits_from_strangers(spark):
     assert sweeps.count() == 66 * 3 and sweeps.where("tp + fp = 0 AND precision <> 1").count() == 0
     assert all(r.f1 > 0.9 for r in bests.where("method <> 'trigrams'").collect())
     scored.unpersist()
+
+
+def test_texts_are_joined_before_they_are_split(spark):
+    """The join of neighbours shuffles texts; before, it shuffled lists of words."""
+    docs = spark.createDataFrame([(0, "a b c"), (1, "b c d"), (2, None)], "id long, text string").hint("merge")
+    plan = evaluation.labelled_pairs(docs, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join ") :]
+    assert "regexp_extract_all" not in below and "regexp_extract_all" in plan
