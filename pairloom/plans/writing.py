@@ -175,8 +175,9 @@ def pair_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_cross_script(spark: SparkSession, d: str) -> DataFrame:
     """Jaccard of neighbours of one script; 0 across scripts."""
-    same = script("text_a") == script("text_b")
-    return _next(spark, d).select("doc_a", "doc_b", same.alias("same_script"), F.when(same, F.round(jaccard("text_a", "text_b"), 6)).otherwise(0.0).alias("sim"))
+    same = F.col("same_script")
+    pairs = _next(spark, d).withColumn("same_script", script("text_a") == script("text_b"))
+    return pairs.select("doc_a", "doc_b", same, F.when(same, F.round(jaccard("text_a", "text_b"), 6)).otherwise(0.0).alias("sim"))
 
 
 def pair_lexical_methods(spark: SparkSession, d: str) -> DataFrame:

@@ -55,3 +55,20 @@ def test_style(spark):
     assert one(spark, style.watermark_z(F.lit(75), F.lit(100)), a="") == pytest.approx(5.0)
     low, high = style.wilson(F.lit(50), F.lit(100))
     assert math.isclose(one(spark, low, a="") + one(spark, high, a=""), 1.0)
+
+
+def test_tokens_and_scripts_are_made_once(spark, tmp_path):
+    """Each text is split once for all scores; before, pair_metrics split texts 28 times and pair_severity 8 times."""
+    from pairloom.plans import similarity as plans
+    from pairloom.plans import writing
+
+    rows = [(0, "the cat sat on a mat", "en"), (1, "a cat sat on the red mat", "en"), (2, "", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def times(query, name):
+        return query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count(name + "(")
+
+    assert times(plans.pair_metrics, "regexp_extract_all") == times(plans.pair_severity, "regexp_extract_all") == 2
+    assert times(writing.pair_cross_script, "regexp_extract_all") == 12  # five scripts of two texts are counted by it too
+    found = {r.doc_a: (r.jaccard, r.dice, r.overlap, r.ngram) for r in plans.pair_metrics(spark, str(tmp_path)).collect()}
+    assert found == {0: (0.75, 0.857143, 1.0, 0.125), 1: (0.0, 0.0, 0.0, 0.0)}
