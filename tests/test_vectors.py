@@ -31,3 +31,16 @@ def test_full_blocks_are_scored_in_little_memory():
     whole = np.stack(units) @ np.stack(units).T
     np.fill_diagonal(whole, -np.inf)
     assert made["neighbour"].to_numpy()[::2].tolist() == whole.argmax(axis=1).tolist()
+
+
+def test_probed_cells_are_scored_in_blocks(spark, monkeypatch):
+    """All cells give what brute force gives, from blocks of cells; before, each pair of vectors was a row."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    units = np.random.default_rng(5).normal(size=(300, 8))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist(), int(x[0] > 0)) for i, x in enumerate(units)], "id long, unit array<double>, cell int")
+    found = vectors.probe_search(rows.where("id % 3 = 0"), rows, [[0.5] + [0.0] * 7, [-0.5] + [0.0] * 7], 4, 2)
+    assert "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
+    exact = vectors.nearest(rows.where("id % 3 = 0"), rows, 4)
+    got, want = ({(r["query"], r["rank"], r["neighbour"]) for r in x.collect()} for x in (found, exact))
+    assert got == want and len(got) == 400
