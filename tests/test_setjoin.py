@@ -109,3 +109,15 @@ def test_candidates_are_screened_by_all_tokens(spark, monkeypatch):
     assert found == {(40 * n, 160 + n) for n in range(4)}
     candidates = [x for x in joined if x.columns == ["ca", "cb"]]
     assert len(candidates) == 1 and candidates[0].count() < 400
+
+
+def test_what_is_kept_is_narrow(spark, monkeypatch):
+    """Checkpoints hold hashes and sketches; before, they held the tokens themselves and 240 bands for each set."""
+    monkeypatch.setattr(setjoin, "MET", -1)
+    sets = [[f"a long word {n} {j}" for j in range(30)] + ["more"] * (n % 2) for n in range(20)]
+    sets += [[*s[1:], "other"] for s in sets]
+    made = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    joined = []
+    monkeypatch.setattr(setjoin, "cut", lambda df: joined.append(cut(df)) or joined[-1])
+    assert {(r["doc_a"], r["doc_b"]) for r in jaccard_join(made, "id", "tokens", 0.59).collect()} == {(n, n + 20) for n in range(20)}
+    assert joined and not any(t == "array<string>" or c == "bands" for x in joined for c, t in x.dtypes)
