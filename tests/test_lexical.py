@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from pairloom.operators import evidence, lexical, setjoin
+from pairloom.operators import evidence, lexical, passages, setjoin
+from pairloom.plans import structure
 
 rng = random.Random(7)
 TEXTS = {i: [f"w{int(40 * rng.random() ** 2)}" for _ in range(rng.randrange(1, 25))] for i in range(30)} | {30: [], 31: ["only"], 32: None}
@@ -62,3 +63,43 @@ def test_a_document_of_many_pairs_is_dealt_once_a_group(spark, monkeypatch):
     got = evidence.vocabularies_of(pairs, frame, "id", "w")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
     assert dealt[0].where("cb IS NULL").count() == len(texts)
+
+
+def test_common_phrases_shuffle_no_text(spark, monkeypatch):
+    """Phrases are found where their documents are, with the same result as by joins; before, all windows and texts were dealt."""
+    rows = spark.createDataFrame([(i, [f"w{(i * i + j) % 11}" for j in range(20)]) for i in range(30)], "id long, w array<string>")
+    made = passages.repeated_phrases(rows, "id", "w", n=5, k=4)
+    assert "BroadcastNestedLoopJoin" in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    monkeypatch.setattr(passages, "FEW", -1)
+    assert got and got == passages.repeated_phrases(rows, "id", "w", n=5, k=4).collect()
+
+
+def test_citations_are_counted_in_small_tasks(spark, monkeypatch):
+    """What meets is dealt to tasks by its number; before, one task took all that its works made meet."""
+    monkeypatch.setattr(evidence, "MET", 10)
+    cited = spark.createDataFrame([(d, w) for d in range(20) for w in range(d % 5, 9, 2)] * 2 + [(None, 1), (1, None)], "doc long, work long")
+    made = evidence.shared_citations(cited)
+    held = {d: set(range(d % 5, 9, 2)) for d in range(20)}
+    want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) > 1}
+    assert {(r.doc_a, r.doc_b): r.shared for r in made.collect()} == want
+    met = sum(len(held[a] & held[b]) for a in held for b in held if a < b)
+    assert f", {-(-met // 10)})" in made._jdf.queryExecution().optimizedPlan().toString() or f", {-(-met // 10)}" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shingles_are_hashes_of_windows(spark, tmp_path):
+    """Shingles are hashed by doubling and never made as text; before, each was sliced and joined."""
+    rows = [(i, " ".join(f"w{(i % 7) * 100 + j + (j == 3) * i}" for j in range(5 + 4 * (i % 7)))) for i in range(21)] + [(21, "one two"), (22, "two one"), (23, "One two"), (24, ""), (25, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = structure.dedup_minhash_pairs(spark, str(tmp_path))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and sets[a] and sets[b] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert want and {(r.doc_a, r.doc_b): round(r.similarity, 6) for r in made.collect()} == want
+    planned = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(structure.fingerprints, "minhash_pairs", lambda docs, *_: planned.append(docs) or docs)
+        structure.dedup_minhash_pairs(spark, str(tmp_path))
+    assert dict(planned[0].dtypes)["items"] == "array<bigint>"
