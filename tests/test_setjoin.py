@@ -121,3 +121,18 @@ def test_what_is_kept_is_narrow(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "cut", lambda df: joined.append(cut(df)) or joined[-1])
     assert {(r["doc_a"], r["doc_b"]) for r in jaccard_join(made, "id", "tokens", 0.59).collect()} == {(n, n + 20) for n in range(20)}
     assert joined and not any(t == "array<string>" or c == "bands" for x in joined for c, t in x.dtypes)
+
+
+def test_crowded_sets_meet_inside_tasks(spark, monkeypatch):
+    """Sets of crowded bands make no table of pairs by first tokens, sketches are half as wide, and whole sets are dealt by groups of links; before, pairs were shuffled."""
+    monkeypatch.setattr(setjoin, "MET", -1)
+    monkeypatch.setattr(setjoin, "CROWD", 2)
+    monkeypatch.setattr(setjoin, "MEETINGS", 3)
+    monkeypatch.setattr(setjoin, "_prefix_pairs", None)
+    sets = [[f"g{n % 3}x{j}" for j in range(20)] + [f"own{n}"] for n in range(12)]
+    made = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    joined = []
+    monkeypatch.setattr(setjoin, "cut", lambda df: joined.append(cut(df)) or joined[-1])
+    found = {(r["doc_a"], r["doc_b"]): round(r["sim"], 9) for r in jaccard_join(made, "id", "tokens", 0.59).collect()}
+    assert found == {(i, j): round(20 / 22, 9) for i in range(12) for j in range(i + 3, 12, 3)}
+    assert {len(r.sketch) for x in joined if x.columns == ["c", "sketch"] for r in x.collect()} == {setjoin.SKETCH // 16}
