@@ -140,6 +140,19 @@ def test_hamming_pairs_equal_all_pairs(spark, distance, spare):
     assert {tuple(r) for r in fingerprints.hamming_pairs(frame, "id", distance, spare).collect()} == want
 
 
+def test_hamming_pairs_are_found_once_and_not_shuffled(spark, monkeypatch):
+    """Prints that are all near, in several runs: no pair is shuffled or made distinct; before, each pair met under many choices of blocks."""
+    monkeypatch.setattr(fingerprints, "RUNS", (5, 7))
+    rng = random.Random(8)
+    prints = {0xF0F0F0F0F0F0F0F0 ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))): i for i in range(90)} | {i * 0x9E3779B97F4A7C15 % 2**64: 100 + i for i in range(1, 40)}
+    want = {(min(i, j), max(i, j), (p ^ q).bit_count()) for p, i in prints.items() for q, j in prints.items() if i < j and (p ^ q).bit_count() <= 6}
+    frame = spark.createDataFrame([(str(i).zfill(3), p >> 32, p & 0xFFFFFFFF) for p, i in prints.items()], "id string, high long, low long")
+    found = fingerprints.hamming_pairs(frame, "id", 6)
+    assert sorted((int(r.doc_a), int(r.doc_b), r.distance) for r in found.collect()) == sorted(want) and len(want) > 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
+
+
 def test_vote_of_copies_and_odd_texts(spark):
     words = [f"w{i}" for i in range(80)]
     changed = [*words[:40], "other", *words[41:]]
