@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions.alignment import alignment_cost, sequence_similarity
-from pairloom.operators import dendrogram, fingerprints, greedy, navigable, topics
+from pairloom.operators import dendrogram, fingerprints, greedy, lexical, navigable, topics
 from pairloom.runtime import cut
 
 PAIRS = "doc_a long, doc_b long, sim double"
@@ -203,6 +203,29 @@ def test_factors_find_planted_topics_with_falling_error(spark):
     assert all(named[main[i]] <= set(terms[t]) for i, t in enumerate("abc"))
 
 
+def test_factors_of_few_columns_are_those_of_joins(spark, monkeypatch):
+    """One pass a round over packed rows gives the factors of the general form; rows aren't joined or kept again in a round, as they were."""
+    rng = random.Random(2)
+    weights = [(d, f"t{w}", 0.5 + rng.random()) for d in range(30) for w in rng.sample(range(9), 4)] + [(77, "none", 0.0)]
+    frame = spark.createDataFrame(weights, "id long, token string, x double")
+    want = [{r[0]: r.f for r in x.collect()} for x in topics.factors(frame, "id", "token", 3, rounds=4)]
+    monkeypatch.setattr(topics, "_updated", None)
+    got = [{r[0]: r.f for r in x.collect()} for x in topics.factors(frame, "id", "token", 3, rounds=4, small=True)]
+    for w, g in zip(want, got, strict=True):
+        assert set(w) == set(g) and all(g[i] == pytest.approx(w[i], rel=1e-9) for i in w)
+
+
+def test_packed_weights_equal_tf_idf(spark):
+    """Repeated ids, null and empty lists, and words of no or all documents."""
+    words = [(1, ["a", "b", "a", "the"]), (2, ["b", "c", "all"]), (3, ["c", "c", "a"]), (4, []), (5, None), (6, ["rare"]), (2, ["b", "a"])]
+    docs = spark.createDataFrame(words, "id long, words array<string>")
+    placed = topics.frequent_terms(docs, ("the",), 2)
+    assert [tuple(r) for r in placed.orderBy("at").collect()] == [(0, "a", 3), (1, "b", 2)]
+    got = {(r.id, "ab"[i]): x for r in topics.packed_tf_idf(docs, placed).collect() for i, x in zip(r.at, r.x, strict=True)}
+    tokens = docs.select("id", F.explode("words").alias("token")).where("token IN ('a', 'b')")
+    assert got == pytest.approx({(r.id, r.token): r.weight for r in lexical.tf_idf(tokens).collect()})
+
+
 def test_squared_error_is_that_of_the_whole_table(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 2.0])], "id long, f array<double>")
     columns = spark.createDataFrame([("x", [1.0, 1.0]), ("y", [0.0, 3.0])], "token string, f array<double>")
