@@ -255,3 +255,23 @@ def test_neighbour_graph_and_beam_recall(spark):
         found.setdefault(r["query"], {})[r["rank"]] = r.neighbour
     assert sorted(found) == list(range(0, 240, 10)) and all(sorted(v) == [1, 2, 3, 4, 5] for v in found.values())
     assert sum(len(set(v.values()) & set(near[i, :5].tolist())) for i, v in found.items()) >= 0.9 * 24 * 5
+
+
+def test_sharded_search_of_plain_vectors(spark, monkeypatch):
+    """Vectors without structure in several shards, some broken or of another length; the graph of joins finds about 0.6 of the nearest there, and shuffles vectors for each pair."""
+    monkeypatch.setattr(navigable, "SHARD", 700)
+    x = np.random.default_rng(7).normal(size=(2000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    odd = [(None, [1.0] * 48), (9001, None), (9020, [float("nan")] * 48), (9040, [None] + [1.0] * 47), (9060, [0.6, 0.8]), (9061, [0.8, 0.6]), (9080, [1.0] * 3)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "id long, unit array<double>")
+    found = navigable.sharded_search(rows.where("id % 20 = 0"), rows, 5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r.neighbour, r.score)
+    assert got.pop(9060) == {1: (9061, 0.96)} and sorted(got) == list(range(0, 2000, 20)) and all(sorted(v) == [1, 2, 3, 4, 5] for v in got.values())
+    score = np.round(x @ x.T, 9)
+    np.fill_diagonal(score, -2)
+    near = np.argsort(-score, axis=1, kind="stable")[:, :5]
+    assert sum(len({n for n, _ in v.values()} & set(near[i].tolist())) for i, v in got.items()) >= 0.95 * 500
+    assert all(s == pytest.approx(score[i, n], abs=2e-9) for i, v in got.items() for n, s in v.values())
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
