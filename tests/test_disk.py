@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pairloom.operators import passages
 from pairloom.operators.setjoin import containment_join
 from pairloom.runtime import CLEANED, cut
 
@@ -28,3 +29,22 @@ def test_containment_shuffles_no_tokens(spark):
     found = sorted((r.doc_a, r.doc_b, r.overlap) for r in got.collect())
     assert (3, 3, 1.0) in found
     assert shuffled_bytes(spark) - before < 200_000
+
+
+def test_passages_shuffle_no_windows(spark):
+    words = [f"w{i}" for i in range(2000)]
+    docs = spark.createDataFrame([(i, words[i:] + words[:i]) for i in range(30)], "id long, w array<string>")
+    pairs = spark.createDataFrame([(i, j) for i in range(30) for j in range(i + 1, 30)], "doc_a long, doc_b long")
+    before = shuffled_bytes(spark)
+    found = {tuple(r) for r in passages.shared_passages(pairs, docs, "id", "w", 8).where("doc_b = doc_a + 1").collect()}
+    assert found == {x for i in range(29) for x in ((i, i + 1, 1, 2000, 0, 1999, 1999),)}
+    assert passages.highlighted(pairs, docs, "id", "w", 4).count() == 870
+    assert shuffled_bytes(spark) - before < 3_000_000
+
+
+def test_passages_of_repeated_keys_are_those_of_joins(spark):
+    rows = [(1, list("abcdefghij")), (1, list("abcdefghij")), (2, list("xabcdefghij")), (None, ["q"]), (None, ["q"])]
+    docs = spark.createDataFrame(rows, "id long, w array<string>")
+    pairs = spark.createDataFrame([(1, 2)], "doc_a long, doc_b long")
+    got = sorted(tuple(r) for r in passages.shared_passages(pairs, docs, "id", "w", 8).collect())
+    assert got == sorted(tuple(r) for r in passages._joined_passages(pairs, docs, "id", "w", 8).collect())
