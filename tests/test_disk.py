@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pairloom.operators import passages
+from pairloom.operators import communities, passages
 from pairloom.operators.setjoin import containment_join
 from pairloom.runtime import CLEANED, cut
 
@@ -48,3 +48,17 @@ def test_passages_of_repeated_keys_are_those_of_joins(spark):
     pairs = spark.createDataFrame([(1, 2)], "doc_a long, doc_b long")
     got = sorted(tuple(r) for r in passages.shared_passages(pairs, docs, "id", "w", 8).collect())
     assert got == sorted(tuple(r) for r in passages._joined_passages(pairs, docs, "id", "w", 8).collect())
+
+
+def test_communities_take_few_jobs_and_equal_those_by_jobs(spark):
+    rows = [(a, b, s) for g in (0, 10) for a, b, s in ((g, g + 1, 0.9), (g + 1, g + 2, 0.7), (g, g + 2, 0.8), (g + 2, g + 3, 0.6), (g + 3, g + 4, 0.9), (g + 4, g + 5, 1.0), (g + 3, g + 5, 0.8))]
+    rows += [(None, 1, 1.0), (51, 50, 0.8), (50, 51, 0.9), (60, 61, 0.0)]
+    pairs = cut(spark.createDataFrame(rows, "doc_a long, doc_b long, sim double"))
+    spark.sparkContext.setJobGroup("communities", "")
+    found = {tuple(r) for r in communities.communities(pairs).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("communities"))
+    spark.sparkContext.setJobGroup("others", "")
+    assert {(51, 50), (50, 50), (2, 0), (15, 13)} <= found and len(found) == 14
+    assert {tuple(r) for r in communities.communities(pairs, held=8).collect()} == found  # components dealt to tasks
+    assert {tuple(r) for r in communities.communities(pairs, held=4).collect()} == found  # two of them by jobs
+    assert jobs < 15
