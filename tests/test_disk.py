@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import communities, passages
+from pairloom.functions.text import words
+from pairloom.operators import blend, communities, ensemble, passages
+from pairloom.operators.search import highest
 from pairloom.operators.setjoin import containment_join
 from pairloom.runtime import CLEANED, cut
 
@@ -62,3 +66,48 @@ def test_communities_take_few_jobs_and_equal_those_by_jobs(spark):
     assert {tuple(r) for r in communities.communities(pairs, held=8).collect()} == found  # components dealt to tasks
     assert {tuple(r) for r in communities.communities(pairs, held=4).collect()} == found  # two of them by jobs
     assert jobs < 15
+
+
+def made_texts(seed):
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice(["alpha", "Beta", "the", "a", "x", "été", "gamma", "delta."]) + rng.choice(["", "", "s", "."]) for _ in range(n))
+    return [(i, "\n\n".join(words(rng.randrange(25)) for _ in range(rng.randrange(4)))) for i in range(24)] + [(24, None), (25, ""), (26, "one"), (27, "one two. three")]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def same_rows(got, want):
+    assert len(got) == len(want) > 0
+    for x, y in zip(got, want, strict=True):
+        assert x[:2] == y[:2] and list(x[2:]) == pytest.approx(list(y[2:]), abs=2e-6)
+
+
+def test_ensemble_by_groups_equals_joins_and_shuffles_no_sets(spark):
+    rows = made_texts(1)
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("w", words("text"))
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "doc_a long, doc_b long")
+    before = shuffled_bytes(spark)
+    got = rows_of(ensemble.ensemble(pairs, docs, "id", "text", "w"))
+    assert shuffled_bytes(spark) - before < 200_000
+    want = rows_of(ensemble._joined(pairs, docs, "id", "text", "w"))
+    assert [r[-1] for r in got] == [r[-1] for r in want]
+    same_rows([r[:-1] for r in got], [r[:-1] for r in want])
+
+
+def test_blend_by_groups_equals_joins(spark):
+    rows = made_texts(2)
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "doc_a long, doc_b long")
+    made = lambda more: rows_of(blend.lexical_blend(pairs, spark.createDataFrame(rows + more, "id long, text string"), "id", "text"))
+    same_rows(made([]), made([(99, "twice"), (99, "twice")]))  # a key that repeats is joined
+
+
+def test_highest_equals_a_sort():
+    rng = np.random.default_rng(3)
+    for many in (3, 5, 6, 400):
+        scores = rng.integers(0, 4, (20, many)) / 4 * (rng.random((20, many)) < rng.random((20, 1)))
+        rows, at = highest(scores, 5)
+        want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+        for row in range(20):
+            assert list(at[rows == row]) == list(want[row])
